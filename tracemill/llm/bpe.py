@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ class WordBPE:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
+        self.ids = pa.array(list(self.tokens), pa.int32())
+        self.strings = pa.array(list(self.tokens.values()), pa.string())
         end = model["end_of_word_suffix"]
         symbols = byte_symbols()
         self.first = [vocab[s] for s in symbols]
@@ -137,6 +140,26 @@ class WordBPE:
                 out += [known(w) or word_bytes(w) for w in self.words(piece)]
         return b"".join(out)
 
+    def encode_batch(self, texts: pa.Array, rows: int = 256) -> pa.ListArray:
+        parts, sizes = [], [0]
+        for a in range(0, len(texts), rows):
+            for text in texts.slice(a, rows).to_pylist():
+                got = self.encode(text) if text else b""
+                parts.append(got)
+                sizes.append(len(got) // 4)
+        ids = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(parts))])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), ids)
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """Null lists decode to the empty text, unknown ids to nothing."""
+        flat = ids.flatten()
+        known = pc.index_in(flat, self.ids)
+        if known.null_count:
+            return pa.array([" ".join(self.tokens[i] for i in row or () if i in self.tokens) for row in ids.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.strings.take(known)), " ")
+
 
 @cache
 def _tokenizer(path: str) -> WordBPE:
@@ -150,9 +173,7 @@ def bpe_encode(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(path)
         for texts in batches:
-            rows = [tok.encode(t) if t else b"" for t in texts.to_pylist()]
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            yield tok.encode_batch(texts)
 
     return encode(text)
 
@@ -162,18 +183,32 @@ def bpe_decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = _tokenizer(path).tokens.get
+        tok = _tokenizer(path)
         for lists in batches:
-            yield pa.array([" ".join([t for i in row or () if (t := token(i)) is not None]) for row in lists.to_pylist()], pa.string())
+            yield tok.decode_batch(lists)
 
     return decode(ids)
 
 
+def bpe_round_trip(text: Column, path: str) -> Column:
+    """struct<ids, decoded>: both of the above in one worker, so that its tables are held once."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tok = _tokenizer(path)
+        for texts in batches:
+            ids = tok.encode_batch(texts)
+            yield pa.StructArray.from_arrays([ids, tok.decode_batch(ids)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array<int>) and decoded (string) of every whole text.
 
     Null texts count as empty: no ids, empty decoded text. Repeated rows are
     encoded each. Input columns named ids or decoded are replaced.
     """
-    docs = docs.withColumn("ids", bpe_encode(F.col(text_col), path))
-    return docs.withColumn("decoded", bpe_decode(F.col("ids"), path))
+    coded = bpe_round_trip(F.col(text_col), path)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.select(*kept, coded.alias("__coded")).select(*kept, "__coded.ids", "__coded.decoded")
