@@ -54,7 +54,7 @@ def ngrams(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
     left = np.repeat(starts + sizes, sizes) - np.arange(len(data))  # bytes from here to the word's end
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     h = np.zeros(len(data), np.uint64)
     found, owners = [], []
     for n in range(p.longest):
@@ -64,9 +64,9 @@ def ngrams(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]
             mixed = h[ok] + np.uint64(n << 56)
             mixed ^= mixed >> np.uint64(31)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            found.append((mixed >> np.uint64(40)) % np.uint64(p.buckets))
+            found.append(((mixed >> np.uint64(40)) % np.uint64(p.buckets)).astype(np.int32))
             owners.append(owner[ok])
-    ids, own = np.concatenate(found).astype(np.int64), np.concatenate(owners)
+    ids, own = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     counts = np.bincount(own, minlength=len(words))
     return ids[order], np.cumsum(counts) - counts
@@ -178,8 +178,12 @@ def train(texts: list[str], y: np.ndarray, p: ToxicityParams) -> ToxicityModel:
     rng = np.random.default_rng(p.seed)
     number: dict[str, int] = {}
     rows = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int64) for t in texts]
-    ids, starts = ngrams(list(number), p)
-    counts = np.diff(np.append(starts, len(ids)))
+    words = list(number)
+    parts = [ngrams(words[a : a + 50_000], p) for a in range(0, len(words), 50_000)]  # some at a time, for memory
+    ids = np.concatenate([i for i, _ in parts])
+    counts = np.concatenate([np.diff(np.append(s, len(i))) for i, s in parts])
+    starts = np.cumsum(counts) - counts
+    del number, words, parts
     table = _Descent(rng.normal(0, 0.01, (p.buckets, p.dims)), p.rate)
     soft = _Descent(np.stack([-np.ones(p.dims), np.ones(p.dims)], 1) * rng.uniform(0.5, 1.0, (p.dims, 1)), p.rate / 20)
     bias = _Descent(np.zeros(2), p.rate / 20)
