@@ -13,6 +13,7 @@ order); prefixes travel as packed columns; pairs never become rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.ngram_join import overlaps
 from tracemill.llm.shingles import LINE_END, TEXT_END, mixed, word_hashes
-from tracemill.llm.staging import stage
+from tracemill.llm.staging import drop_stage, stage
 
 NO_ID = -(1 << 63)  # stands for a null document id
+HAS_WORD = re.compile(r"[0-9A-Za-z]|[^\x00-\x7f]").search
 
 
 @dataclass(frozen=True)
@@ -53,24 +55,30 @@ class Lines:
         self.per_text = np.diff(np.concatenate([[-1], last]))
         self.text = np.repeat(np.arange(len(texts)), self.per_text)
         self.number = np.arange(self.total) - np.repeat(last + 1 - self.per_text, self.per_text)
-        if counts is None:
-            key = words
-        else:  # rarity in the high bits, so that equal keys are equal words and the order is total
-            key = (counts[words % np.uint64(len(counts))].astype(np.uint64) << np.uint64(52)) | (words >> np.uint64(12))
-        order = np.lexsort((key, line))
-        key, line = key[order], line[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        self.word, self.line = key[new], line[new]
+        plain = words >> np.uint64(12)
+        rank = np.zeros(len(words), np.uint64) if counts is None else counts[words % np.uint64(len(counts))].astype(np.uint64)
+        if self.total < 4096:  # line, rarity and word in one key, which sorts several times as fast
+            order = np.argsort((line.astype(np.uint64) << np.uint64(52)) | (rank << np.uint64(40)) | (plain >> np.uint64(12)))
+        else:
+            order = np.lexsort((plain >> np.uint64(12), rank, line))
+        plain, line, rank = plain[order], line[order], rank[order]
+        new = np.ones(len(plain), bool)
+        new[1:] = (plain[1:] != plain[:-1]) | (line[1:] != line[:-1])
+        self.plain, self.line = plain[new], line[new]
+        #: rarity above the word, so that equal values are equal words
+        self.word = (rank[new] << np.uint64(52)) | self.plain
         self.size = np.bincount(self.line, minlength=self.total)
         self.first = np.cumsum(self.size) - self.size
-        plain = self.word & np.uint64((1 << 52) - 1) if counts is not None else self.word >> np.uint64(12)
-        self.plain = plain
         total = np.zeros(self.total, np.uint64)
         some = self.size > 0
         if some.any():
-            total[some] = np.add.reduceat(mixed(plain), self.first[some])
+            spread = mixed(self.plain)
+            total[some] = np.add.reduceat(spread, self.first[some])
         self.key = mixed(total + self.size.astype(np.uint64))  # of the set, whatever the order
+        #: each word flips one of 64 bits; two sets differ in at least as many words as their maps do in bits
+        self.map = np.zeros(self.total, np.uint64)
+        if some.any():
+            self.map[some] = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), self.first[some])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -119,13 +127,13 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
+def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
     """(set, another of its group) for all sets that some shared prefix word ties to another."""
     order = np.lexsort((uid, size, word))
-    word, uid, size, place = word[order], uid[order], size[order], place[order]
+    word, uid, size, place, bits = word[order], uid[order], size[order], place[order], bits[order]
     keep = np.ones(len(word), bool)
     keep[1:] = (word[1:] != word[:-1]) | (uid[1:] != uid[:-1])
-    word, uid, size, place = word[keep], uid[keep], size[keep], place[keep]
+    word, uid, size, place, bits = word[keep], uid[keep], size[keep], place[keep], bits[keep]
     names, local = np.unique(uid, return_inverse=True)
     forest = Forest(len(names))
     start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
@@ -141,7 +149,7 @@ def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place:
         if not len(i):
             break
         j = i + gap
-        ok = _possible(size[i], size[j], rest[i], rest[j], p.threshold)
+        ok = _possible(size[i], size[j], rest[i], rest[j], bits[i] ^ bits[j], p.threshold)
         pairs_a.append(local[i[ok]])
         pairs_b.append(local[j[ok]])
     if pairs_a:
@@ -154,24 +162,29 @@ def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place:
             continue
         for a in range(s, s + n, 512):
             i, j = np.arange(a, min(a + 512, s + n))[:, None], np.arange(a, s + n)[None, :]
-            x, y = np.nonzero(_possible(size[i], size[j], rest[i], rest[j], p.threshold) & (j > i))
+            x, y = np.nonzero(_possible(size[i], size[j], rest[i], rest[j], bits[i] ^ bits[j], p.threshold) & (j > i))
             forest.link(local[a + x], local[a + y])
     moved = np.flatnonzero(forest.label != np.arange(len(names)))
     return names[moved], names[forest.label[moved]]
 
 
-def _possible(size_a, size_b, rest_a, rest_b, threshold: float):
-    """Length and positional filters; size_a <= size_b."""
-    need = np.ceil(threshold / (1 + threshold) * (size_a + size_b) - 1e-9)
-    return (size_a >= threshold * size_b - 1e-9) & (1 + np.minimum(rest_a, rest_b) >= need)
+def _possible(size_a, size_b, rest_a, rest_b, differing, threshold: float):
+    """Length and positional filters, and the bound by the maps; size_a <= size_b."""
+    both = size_a + size_b
+    need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+    apart = np.bitwise_count(differing).astype(np.int64)
+    return (size_a >= threshold * size_b - 1e-9) & (1 + np.minimum(rest_a, rest_b) >= need) & (both - apart >= 2 * need)
 
 
 def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[DataFrame, DataFrame]:
-    """The first place of every line set, and packed prefixes for ``parts`` groups of words; one pass over the texts."""
+    """The first place of every line set, and links between sets that may match; one pass over the texts.
+
+    The prefixes are packed into ``parts`` groups of words.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place")}
+        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place", "map")}
         room = 0
 
         def flush() -> pa.RecordBatch:
@@ -182,15 +195,15 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             by = by[lead]
             word, of = c["word"].astype(np.uint64), c["of"]
             near = np.lexsort((of, word))  # one prefix entry for each word and set
-            word, of, size, place = word[near], of[near], c["size"][near], c["place"][near]
+            word, of, size, place, bits = word[near], of[near], c["size"][near], c["place"][near], c["map"][near]
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-            word, of, size, place = word[new], of[new], size[new], place[new]
+            word, of, size, place, bits = word[new], of[new], size[new], place[new], bits[new]
             group = (mixed(word) % np.uint64(parts)).astype(np.int64)
             by_group = np.argsort(group, kind="stable")
             bounds = np.searchsorted(group[by_group], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(bounds))
-            blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place)]).tobytes() for g in used]
+            blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place, bits)]).tobytes() for g in used]
             n, m = len(by), len(used)
             gap_n, gap_m = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
             cols = [pa.concat_arrays([pa.array(c[k][by].astype(np.int64)), gap_m]) for k in ("uid", "doc", "line")]
@@ -215,6 +228,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             held["of"].append(uid[lines.line[keep]])
             held["size"].append(size[keep])
             held["place"].append(place[keep])
+            held["map"].append(lines.map.view(np.int64)[lines.line[keep]])
             room += int(keep.sum())
             if room > 1_000_000:
                 room = 0
@@ -223,48 +237,61 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
 
     both = stage(docs.mapInArrow(cut, "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
     firsts = both.where("part is null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
-    return firsts, both.where("part is not null").select("part", "prefixes")
+    firsts = stage(firsts, "line-firsts")
+    links = both.where("part is not null").select("part", "prefixes").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
+    links = stage(links, "line-links")
+    drop_stage(both)
+    return firsts, links
 
 
 def _candidates(p: LineParams):
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        cols = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("prefixes").to_pylist()], 1)
-        a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, p)
+        cols = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("prefixes").to_pylist()], 1)
+        a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3].view(np.uint64), p)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
     return find
 
 
+def _marks(doc: np.ndarray, line: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the filter for documents and for places in them."""
+    of_doc = mixed(doc.view(np.uint64))
+    return of_doc % np.uint64(p.filter_bits), mixed(of_doc + line.astype(np.uint64) + np.uint64(1)) % np.uint64(p.filter_bits)
+
+
 def _block_sets(docs: DataFrame, wanted, p: LineParams) -> DataFrame:
-    """uid and sorted words (bytes) of the line sets that the filter lets pass; others than wanted ones may pass too."""
+    """uid and sorted words (bytes) of the lines that the filter of places lets pass; others than wanted ones may pass too."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        seen: set[int] = set()
-        for _, texts in _batches(batches):
-            lines = Lines(texts, None)
-            cell = lines.key % np.uint64(p.filter_bits)
-            hit = (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-            rows = np.flatnonzero(hit.astype(bool) & (lines.size > 0))
-            uid = lines.key.view(np.int64)
-            rows = [r for r in rows.tolist() if (k := int(uid[r])) not in seen and not seen.add(k)]
-            if len(seen) > 200_000:
-                seen.clear()
-            sets = [lines.word[lines.first[r] : lines.first[r] + lines.size[r]].tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[rows], pa.int64()), pa.array(sets, pa.binary())], names=["uid", "words"])
+
+        def hit(cell: np.ndarray) -> np.ndarray:
+            return ((bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+        for batch in batches:
+            doc = batch.column(0).fill_null(NO_ID).to_numpy()
+            batch = batch.filter(pa.array(hit(_marks(doc, doc, p)[0])))
+            for ids, texts in _batches(iter([batch])):
+                lines = Lines(texts, None)
+                doc = ids.fill_null(NO_ID).to_numpy()
+                rows = np.flatnonzero((lines.size > 0) & hit(_marks(doc[lines.text], lines.number, p)[1]))
+                sets = [np.sort(lines.plain[lines.first[r] : lines.first[r] + lines.size[r]]).tobytes() for r in rows.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key.view(np.int64)[rows]), pa.array(sets, pa.binary())], names=["uid", "words"])
 
     return docs.mapInArrow(pick, "uid long, words binary")
 
 
-def _filter_bits(members: DataFrame, p: LineParams) -> np.ndarray:
+def _filter_bits(places: DataFrame, p: LineParams) -> np.ndarray:
+    """A bit for each document and each place of ``places`` (doc_id, line), in a table of fixed size."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(p.filter_bits // 8, np.uint8)
         for batch in batches:
-            cell = batch.column(0).to_numpy().view(np.uint64) % np.uint64(p.filter_bits)
-            np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+            for cell in _marks(batch.column(0).to_numpy(), batch.column(1).to_numpy(), p):
+                np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
         yield _slices(bits, p.slices)
 
-    return _merged(members.select("uid").mapInArrow(mark, "slice int, cells binary"), "u1", np.bitwise_or, members.sparkSession)
+    return _merged(places.select("doc_id", "line").mapInArrow(mark, "slice int, cells binary"), "u1", np.bitwise_or, places.sparkSession)
 
 
 def _matched(p: LineParams):
@@ -301,21 +328,20 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(rarity(source, p))  # fixed size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
-    firsts, prefixes = _first_places(source, counts, p, parts)
-    links = prefixes.groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
-    blocks = stage(connected_components(stage(links, "line-links")), "line-blocks")
+    firsts, links = _first_places(source, counts, p, parts)
+    blocks = stage(connected_components(links), "line-blocks")
 
     n = blocks.count()
     if n:
-        wanted = spark.sparkContext.broadcast(_filter_bits(blocks.select(F.col("node").alias("uid")), p))  # fixed size
         tiles = blocks.groupBy("component").agg(F.ceil(F.count("*") / p.tile_rows).cast("long").alias("tiles"))
         members = blocks.withColumnRenamed("node", "uid").join(tiles, "component").join(firsts, "uid")
         members = members.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
         groups = F.lit(max(1, n // p.tile_rows))
         members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), groups)))
         # two columns: a group number must not meet a component of that name
-        members = members.withColumn("large", F.col("tiles") > 1)
-        sets = stage(members.join(_block_sets(source, wanted, p).dropDuplicates(["uid"]), "uid"), "line-members")
+        members = stage(members.withColumn("large", F.col("tiles") > 1), "line-members")
+        wanted = spark.sparkContext.broadcast(_filter_bits(members, p))  # fixed size
+        sets = stage(members.join(_block_sets(source, wanted, p).dropDuplicates(["uid"]), "uid"), "line-words")
         ahead = sets.withColumn("t2", F.explode(F.sequence("tile", F.col("tiles") - 1)))
         ahead = ahead.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))
         behind = sets.where("tile > 0").withColumn("t1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile") - 1)))
@@ -346,15 +372,12 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
         for texts, stays in batches:
             out, n, removed = [], [], []
             for a in range(0, len(texts), 256):
-                rows = [t or "" for t in texts.slice(a, 256).to_pylist()]
-                lines = Lines(rows, None)
-                end = np.cumsum(lines.per_text)
-                for k, (text, at) in enumerate(zip(rows, stays.slice(a, 256).to_pylist())):
-                    keep = lines.size[end[k] - lines.per_text[k] : end[k]] == 0
-                    keep[np.array(at or [], np.int64)] = True
-                    out.append("\n".join(t for t, ok in zip(text.split("\n"), keep.tolist()) if ok))
-                    n.append(len(keep) if text else 0)
-                    removed.append(int((~keep).sum()))
+                for text, at in zip(texts.slice(a, 256).to_pylist(), stays.slice(a, 256).to_pylist()):
+                    lines, keep = (text or "").split("\n"), set(at or ())
+                    left = [t for i, t in enumerate(lines) if i in keep or not HAS_WORD(t)]
+                    out.append("\n".join(left))
+                    n.append(len(lines) if text else 0)
+                    removed.append(len(lines) - len(left))
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
