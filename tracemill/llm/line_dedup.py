@@ -19,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.ngram_join import overlaps
 from tracemill.llm.shingles import LINE_END, TEXT_END, mixed, word_hashes
+from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, sliced
 from tracemill.llm.staging import drop_stage, stage
 
-NO_ID = -(1 << 63)  # stands for a null document id
 HAS_WORD = re.compile(r"[0-9A-Za-z]|[^\x00-\x7f]").search
 
 
@@ -37,7 +37,6 @@ class LineParams:
     #: cells of the word counts and of the filter of line sets, both of fixed size
     count_cells: int = 1 << 20
     filter_bits: int = 1 << 26
-    slices: int = 64
     #: lines that share one prefix word: up to here every pair is tested, above neighbours by size are tied
     group_rows: int = 4096
     tile_rows: int = 512
@@ -88,25 +87,6 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tup
             yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
 
-def _slices(table: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(table, n)], pa.binary())], names=["slice", "cells"])
-
-
-def _merged(slices: DataFrame, kind: str, join: np.ufunc, spark: SparkSession) -> np.ndarray:
-    """One table of fixed size from the tables of all tasks; slices are merged on the executors."""
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for batch in batches:
-            for cells in batch.column(1).to_pylist():
-                part = np.frombuffer(cells, kind)
-                out = part.copy() if out is None else join(out, part, out=out)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slice", "cells"])
-
-    rows = slices.groupBy("slice").applyInArrow(merge, "slice int, cells binary").collect()  # fixed size
-    return np.concatenate([np.frombuffer(r["cells"], kind) for r in sorted(rows, key=lambda r: r["slice"])] or [np.zeros(0, kind)])
-
-
 def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
     """For each cell the logarithm of how often its words occur in all documents, in 12 bits."""
 
@@ -115,11 +95,9 @@ def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
         for _, texts in _batches(batches):
             cells = (word_hashes(texts)[0] % np.uint64(p.count_cells)).astype(np.int64)
             table += np.bincount(cells, minlength=p.count_cells)
-        yield _slices(table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else np.minimum(table, (1 << 32) - 1).astype(np.uint32), p.slices)
+        yield sliced(table.astype("<u4"))
 
-    total = _merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", np.add, docs.sparkSession)
-    if not len(total):
-        total = np.zeros(p.count_cells, np.uint32)
+    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", np.add, p.count_cells)
     return np.minimum(np.log2(total + 1.0) * 100, 4095).astype(np.uint16)
 
 
@@ -253,47 +231,24 @@ def _candidates(p: LineParams):
     return find
 
 
-def _marks(doc: np.ndarray, line: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the filter for documents and for places in them."""
-    of_doc = mixed(doc.view(np.uint64))
-    return of_doc % np.uint64(p.filter_bits), mixed(of_doc + line.astype(np.uint64) + np.uint64(1)) % np.uint64(p.filter_bits)
-
-
 def _block_sets(docs: DataFrame, wanted, p: LineParams) -> DataFrame:
     """uid and sorted words (bytes) of the lines that the filter of places lets pass; others than wanted ones may pass too."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-
-        def hit(cell: np.ndarray) -> np.ndarray:
-            return ((bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
         for batch in batches:
             doc = batch.column(0).fill_null(NO_ID).to_numpy()
-            batch = batch.filter(pa.array(hit(_marks(doc, doc, p)[0])))
+            batch = batch.filter(pa.array(has_bits(bits, hashed(doc))))
             for ids, texts in _batches(iter([batch])):
                 lines = Lines(texts, None)
                 doc = ids.fill_null(NO_ID).to_numpy()
-                rows = np.flatnonzero((lines.size > 0) & hit(_marks(doc[lines.text], lines.number, p)[1]))
+                rows = np.flatnonzero((lines.size > 0) & has_bits(bits, hashed(doc[lines.text], lines.number)))
                 sets = [np.sort(lines.plain[lines.first[r] : lines.first[r] + lines.size[r]]).tobytes() for r in rows.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key.view(np.int64)[rows]), pa.array(sets, pa.binary())], names=["uid", "words"])
 
     return docs.mapInArrow(pick, "uid long, words binary")
 
 
-def _filter_bits(places: DataFrame, p: LineParams) -> np.ndarray:
-    """A bit for each document and each place of ``places`` (doc_id, line), in a table of fixed size."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(p.filter_bits // 8, np.uint8)
-        for batch in batches:
-            for cell in _marks(batch.column(0).to_numpy(), batch.column(1).to_numpy(), p):
-                np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
-        yield _slices(bits, p.slices)
-
-    return _merged(places.select("doc_id", "line").mapInArrow(mark, "slice int, cells binary"), "u1", np.bitwise_or, places.sparkSession)
-
-
 def _matched(p: LineParams):
     def match(key: tuple, table: pa.Table) -> pa.Table:
         """The sets that an earlier one of their block matches, among the two tiles (or one) of a group."""
@@ -322,7 +277,7 @@ def _matched(p: LineParams):
 
 
 def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line) of every line with words that stays; a null doc_id is ``NO_ID``."""
+    """(doc_id, line) of every line with words that stays; a null doc_id is ``sketches.NO_ID``."""
     p = params or LineParams()
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -340,7 +295,7 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
         members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), groups)))
         # two columns: a group number must not meet a component of that name
         members = stage(members.withColumn("large", F.col("tiles") > 1), "line-members")
-        wanted = spark.sparkContext.broadcast(_filter_bits(members, p))  # fixed size
+        wanted = spark.sparkContext.broadcast(bit_filter(members, [["doc_id"], ["doc_id", "line"]], p.filter_bits))  # fixed size
         sets = stage(members.join(_block_sets(source, wanted, p).dropDuplicates(["uid"]), "uid"), "line-words")
         ahead = sets.withColumn("t2", F.explode(F.sequence("tile", F.col("tiles") - 1)))
         ahead = ahead.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))

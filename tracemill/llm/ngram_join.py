@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.shingles import mixed, shingle_hashes
+from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed
 from tracemill.llm.staging import stage
 
 
@@ -37,6 +38,7 @@ class JoinParams:
     max_depth: int = 10
     recall: float = 0.99
     tile_rows: int = 512
+    filter_bits: int = 1 << 26
     seed: int = 11
 
     @property
@@ -97,21 +99,19 @@ def _signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, words long, trees array<long>")
 
 
-def _sets(texts: DataFrame, p: JoinParams) -> DataFrame:
-    """words and the sorted shingle set (bytes) of the texts whose words have that digest."""
+def _sets(docs: DataFrame, wanted, p: JoinParams) -> DataFrame:
+    """words and the sorted shingle set (bytes) of the documents whose id the filter lets pass."""
 
-    @F.arrow_udf("digest long, shingles binary")
-    def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            digests, sets = [], []
-            for a in range(0, len(column), 256):
-                values, counts, whole = shingle_hashes([t or "" for t in column.slice(a, 256).to_pylist()], p.width)
-                digests.append(whole.view(np.int64))
-                sets += [np.unique(v).tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *digests])), pa.array(sets, pa.binary())], ["digest", "shingles"])
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            batch = batch.filter(pa.array(has_bits(bits, hashed(batch.column(0).fill_null(NO_ID).to_numpy()))))
+            for a in range(0, batch.num_rows, 64):
+                values, counts, whole = shingle_hashes([t or "" for t in batch.column(1).slice(a, 64).to_pylist()], p.width)
+                sets = [np.unique(v).tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], names=["words", "shingles"])
 
-    out = texts.select("words", shingle_set("text").alias("s")).where("words = s.digest")
-    return out.select("words", "s.shingles").dropDuplicates(["words"])
+    return docs.mapInArrow(pick, "words long, shingles binary").dropDuplicates(["words"])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
@@ -204,9 +204,9 @@ def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: st
     members = members.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
     members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(groups))))
     members = stage(members.select("uid", "words", "least_id", "n", "trees", "component", "tiles", "tile", "grp"), "members")
-    # the text of one document of each member is read again for its shingles
-    texts = source.join(members.select("words", F.col("least_id").alias("doc_id")), "doc_id").select("words", "text")
-    sets = stage(_sets(texts, p).join(members.drop("least_id"), "words").drop("words"), "shingle-sets")
+    # one document of each member is read again for its shingles; the filter of fixed size spares the others, the join is exact
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["least_id"]], p.filter_bits))
+    sets = stage(_sets(source, wanted, p).join(members.drop("least_id"), "words").drop("words"), "shingle-sets")
 
     firsts = sets.withColumn("t2", F.explode(F.sequence("tile", F.col("tiles") - 1)))
     firsts = firsts.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))
