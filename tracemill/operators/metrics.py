@@ -78,7 +78,7 @@ def divergence(pairs: DataFrame, place: str = "t_star", family: str = "family")
 
 def calibration(rows: DataFrame, bins: int = 10, score: str = "score", label: str = "label") -> DataFrame:
     """One row per non-empty bin: bin, n, confidence, accuracy, gap. Edges are compared as they are, not by multiplication."""
-    edges = F.array(*[F.lit(i / bins) for i in range(bins)])
+    edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)])  # multiples of the width, as evenly spaced edges are computed
     place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.size(F.filter(edges, lambda e: e <= F.col(score))) - 1))
     cells = rows.groupBy(place.cast("int").alias("bin")).agg(
         F.count("*").alias("n"), F.avg(score).alias("confidence"), F.avg(F.col(label).cast("double")).alias("accuracy")

@@ -361,9 +361,11 @@ _TRACE_JUDGED = f"""{_STEP_JOIN}, t AS (
 )"""
 
 
-@query(f"WITH {_TRACE_JUDGED} SELECT * FROM r")
+@query(f"WITH {_TRACE_JUDGED} SELECT o_orderkey, CAST(coalesce(CAST(answer_correct AS INTEGER), -1) AS INTEGER) AS answer_correct, passed, coalesce(rejection_reason, '') AS rejection_reason FROM r")
 def q_validate_trace(spark, sf_dir):
-    return _validated(spark, sf_dir).select("o_orderkey", "answer_correct", "passed", "rejection_reason")
+    rows = _validated(spark, sf_dir)
+    correct = F.coalesce(F.col("answer_correct").cast("int"), F.lit(-1)).alias("answer_correct")
+    return rows.select("o_orderkey", correct, "passed", F.coalesce("rejection_reason", F.lit("")).alias("rejection_reason"))
 
 
 @query(f"WITH {_TRACE_JUDGED} SELECT passed, coalesce(rejection_reason, '') AS reason, count(*) AS n FROM r GROUP BY ALL")
@@ -690,7 +692,7 @@ def q_average_precision(spark, sf_dir):
 
 def _pairs(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    mean = lambda c: F.round(F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / (F.count("*") * 10), 2)
+    mean = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / (F.count("*") * 10)
     out = lines.groupBy("l_orderkey").agg(mean("l_discount").alias("pos_score"), mean("l_tax").alias("neg_score"), F.count("*").alias("n"))
     return out.select(
         F.col("l_orderkey").alias("pair_id"), "pos_score", "neg_score", F.when(F.col("n") % 2 == 0, "wrong_value").otherwise("wrong_region").alias("family"),
@@ -698,8 +700,8 @@ def _pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-_PAIR_SQL = """pairs AS (SELECT l_orderkey AS pair_id, round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 10), 2) AS pos_score,
-    round(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 10), 2) AS neg_score,
+_PAIR_SQL = """pairs AS (SELECT l_orderkey AS pair_id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 10) AS pos_score,
+    CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 10) AS neg_score,
     CASE WHEN count(*) % 2 = 0 THEN 'wrong_value' ELSE 'wrong_region' END AS family, CAST(count(*) % 4 + 1 AS INTEGER) AS t_star FROM lineitem GROUP BY l_orderkey)"""
 
 
@@ -732,14 +734,15 @@ def q_detection_prf(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PAIR_SQL} SELECT CAST(grouping(t_star, family) AS INTEGER) AS level, t_star, family, count(*) AS n, round(avg(CASE WHEN pos_score > neg_score THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+    f"""WITH {_PAIR_SQL} SELECT CAST(grouping(t_star, family) AS INTEGER) AS level, coalesce(t_star, 0) AS t_star, coalesce(family, '') AS family, count(*) AS n, round(avg(CASE WHEN pos_score > neg_score THEN 1.0 ELSE 0.0 END), 9) AS accuracy
     FROM pairs GROUP BY GROUPING SETS ((), (t_star), (family))"""
 )
 def q_divergence_grouping_sets(spark, sf_dir):
-    return metrics.divergence(_pairs(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+    out = metrics.divergence(_pairs(spark, sf_dir))
+    return out.withColumns({"t_star": F.coalesce("t_star", F.lit(0)), "family": F.coalesce("family", F.lit("")), "accuracy": F.round("accuracy", 9)})
 
 
-_D_BINS = f"""WITH {_SCORED_SQL}, b AS (SELECT CAST(greatest(0, least(9, len(list_filter([{', '.join(repr(i / 10) + '::DOUBLE' for i in range(10))}], lambda e: e <= score)) - 1)) AS INTEGER) AS bin, score, label FROM scored),
+_D_BINS = f"""WITH {_SCORED_SQL}, b AS (SELECT CAST(greatest(0, least(9, len(list_filter([{', '.join(repr(i * 0.1) + '::DOUBLE' for i in range(10))}], lambda e: e <= score)) - 1)) AS INTEGER) AS bin, score, label FROM scored),
     bins AS (SELECT bin, count(*) AS n, avg(score) AS confidence, avg(label) AS accuracy, abs(avg(score) - avg(label)) AS gap FROM b GROUP BY bin)"""
 
 

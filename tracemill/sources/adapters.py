@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tracemill.functions import text as T
 
 
+def _fields(**values: Column) -> Column:
+    """A struct whose names are literals; aliases inside lambdas over VARIANT values get lost."""
+    return F.named_struct(*(x for name, value in values.items() for x in (F.lit(name), value)))
+
+
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, "$." + path, kind)
 
@@ -23,36 +28,35 @@ def any_of(v: Column, *names: str) -> Column:
     return T.first_filled(*(_get(v, n) for n in names))
 
 
-def _variants(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _is_list(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.lit(False))
+
+
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def _items(text: Column) -> Column:
+    return F.from_json(text, "array<string>")
 
 
 def records(files: DataFrame, list_keys: tuple[str, ...], grouped: bool = False) -> DataFrame:
-    """(path, pos, key, record) from a list, the first named list, or a dictionary (its keys in file order).
+    """(path, pos, key, raw, record) from a list, the first named list, or a dictionary (its keys in file order).
 
-    ``grouped`` also opens dictionaries of lists: each element carries its list's key.
+    ``grouped`` also opens dictionaries of lists: each element carries its list's
+    key. ``raw`` is the record's own text, which keeps the order of its keys.
     """
-    top = _variants(F.col("payload"))
-    named = F.coalesce(*(F.try_variant_get("payload", f"$.{k}", "array<variant>") for k in list_keys))
-    plain = F.transform(F.coalesce(top, named), lambda r: F.struct(F.lit(None).cast("string").alias("key"), r.alias("record")))
-    inner = F.coalesce(*(F.get_json_object("raw", f"$.{k}") for k in list_keys), F.col("raw"))
-    entries = F.map_entries(F.from_json(inner, "map<string,string>"))
-    keyed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.try_parse_json(e["value"]).alias("record")))
-    keyed = F.filter(keyed, lambda e: e["record"].isNotNull())
+    named = [F.get_json_object("raw", f"$.{k}") for k in list_keys]
+    lists = F.coalesce(F.when(_is_list(F.col("raw")), F.col("raw")), *(F.when(_is_list(n), n) for n in named))
+    plain = F.transform(_items(lists), lambda r: _fields(key=F.lit(None).cast("string"), raw=r))
+    inner = F.coalesce(*(F.when(_is_object(n), n) for n in named), F.col("raw"))
+    keyed = F.transform(F.map_entries(F.from_json(inner, "map<string,string>")), lambda e: _fields(key=e["key"], raw=e["value"]))
     if grouped:
-        opened = F.flatten(
-            F.transform(
-                keyed,
-                lambda e: F.coalesce(
-                    F.transform(F.try_variant_get(e["record"], "$", "array<variant>"), lambda r: F.struct(e["key"].alias("key"), r.alias("record"))),
-                    F.array(e),
-                ),
-            )
-        )
-        keyed = opened
-    rows = F.coalesce(plain, keyed)
-    out = files.select("path", "payload", F.posexplode(rows).alias("pos", "row"))
-    return out.select("path", "payload", "pos", F.col("row.key").alias("key"), F.col("row.record").alias("record"))
+        opened = F.transform(keyed, lambda e: F.when(_is_list(e["raw"]), F.transform(_items(e["raw"]), lambda r: _fields(key=e["key"], raw=r))).otherwise(F.array(e)))
+        keyed = F.flatten(opened)
+    keyed = F.filter(keyed, lambda e: _is_object(e["raw"]))
+    out = files.select("path", "payload", F.posexplode(F.coalesce(plain, keyed)).alias("pos", "row"))
+    return out.select("path", "payload", "pos", "row.key", "row.raw", F.try_parse_json("row.raw").alias("record"))
 
 
 def _boxes(v: Column) -> Column:
@@ -63,10 +67,9 @@ def _boxes(v: Column) -> Column:
 def _span(v: Column, i: Column, prefix: str, own_id: bool) -> Column:
     text = any_of(v, "text", "value")
     made = F.concat(F.lit(prefix + ":"), i.cast("string"))
-    return F.struct(
-        (F.coalesce(any_of(v, "span_id"), made) if own_id else made).alias("span_id"), text.alias("text"), T.normalize_text(text).alias("normalized_text"),
-        _boxes(v).alias("bbox"), _get(v, "page", "int").alias("page"), F.split(T.normalize_text(text), " ").alias("tokens"),
-    )
+    return _fields(
+        span_id=(F.coalesce(any_of(v, "span_id"), made) if own_id else made), text=text, normalized_text=T.normalize_text(text),
+        bbox=_boxes(v), page=_get(v, "page", "int"), tokens=F.split(T.normalize_text(text), " "))
 
 
 def _listed(v: Column, path: str, prefix: str, own_id: bool = False) -> Column:
@@ -163,14 +166,13 @@ def scene_objects(v: Column, raw: Column) -> Column:
         relations = F.coalesce(F.try_variant_get(o, "$.relations", "array<variant>"), F.array().cast("array<variant>"))
         links = F.transform(
             relations,
-            lambda r: F.struct(any_of(r, "name", "relation").alias("name"), any_of(r, "object", "target", "object_id", "target_object_id").alias("target_object_id")),
+            lambda r: _fields(name=any_of(r, "name", "relation"), target_object_id=any_of(r, "object", "target", "object_id", "target_object_id")),
         )
-        return F.struct(
-            F.coalesce(key, any_of(o, "object_id", "id")).alias("object_id"), F.coalesce(any_of(o, "name", "label"), F.lit("")).alias("name"),
-            _attributes(o).alias("attributes"),
-            F.coalesce(box, F.array(number("x"), number("y"), number("w", "width"), number("h", "height"))).alias("bbox"),
-            F.filter(links, lambda r: r["name"].isNotNull() & r["target_object_id"].isNotNull()).alias("relations"),
-        )
+        return _fields(
+            object_id=F.coalesce(key, any_of(o, "object_id", "id")), name=F.coalesce(any_of(o, "name", "label"), F.lit("")),
+            attributes=_attributes(o),
+            bbox=F.coalesce(box, F.array(number("x"), number("y"), number("w", "width"), number("h", "height"))),
+            relations=F.filter(links, lambda r: r["name"].isNotNull() & r["target_object_id"].isNotNull()))
 
     listed = F.transform(F.try_variant_get(v, "$.objects", "array<variant>"), lambda o, i: one(o, F.coalesce(any_of(o, "object_id", "id"), i.cast("string"))))
     entries = F.map_entries(F.from_json(F.get_json_object(raw, "$.objects"), "map<string,string>"))
@@ -180,10 +182,10 @@ def scene_objects(v: Column, raw: Column) -> Column:
 
 def scene_lookup(files: DataFrame) -> DataFrame:
     """(image_id, objects) of every scene, by its key, id or file name; also of a list under ``scenes``. The last scene of a key wins."""
-    rows = records(files, ("scenes",)).withColumn("raw_scene", F.to_json("record"))
+    rows = records(files, ("scenes",))
     r = F.col("record")
     keys = F.array_distinct(F.array_compact(F.array("key", any_of(r, "image_id", "imageId", "id"), any_of(r, "image_filename"))))
-    out = rows.select("path", "pos", scene_objects(r, F.col("raw_scene")).alias("objects"), F.explode(keys).alias("image_id"))
+    out = rows.select("path", "pos", scene_objects(r, F.col("raw")).alias("objects"), F.explode(keys).alias("image_id"))
     return out.groupBy("image_id").agg(F.max_by("objects", F.struct("path", "pos")).alias("objects"))
 
 
@@ -214,14 +216,13 @@ def page_elements(v: Column) -> Column:
     def one(e: Column, i: Column) -> Column:
         plain = F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
         text = F.coalesce(plain, any_of(e, "text", "label", "name", "description"), F.lit(""))
-        return F.struct(
-            F.coalesce(any_of(e, "element_id", "id"), F.concat(F.lit("element_"), i.cast("string"))).alias("element_id"), text.alias("text"),
-            T.normalize_text(text).alias("normalized_text"), _boxes(e).alias("bbox"), any_of(e, "role", "tag", "type").alias("role"),
-        )
+        return _fields(
+            element_id=F.coalesce(any_of(e, "element_id", "id"), F.concat(F.lit("element_"), i.cast("string"))), text=text,
+            normalized_text=T.normalize_text(text), bbox=_boxes(e), role=any_of(e, "role", "tag", "type"))
 
     found = F.transform(F.concat(*lists), one)
     told = F.coalesce(any_of(v, "elem_desc"), F.lit(""))
-    target = F.struct(F.lit("target").alias("element_id"), told.alias("text"), T.normalize_text(told).alias("normalized_text"), _boxes(v).alias("bbox"), F.lit(None).cast("string").alias("role"))
+    target = _fields(element_id=F.lit("target"), text=told, normalized_text=T.normalize_text(told), bbox=_boxes(v), role=F.lit(None).cast("string"))
     lone = (told != "") | (F.size(_boxes(v)) > 0)
     return F.when((F.size(found) == 0) & lone, F.array(target)).otherwise(found)
 

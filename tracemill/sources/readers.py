@@ -34,7 +34,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 def read_question_shards(spark: SparkSession, path: str) -> DataFrame:
     """questionId, question, docId and answers (stripped, blanks dropped) of Parquet shards; only those columns are scanned."""
     rows = spark.read.parquet(path).select(F.col("questionId").cast("string"), "question", F.col("docId").cast("string"), "answers")
-    return rows.withColumn("answers", F.filter(F.transform("answers", F.trim), lambda a: a != ""))
+    return rows.withColumn("answers", F.filter(F.transform("answers", lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
