@@ -74,10 +74,12 @@ class Lines:
             spread = mixed(self.plain)
             total[some] = np.add.reduceat(spread, self.first[some])
         self.key = mixed(total + self.size.astype(np.uint64))  # of the set, whatever the order
-        #: each word flips one of 64 bits; two sets differ in at least as many words as their maps do in bits
-        self.map = np.zeros(self.total, np.uint64)
+        #: each word flips one of 128 bits (two halves); two sets differ in at least as many words as their maps do in bits
+        self.maps = np.zeros((2, self.total), np.uint64)
         if some.any():
-            self.map[some] = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), self.first[some])
+            flip, half = np.uint64(1) << (spread >> np.uint64(58)), (spread >> np.uint64(57)) & np.uint64(1)
+            for h in (0, 1):
+                self.maps[h, some] = np.bitwise_xor.reduceat(np.where(half == h, flip, np.uint64(0)), self.first[some])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -108,10 +110,10 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
     """(set, another of its group) for all sets that some shared prefix word ties to another."""
     order = np.lexsort((uid, size, word))
-    word, uid, size, place, bits = word[order], uid[order], size[order], place[order], bits[order]
+    word, uid, size, place, bits = word[order], uid[order], size[order], place[order], bits[:, order]
     keep = np.ones(len(word), bool)
     keep[1:] = (word[1:] != word[:-1]) | (uid[1:] != uid[:-1])
-    word, uid, size, place, bits = word[keep], uid[keep], size[keep], place[keep], bits[keep]
+    word, uid, size, place, bits = word[keep], uid[keep], size[keep], place[keep], bits[:, keep]
     names, local = np.unique(uid, return_inverse=True)
     forest = Forest(len(names))
     start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
@@ -127,7 +129,7 @@ def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place:
         if not len(i):
             break
         j = i + gap
-        ok = _possible(size[i], size[j], rest[i], rest[j], bits[i] ^ bits[j], p.threshold)
+        ok = _possible(size[i], size[j], rest[i], rest[j], bits[:, i], bits[:, j], p.threshold)
         pairs_a.append(local[i[ok]])
         pairs_b.append(local[j[ok]])
     if pairs_a:
@@ -140,17 +142,17 @@ def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place:
             continue
         for a in range(s, s + n, 512):
             i, j = np.arange(a, min(a + 512, s + n))[:, None], np.arange(a, s + n)[None, :]
-            x, y = np.nonzero(_possible(size[i], size[j], rest[i], rest[j], bits[i] ^ bits[j], p.threshold) & (j > i))
+            x, y = np.nonzero(_possible(size[i], size[j], rest[i], rest[j], bits[:, i], bits[:, j], p.threshold) & (j > i))
             forest.link(local[a + x], local[a + y])
     moved = np.flatnonzero(forest.label != np.arange(len(names)))
     return names[moved], names[forest.label[moved]]
 
 
-def _possible(size_a, size_b, rest_a, rest_b, differing, threshold: float):
+def _possible(size_a, size_b, rest_a, rest_b, maps_a, maps_b, threshold: float):
     """Length and positional filters, and the bound by the maps; size_a <= size_b."""
     both = size_a + size_b
     need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-    apart = np.bitwise_count(differing).astype(np.int64)
+    apart = np.bitwise_count(maps_a[0] ^ maps_b[0]).astype(np.int64) + np.bitwise_count(maps_a[1] ^ maps_b[1])
     return (size_a >= threshold * size_b - 1e-9) & (1 + np.minimum(rest_a, rest_b) >= need) & (both - apart >= 2 * need)
 
 
@@ -162,7 +164,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place", "map")}
+        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place", "low", "high")}
         room = 0
 
         def flush() -> pa.RecordBatch:
@@ -173,15 +175,15 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             by = by[lead]
             word, of = c["word"].astype(np.uint64), c["of"]
             near = np.lexsort((of, word))  # one prefix entry for each word and set
-            word, of, size, place, bits = word[near], of[near], c["size"][near], c["place"][near], c["map"][near]
+            word, of, size, place, bits = word[near], of[near], c["size"][near], c["place"][near], np.stack([c["low"], c["high"]])[:, near]
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-            word, of, size, place, bits = word[new], of[new], size[new], place[new], bits[new]
+            word, of, size, place, bits = word[new], of[new], size[new], place[new], bits[:, new]
             group = (mixed(word) % np.uint64(parts)).astype(np.int64)
             by_group = np.argsort(group, kind="stable")
             bounds = np.searchsorted(group[by_group], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(bounds))
-            blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place, bits)]).tobytes() for g in used]
+            blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place, *bits)]).tobytes() for g in used]
             n, m = len(by), len(used)
             gap_n, gap_m = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
             cols = [pa.concat_arrays([pa.array(c[k][by].astype(np.int64)), gap_m]) for k in ("uid", "doc", "line")]
@@ -206,7 +208,8 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             held["of"].append(uid[lines.line[keep]])
             held["size"].append(size[keep])
             held["place"].append(place[keep])
-            held["map"].append(lines.map.view(np.int64)[lines.line[keep]])
+            for half, bits in zip(("low", "high"), lines.maps.view(np.int64)):
+                held[half].append(bits[lines.line[keep]])
             room += int(keep.sum())
             if room > 1_000_000:
                 room = 0
@@ -224,8 +227,8 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
 
 def _candidates(p: LineParams):
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        cols = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("prefixes").to_pylist()], 1)
-        a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3].view(np.uint64), p)
+        cols = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("prefixes").to_pylist()], 1)
+        a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3:].view(np.uint64), p)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
     return find
