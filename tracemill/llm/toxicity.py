@@ -27,14 +27,14 @@ _WORDS = re.compile(r"\w+").findall
 class ToxicityParams:
     """``max_rows``: labelled rows of each class that are fitted at most; the choice is by a hash of the id."""
 
-    max_rows: int = 5000
-    max_chars: int = 24_000_000
+    max_rows: int = 4000
+    max_chars: int = 16_000_000
     dims: int = 4
     buckets: int = 1 << 18
     shortest: int = 3
     longest: int = 6
     window: int = 6
-    warm_words: int = 400
+    warm_words: int = 200
     warm_steps: int = 20
     rounds: int = 12
     steps: int = 10
@@ -197,24 +197,25 @@ def train(texts: list[str], y: np.ndarray, p: ToxicityParams) -> ToxicityModel:
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         words, at = np.unique(flat, return_inverse=True)
         sizes = counts[words]
-        grams = ids[np.repeat(starts[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         begin = np.cumsum(sizes) - sizes
-        used, grams = np.unique(grams, return_inverse=True)
+        grams = ids[np.repeat(starts[words] - begin, sizes) + np.arange(sizes.sum())]
         share = 1.0 / np.bincount(bag, minlength=len(bags))
         weight = np.where(target == 1, 0.5 / max((target == 1).sum(), 1), 0.5 / max((target == 0).sum(), 1))
         hot = np.eye(2)[target]
         for _ in range(steps):
-            vectors = np.add.reduceat(table.value[used][grams], begin) / sizes[:, None]
-            means = np.stack([np.bincount(bag, vectors[at, j], len(bags)) for j in range(p.dims)], 1) * share[:, None]
+            means = np.empty((len(bags), p.dims))
+            for j in range(p.dims):  # one dimension at a time, for memory
+                vectors = np.add.reduceat(table.value[:, j][grams], begin) / sizes
+                means[:, j] = np.bincount(bag, vectors[at], len(bags)) * share
             logits = means @ soft.value + bias.value
             prob = np.exp(logits - logits.max(1, keepdims=True))
             prob /= prob.sum(1, keepdims=True)
             g = (prob - hot) * weight[:, None]
             to_bag = (g @ soft.value.T) * share[:, None]
-            to_word = np.stack([np.bincount(at, to_bag[bag, j], len(words)) for j in range(p.dims)], 1) / sizes[:, None]
-            spread = np.repeat(to_word, sizes, 0)
-            grad = np.zeros_like(table.value)
-            grad[used] = np.stack([np.bincount(grams, spread[:, j], len(used)) for j in range(p.dims)], 1)
+            grad = np.empty_like(table.value)
+            for j in range(p.dims):
+                to_word = np.bincount(at, to_bag[bag, j], len(words)) / sizes
+                grad[:, j] = np.bincount(grams, np.repeat(to_word, sizes), p.buckets)
             soft.step(means.T @ g)
             bias.step(g.sum(0))
             table.step(grad)
@@ -224,8 +225,8 @@ def train(texts: list[str], y: np.ndarray, p: ToxicityParams) -> ToxicityModel:
     full = [i for i, r in enumerate(rows) if len(r)]
     hard: dict[tuple[int, int], np.ndarray] = {}  # windows of label 0 that were ever the worst
     for _ in range(p.rounds):
-        per_gram = table.value @ (soft.value[:, 1] - soft.value[:, 0])
-        value = np.add.reduceat(per_gram[ids], starts) / counts
+        per_gram = (table.value @ (soft.value[:, 1] - soft.value[:, 0])).astype(np.float32)
+        value = np.add.reduceat(per_gram[ids], starts).astype(float) / counts
         worst: list[np.ndarray] = []
         for i in full:
             at = window_starts(len(rows[i]), p.window)
