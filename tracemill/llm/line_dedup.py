@@ -156,8 +156,8 @@ def _possible(size_a, size_b, rest_a, rest_b, maps_a, maps_b, threshold: float):
     return (size_a >= threshold * size_b - 1e-9) & (1 + np.minimum(rest_a, rest_b) >= need) & (both - apart >= 2 * need)
 
 
-def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[DataFrame, DataFrame]:
-    """The first place of every line set, and links between sets that may match; one pass over the texts.
+def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first place of every line set, links between sets that may match, and how many lines with words each document has; one pass over the texts.
 
     The prefixes are packed into ``parts`` groups of words.
     """
@@ -184,10 +184,17 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             bounds = np.searchsorted(group[by_group], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(bounds))
             blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place, *bits)]).tobytes() for g in used]
-            n, m = len(by), len(used)
-            gap_n, gap_m = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
-            cols = [pa.concat_arrays([pa.array(c[k][by].astype(np.int64)), gap_m]) for k in ("uid", "doc", "line")]
-            cols += [pa.concat_arrays([gap_n, pa.array(used.astype(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())])]
+            named, lines_of = np.unique(c["doc"].astype(np.int64), return_counts=True)
+            n, m, d = len(by), len(used), len(named)
+            # rows of three kinds: first places, packed prefixes, and documents (whose number of lines stands under line)
+            first = {k: pa.array(c[k][by].astype(np.int64)) for k in ("uid", "doc", "line")}
+            cols = [
+                pa.concat_arrays([first["uid"], pa.nulls(m + d, pa.int64())]),
+                pa.concat_arrays([first["doc"], pa.nulls(m, pa.int64()), pa.array(named)]),
+                pa.concat_arrays([first["line"], pa.nulls(m, pa.int64()), pa.array(lines_of.astype(np.int64))]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(used.astype(np.int64)), pa.nulls(d, pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary()), pa.nulls(d, pa.binary())]),
+            ]
             for v in held.values():
                 v.clear()
             return pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "line", "part", "prefixes"])
@@ -217,12 +224,14 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
         yield flush()
 
     both = stage(docs.mapInArrow(cut, "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
-    firsts = both.where("part is null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
+    firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
     links = both.where("part is not null").select("part", "prefixes").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
     links = stage(links, "line-links")
+    sizes = both.where("uid is null and part is null").groupBy("doc_id").agg(F.sum("line").alias("n"))
+    sizes = stage(sizes, "line-counts")
     drop_stage(both)
-    return firsts, links
+    return firsts, links, sizes
 
 
 def _candidates(p: LineParams):
@@ -279,14 +288,14 @@ def _matched(p: LineParams):
     return match
 
 
-def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line) of every line with words that stays; a null doc_id is ``sketches.NO_ID``."""
+def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line) of every line with words that stays, and (doc_id, n) of all lines with words; a null doc_id is ``sketches.NO_ID``."""
     p = params or LineParams()
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(rarity(source, p))  # fixed size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
-    firsts, links = _first_places(source, counts, p, parts)
+    firsts, links, sizes = _first_places(source, counts, p, parts)
     blocks = stage(connected_components(links), "line-blocks")
 
     n = blocks.count()
@@ -308,7 +317,7 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
         pairs = ahead.select(columns).unionByName(behind.select(columns)).groupBy("grp", "t1", "t2", "large")
         gone = pairs.applyInArrow(_matched(p), "uid long").distinct()
         firsts = firsts.join(gone, "uid", "left_anti")
-    return firsts.select("doc_id", "line")
+    return firsts.select("doc_id", "line"), sizes
 
 
 def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,8 +331,19 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
     other. Input columns named n_lines or n_removed are replaced; all others
     pass through. An empty table gives no rows.
     """
-    places = kept_lines(docs, params, id_col, text_col)
-    stays = stage(places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("__stays")).withColumnRenamed("doc_id", "__key"), "kept-lines")
+    p = params or LineParams()
+    places, sizes = kept_lines(docs, p, id_col, text_col)
+    stays = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("__stays"), F.count("*").alias("n_kept"))
+    # a row for each document that loses a line: only those texts are shuffled
+    losers = sizes.join(stays, "doc_id", "left").where(F.coalesce("n_kept", F.lit(0)) < F.col("n"))
+    losers = stage(losers.select(F.col("doc_id").alias("__key"), "__stays", F.lit(True).alias("__loses")), "line-losers")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(losers, [["__key"]], p.filter_bits))  # fixed size
+
+    @F.arrow_udf("boolean")
+    def may_lose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = wanted.value
+        for keys in batches:
+            yield pa.array(has_bits(bits, hashed(keys.to_numpy(zero_copy_only=False))))
 
     @F.arrow_udf("text string, n_lines long, n_removed long")
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -338,8 +358,18 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
                     removed.append(len(lines) - len(left))
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    joined = keyed.join(stays, "__key", "left").withColumn("__cut", apply(F.col(text_col), F.col("__stays")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__key"))
+    keyed = keyed.withColumn("__may", may_lose("__key"))
+    # losers grow with the corpus, so no broadcast at any size
+    met = keyed.where("__may").join(losers.hint("merge"), "__key", "left")
+    cut = met.where("__loses").withColumn("__cut", apply(F.col(text_col), F.col("__stays")))
     columns = [F.when(F.col(c).isNotNull(), F.col("__cut.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
-    return joined.select(*columns, "__cut.n_lines", "__cut.n_removed")
+    cut = cut.select(*columns, "__cut.n_lines", "__cut.n_removed")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n_lines = F.when(text != "", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(f"`{c}`") for c in kept), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+
+    return cut.unionByName(whole(met.where("__loses is null"))).unionByName(whole(keyed.where("not __may")))
