@@ -95,6 +95,16 @@ def test_ngram_join_of_large_groups_by_tiles(spark):
     assert sum(r["n_links"] for r in got) >= 0.99 * sum(want)
 
 
+def test_ngram_join_keeps_every_verified_link_of_a_block(spark):
+    """Every pair of the 100 variants is at Jaccard 0.8 or more; they form one block, so no link may be missing."""
+    base = [f"b{i}" for i in range(100)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[: i + 3] + [f"x{i}"] + base[i + 4 :])) for i in range(1, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join_documents(docs, ngram_join.JoinParams(trees=4, recall=0.6)).collect()}
+    sets = [shingles(t) for _, t in rows]
+    assert got == {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+
+
 def test_ngram_join_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join_documents(docs).collect()), key=str)

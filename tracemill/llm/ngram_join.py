@@ -10,8 +10,9 @@ candidates. Every candidate pair is then verified on the full shingle sets.
 Texts with equal words in order are one text with a weight. Documents tied by
 shared prefixes form blocks, cut into tiles of bounded size; two tiles of a
 block are compared by products of their shingle incidence matrices, so that a
-group of thousands of near copies costs products, not rows of pairs. Only link
-counts and a spanning forest leave a comparison.
+group of thousands of near copies costs products, not rows of pairs. Every pair
+of a block that passes the exact test is a link, whether or not the two share a
+prefix themselves. Only link counts and a spanning forest leave a comparison.
 """
 
 from __future__ import annotations
@@ -148,7 +149,6 @@ def _compare(p: JoinParams):
         """Links within the small blocks that share a group, or between two tiles (one with itself) of a large block."""
         block, uid, n, second = (table.column(c).to_numpy() for c in ("component", "uid", "n", "second"))
         raw = table.column("shingles").to_pylist()
-        trees = table.column("trees").combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
         same = key[1].as_py() == key[2].as_py()
         links, forest = np.zeros(len(uid)), Forest(len(uid))
         order = np.argsort(block, kind="stable")
@@ -164,8 +164,7 @@ def _compare(p: JoinParams):
             if same:
                 fits &= np.arange(len(right)) > np.arange(len(left))[:, None]
             i, j = np.nonzero(fits)
-            met = (trees[left[i]] == trees[right[j]]).any(1)  # a pair counts if the forest brought it together
-            i, j = left[i[met]], right[j[met]]
+            i, j = left[i], right[j]
             links += np.bincount(i, n[j], len(uid)) + np.bincount(j, n[i], len(uid))
             forest.link(i, j)
         hit = links > 0
@@ -203,7 +202,7 @@ def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: st
     members = reps.join(blocks.withColumnRenamed("node", "uid"), "uid").join(sizes, "component")
     members = members.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
     members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(groups))))
-    members = stage(members.select("uid", "words", "least_id", "n", "trees", "component", "tiles", "tile", "grp"), "members")
+    members = stage(members.select("uid", "words", "least_id", "n", "component", "tiles", "tile", "grp"), "members")
     # one document of each member is read again for its shingles; the filter of fixed size spares the others, the join is exact
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["least_id"]], p.filter_bits))
     sets = stage(_sets(source, wanted, p).join(members.drop("least_id"), "words").drop("words"), "shingle-sets")
@@ -212,7 +211,7 @@ def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: st
     firsts = firsts.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))
     seconds = sets.where("tile > 0").withColumn("t1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile") - 1)))
     seconds = seconds.select("*", F.col("tile").alias("t2"), F.lit(True).alias("second"))
-    columns = ["grp", "t1", "t2", "component", "second", "uid", "n", "trees", "shingles"]
+    columns = ["grp", "t1", "t2", "component", "second", "uid", "n", "shingles"]
     pairs = firsts.select(columns).unionByName(seconds.select(columns)).groupBy("grp", "t1", "t2")
     found = stage(pairs.applyInArrow(_compare(p), "uid long, links long, root long"), "links")
 
