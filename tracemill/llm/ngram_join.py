@@ -1,11 +1,13 @@
 """Similarity join of documents by the Jaccard index of their word n-grams.
 
-Candidates come from a MinHash LSH forest. Every tree is a prefix trie over part
-of the signature, kept as a sorted list: sorting puts documents with a common
-prefix side by side. The matched prefix is shortened, from the full depth of a
-tree on, until the chance that a pair at the threshold shares it in some tree
-reaches the target recall; documents that share a prefix of that length are
-candidates. Every candidate pair is then verified on the full shingle sets.
+Candidates come from fixed MinHash banding: each of ``trees`` bands hashes
+``depth`` values of the signature, and texts with an equal band are tied. The
+depth is the longest at which a pair at the threshold shares a band with the
+target recall; it follows from the parameters before any data is read. This is
+what a forest of prefix tries gives once every text has gone down to that depth:
+a longer common prefix implies the shorter one, so no tries are built and no
+values beyond the depth are computed. Every pair of a block is then verified on
+the full shingle sets.
 
 Texts with equal words in order are one text with a weight. Documents tied by
 shared prefixes form blocks, cut into tiles of bounded size; two tiles of a
@@ -35,16 +37,17 @@ from tracemill.llm.staging import stage
 class JoinParams:
     width: int = 5
     threshold: float = 0.8
-    trees: int = 16
+    trees: int = 48
     max_depth: int = 10
-    recall: float = 0.99
+    #: chance that a pair just at the threshold becomes a candidate; one in a million may be lost there
+    recall: float = 0.999999
     tile_rows: int = 512
     filter_bits: int = 1 << 26
     seed: int = 11
 
     @property
     def depth(self) -> int:
-        """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
+        """The longest band that a pair at the threshold shares in some tree with the target recall."""
         depth = self.max_depth
         while depth > 1 and 1 - (1 - self.threshold**depth) ** self.trees < self.recall:
             depth -= 1
