@@ -2,8 +2,10 @@
 
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracemill.llm import embedding_dedup, line_dedup, ngram_join, topk
@@ -161,6 +163,28 @@ def test_line_dedup_against_brute_force(spark, group_rows):
     assert out.columns == ["doc_id", "text", "n_lines", "n_removed"]
 
 
+def test_hot_prefix_words_leave_their_group():
+    """Template lines share their rarest words: their entries are tied where they are, and only one row for each size is ordered."""
+    rng, p = np.random.default_rng(3), line_dedup.LineParams(count_cells=64)
+    word, uid = np.repeat([5, 9], [4000, 50]), rng.permutation(4050)
+    cols = np.stack([word, uid, rng.integers(8, 12, 4050) << 32, word * 0, word * 0])
+    hot = np.bincount(line_dedup._cell(word.astype(np.uint64), 64), minlength=64) > 1000
+    packed = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([cols.tobytes()], pa.binary())], names=["part", "prefixes"])
+    cold = next(line_dedup._cold(types.SimpleNamespace(value=hot))(iter([packed]))).column(1)[0].as_py()
+    assert set(line_dedup._entries(cold)[0]) == {9} and line_dedup._entries(cold).shape[1] == 50
+    ties = next(line_dedup._hot_ties(types.SimpleNamespace(value=hot))(iter([packed]))).to_pandas()
+    assert len(ties) == 4000 and (ties.uid == ties.least).sum() == 4 and set(ties.word) == {5}
+    assert (ties.groupby("size").uid.min() == ties.groupby("size").least.max()).all()
+
+
+def test_line_dedup_of_template_lines_by_hot_words(spark):
+    names = [f"t{i}" for i in range(12)]
+    rows = [(d, "\n".join(" ".join(names[: 6 + (d + i) % 7]) + f" {7 * d + i} {d % 3}" for i in range(6))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(hot_rows=20, tile_rows=16))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(rows)
+
+
 def test_line_dedup_of_odd_tables(spark):
     line = "alpha beta gamma delta epsilon zeta"
     docs = spark.createDataFrame([(None, line, "a"), (1, line, "b"), (2, line + "\nother words here", "c"), (2, line + "\nother words here", "c")], "doc_id long, text string, kind string")

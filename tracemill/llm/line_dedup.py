@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
@@ -39,6 +39,8 @@ class LineParams:
     filter_bits: int = 1 << 26
     #: lines that share one prefix word: up to here every pair is tested, above neighbours by size are tied
     group_rows: int = 4096
+    #: prefix entries of a cell of words, above which its words are not gathered but tied where they are
+    hot_rows: int = 1 << 16
     tile_rows: int = 512
 
 
@@ -159,13 +161,16 @@ def _possible(size_a, size_b, rest_a, rest_b, maps_a, maps_b, threshold: float):
 def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The first place of every line set, links between sets that may match, and how many lines with words each document has; one pass over the texts.
 
-    The prefixes are packed into ``parts`` groups of words.
+    The prefixes are packed into ``parts`` groups of words. Each task also counts
+    the prefix entries of its words in a table of fixed size; words of cells with
+    more than ``hot_rows`` are in no group, see :func:`_hot_ties`.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place", "low", "high")}
         room = 0
+        entries = np.zeros(p.count_cells, np.int64)
 
         def flush() -> pa.RecordBatch:
             c = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in held.items()}
@@ -179,6 +184,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
             word, of, size, place, bits = word[new], of[new], size[new], place[new], bits[:, new]
+            np.add.at(entries, _cell(word, p.count_cells), 1)
             group = (mixed(word) % np.uint64(parts)).astype(np.int64)
             by_group = np.argsort(group, kind="stable")
             bounds = np.searchsorted(group[by_group], np.arange(parts + 1))
@@ -222,11 +228,26 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
                 room = 0
                 yield flush()
         yield flush()
+        if entries.any():  # rows of a fourth kind: the slices of the counts, under negative parts
+            table = sliced(np.minimum(entries, p.hot_rows + 1).astype("<u4"))
+            none = pa.nulls(table.num_rows, pa.int64())
+            part = pa.array(-1 - table.column(0).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([none, none, none, part, table.column(1)], names=["uid", "doc_id", "line", "part", "prefixes"])
 
     both = stage(docs.mapInArrow(cut, "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
     firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
-    links = both.where("part is not null").select("part", "prefixes").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
+    tables = both.where("part < 0").select((-1 - F.col("part")).cast("int").alias("slice"), F.col("prefixes").alias("cells"))
+    hot = merged(tables, "<u4", np.add, p.count_cells) > p.hot_rows
+    prefixes = both.where("part >= 0").select("part", "prefixes")
+    if hot.any():
+        cells = docs.sparkSession.sparkContext.broadcast(hot)  # fixed size
+        ties = stage(prefixes.mapInArrow(_hot_ties(cells), "word long, size long, uid long, least long"), "line-ties")
+        links = _chained(ties, p).unionByName(
+            prefixes.mapInArrow(_cold(cells), "part long, prefixes binary").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
+        )
+    else:
+        links = prefixes.groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
     links = stage(links, "line-links")
     sizes = both.where("uid is null and part is null").groupBy("doc_id").agg(F.sum("line").alias("n"))
     sizes = stage(sizes, "line-counts")
@@ -234,9 +255,66 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
     return firsts, links, sizes
 
 
+def _cell(word: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(word) % np.uint64(cells)).astype(np.int64)
+
+
+def _entries(packed: bytes) -> np.ndarray:
+    """Packed prefixes as five rows: word, set, size and place, and the two halves of the map."""
+    return np.frombuffer(packed, np.int64).reshape(5, -1)
+
+
+def _cold(hot):
+    """The packed prefixes without the words of hot cells."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, left = [], []
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cols = _entries(packed)
+                cold = cols[:, ~hot.value[_cell(cols[0].view(np.uint64), len(hot.value))]]
+                if cold.size:
+                    parts.append(part)
+                    left.append(cold.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(left, pa.binary())], names=["part", "prefixes"])
+
+    return keep
+
+
+def _hot_ties(hot):
+    """Every set under a word of a hot cell, and the least set of that word and size among the same packed prefixes."""
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(1).to_pylist():
+                cols = _entries(packed)
+                cols = cols[:, hot.value[_cell(cols[0].view(np.uint64), len(hot.value))]]
+                word, uid, size = cols[0], cols[1], cols[2] >> 32
+                order = np.lexsort((uid, size, word))
+                word, uid, size = word[order], uid[order], size[order]
+                lead = np.ones(len(word), bool)
+                lead[1:] = (word[1:] != word[:-1]) | (size[1:] != size[:-1])
+                least = uid[lead][np.cumsum(lead) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, size, uid, least)], names=["word", "size", "uid", "least"])
+
+    return tie
+
+
+def _chained(ties: DataFrame, p: LineParams) -> DataFrame:
+    """Links that tie the sets of each word as neighbours in the order of size, as ``candidate_links`` does for large groups.
+
+    Only the least sets are ordered by word: at most one row for each size and
+    each million prefix entries that a task has packed.
+    """
+    by_size = Window.partitionBy("word").orderBy("size", "uid")
+    leasts = ties.where("uid = least").select("size", "uid", F.lag("uid").over(by_size).alias("before"), F.lag("size").over(by_size).alias("smaller"))
+    tied = leasts.where(F.col("smaller") >= p.threshold * F.col("size") - 1e-9).select(F.col("uid").alias("src"), F.col("before").alias("dst"))
+    return tied.unionByName(ties.where("uid <> least").select(F.col("uid").alias("src"), F.col("least").alias("dst")))
+
+
 def _candidates(p: LineParams):
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        cols = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("prefixes").to_pylist()], 1)
+        cols = np.concatenate([_entries(x) for x in table.column("prefixes").to_pylist()], 1)
         a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3:].view(np.uint64), p)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
