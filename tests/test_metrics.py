@@ -60,6 +60,25 @@ def test_bootstrap_orders(spark):
     assert out["lower"] == pytest.approx(0.025 * 999)
 
 
+@pytest.mark.parametrize("ids", [[], [7], [5, 1, 9, 3], list(range(0, 3000, 3)), [1 << 60, (1 << 60) + 1, -4, 0]])
+def test_ordinals(spark, ids):
+    """Numbers in order, without a task that sorts all rows."""
+    rows = spark.createDataFrame([(i,) for i in random.Random(2).sample(ids, len(ids))], "doc_id long").repartition(3)
+    out = metrics.ordinals(rows, "doc_id", "k", 5)
+    assert [r["k"] for r in out.orderBy("doc_id").collect()] == list(range(len(ids)))
+    assert len(ids) < 2 or "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
+def test_bootstrap_numbers_rows_by_ranges(spark, monkeypatch):
+    from tracemill.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(catalogue, "_scored", lambda *_: scored(spark, [1, 0] * 50, [i / 100 for i in range(100)]).withColumnRenamed("k", "doc_id"))
+    monkeypatch.setattr(metrics, "resamples", lambda rows, *a: seen.append(rows) or rows.withColumns({"replicate": F.lit(0), "times": F.lit(1)}))
+    catalogue._bootstrap(spark, "")
+    assert "SinglePartition" not in seen[0]._jdf.queryExecution().toString() and {r["k"] for r in seen[0].collect()} == set(range(100))
+
+
 def test_decision(spark):
     row = spark.range(1).select(metrics.decision(F.lit(0.06), F.lit(0.6), F.lit(0.5)).alias("a"), metrics.decision(F.lit(0.03), F.lit(0.6), F.lit(0.5)).alias("b"), metrics.decision(F.lit(0.06), F.lit(0.4), F.lit(0.5)).alias("c")).first()
     assert tuple(row) == ("GO", "MARGINAL", "NO-GO")

@@ -113,6 +113,17 @@ def best_and_worst(families: DataFrame, family: str = "family", value: str = "au
     )
 
 
+def ordinals(rows: DataFrame, by: str, name: str, ranges: int) -> DataFrame:
+    """Numbers the rows from 0 in the order of the number ``by``, as ``name``: each range between quantiles is numbered alone, and shifted by the rows before it."""
+    bounds = sorted(set(rows.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    place = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(by))) if bounds else F.lit(0)
+    dealt = rows.withColumn("__range", place)
+    sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}  # one row for each range
+    before = [sum(n for k, n in sizes.items() if k < i) for i in range(len(bounds) + 1)]
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(by))
+    return dealt.withColumn(name, F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("__range")) + within - 1).drop("__range")
+
+
 def resamples(rows: DataFrame, ordinal: str, n: int, replicates: int, salt: str = "bootstrap") -> DataFrame:
     """``replicates`` draws with replacement of ``n`` rows numbered 0..n-1 by ``ordinal``: adds replicate and times.
 

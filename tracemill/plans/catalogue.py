@@ -788,8 +788,8 @@ _D_BOOT = f"""WITH {_SCORED_SQL}, numbered AS (SELECT score, label, row_number()
 
 def _bootstrap(spark, sf_dir) -> DataFrame:
     scored = _scored(spark, sf_dir)
-    # labels are a bounded evaluation set; ordinals by a range sort would do for more
-    numbered = scored.select("score", "label", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("k"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = metrics.ordinals(scored.select("doc_id", "score", "label"), "doc_id", "k", ranges).drop("doc_id")
     n = numbered.count()
     drawn = metrics.resamples(numbered, "k", n, _REPLICATES)
     return metrics.bootstrap_interval(metrics.weighted_auc(drawn, ["replicate"]), _REPLICATES)
