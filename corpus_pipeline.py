@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match earlier ones; a document goes if every line of it did."""
+    """Documents without lines that match earlier ones; a document goes if every line of it with words did."""
     cut = line_dedup.dedup_lines(docs)
-    cut = cut.where("n_removed = 0 or n_removed < n_lines")
+    cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.HAS_WORD.__self__.pattern))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

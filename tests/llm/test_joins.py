@@ -278,3 +278,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.run(spark, sf).select("doc_id").distinct().count() > 150
     for _, stage in cp.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_pipeline_drops_copies_with_blank_lines(spark):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as cp
+
+    text = "alpha beta gamma delta\n\nepsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, text, 9), (2, text, 9), (3, " \n..", 4), (4, text + "\nother words", 9)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in cp.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: text, 3: " \n..", 4: "\nother words"}
