@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 
 from tracemill.llm import embedding_dedup, line_dedup, ngram_join, topk
+from tracemill.llm import shingles as shingles_
 from tracemill.llm.components import Forest, connected_components
 
-WORDS = re.compile(r"[a-z0-9\u0080-\U0010ffff]+").findall
+WORDS = re.compile(f"[{shingles_.ALONE}]|(?:[a-z0-9]|[^\\x00-\\x7f{shingles_.SEPARATORS}{shingles_.ALONE}])+").findall
 
 
 def words(text):
@@ -140,8 +141,20 @@ def brute_lines(rows, threshold=0.8):
     return {d: "\n".join(v) for d, v in out.items()}
 
 
-@pytest.mark.parametrize("group_rows", [4096, 3])
-def test_line_dedup_against_brute_force(spark, group_rows):
+def test_words_against_the_pattern():
+    rng, seen = random.Random(1), {}
+    letters = "ab1 é—“”«» 日本語、。カ ｶx\n\0ºµª　！Ａ한글😀½⁰ヿ㐀-"
+    for _ in range(1500):
+        t = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+        texts = [t, "a" * 700 + " " + "a" * 701, "", t]
+        got = shingles_.word_hashes(texts)[0].tolist()
+        want = [w for x in texts for w in words(x)]
+        assert len(got) == len(want) and all(seen.setdefault(w, h) == h for w, h in zip(want, got))
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize(("frequent", "short_words"), [(4096, 128), (0, 128), (2, 8)])
+def test_line_dedup_against_brute_force(spark, frequent, short_words):
     rng = random.Random(2)
     vocab = ["".join(rng.choices("aeioutnrs", k=4)) for _ in range(150)]
     base = [" ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 12, 40]))) for _ in range(40)]
@@ -156,7 +169,7 @@ def test_line_dedup_against_brute_force(spark, group_rows):
         rows.append((d, "\n".join(lines)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "...\n...\n"), (104, "w " * 5000 + "\n" + "x" * 9000), (105, "\n".join(f"{i} a{i} b{i} c{i} d{i}" for i in range(5000)))]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_removed int")
-    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(group_rows=group_rows, tile_rows=16))
+    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(frequent=frequent, short_words=short_words, tile_rows=16))
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     want = brute_lines([r for r in rows if r[0] < 104]) | {100: None}
     assert {d: got[d] for d in want} == want and got[105].count("\n") == 4999
@@ -166,14 +179,14 @@ def test_line_dedup_against_brute_force(spark, group_rows):
 def test_hot_prefix_words_leave_their_group():
     """Template lines share their rarest words: their entries are tied where they are, and only one row for each size is ordered."""
     rng, p = np.random.default_rng(3), line_dedup.LineParams(count_cells=64)
-    word, uid = np.repeat([5, 9], [4000, 50]), rng.permutation(4050)
-    cols = np.stack([word, uid, rng.integers(8, 12, 4050) << 32, word * 0, word * 0])
-    hot = np.bincount(line_dedup._cell(word.astype(np.uint64), 64), minlength=64) > 1000
-    packed = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([cols.tobytes()], pa.binary())], names=["part", "prefixes"])
+    key, uid = np.repeat([5, 9], [4000, 50]), rng.permutation(4050)
+    cols = [x.astype(kind) for x, (kind, _) in zip((key, uid, rng.integers(8, 12, 4050), key * 0, key * 0, key * 0), line_dedup._ENTRY)]
+    hot = np.bincount(line_dedup._cell(cols[0], 64), minlength=64) > 1000
+    packed = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([b"".join(c.tobytes() for c in cols)], pa.binary())], names=["part", "prefixes"])
     cold = next(line_dedup._cold(types.SimpleNamespace(value=hot))(iter([packed]))).column(1)[0].as_py()
-    assert set(line_dedup._entries(cold)[0]) == {9} and line_dedup._entries(cold).shape[1] == 50
+    assert set(line_dedup._entries(cold)[0]) == {9} and len(line_dedup._entries(cold)[0]) == 50
     ties = next(line_dedup._hot_ties(types.SimpleNamespace(value=hot))(iter([packed]))).to_pandas()
-    assert len(ties) == 4000 and (ties.uid == ties.least).sum() == 4 and set(ties.word) == {5}
+    assert len(ties) == 4000 and (ties.uid == ties.least).sum() == 4 and set(ties.key) == {5}
     assert (ties.groupby("size").uid.min() == ties.groupby("size").least.max()).all()
 
 
@@ -185,6 +198,37 @@ def test_line_dedup_of_template_lines_by_hot_words(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(rows)
 
 
+def test_candidates_of_the_filters_hold_every_match():
+    """Every pair of matching sets shares a key and passes the filters, whatever the rarity of the words."""
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"w{i}" for i in range(60)])
+    lines = []
+    for _ in range(400):
+        n = rng.choice([4, 5, 9, 12, 20])
+        base = rng.choice(vocab[: rng.choice([24, 60])], n, replace=False)
+        lines.append(" ".join(base))
+        lines.append(" ".join([*base[: n - n // 9 - (n > 8)], *rng.choice(vocab, n // 9)]))
+    p = line_dedup.LineParams(frequent=150, short_words=12)
+    counts = np.zeros(p.count_cells)
+    np.add.at(counts, (shingles_.word_hashes(lines)[0] % np.uint64(p.count_cells)).astype(int), 1)
+    got = line_dedup.Lines(["\n".join(lines)], np.minimum(np.log2(counts + 1) * 100, 4095).astype(np.uint16))
+    of, key, most = line_dedup.prefix_keys(got, p)
+    assert (got.size[of] <= 12).any() and (got.size[of] > 12).any()
+    a, b = line_dedup.candidate_links((key >> np.uint64(32)).astype("<u4"), of, got.size[of], most, got.maps[:, of], p)
+    tied = classes(range(len(lines)), list(zip(a.tolist(), b.tolist())))
+    sets = [frozenset(x.split()) for x in lines]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 100 and all(tied[i] == tied[j] for i, j in near)
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    line = "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(1, line, 7, 8, True), (2, line, 7, 8, True)], "doc_id long, Text string, N_Removed int, `key` int, may boolean")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "Text", "key", "may", "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, line, 8, True, 1, 0), (2, "", 8, True, 1, 1)]
+
+
 def test_line_dedup_of_odd_tables(spark):
     line = "alpha beta gamma delta epsilon zeta"
     docs = spark.createDataFrame([(None, line, "a"), (1, line, "b"), (2, line + "\nother words here", "c"), (2, line + "\nother words here", "c")], "doc_id long, text string, kind string")

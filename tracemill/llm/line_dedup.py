@@ -7,8 +7,13 @@ room for enough common words. Lines that pass those filters are tied into
 blocks; in a block the whole sets are compared, by products of their incidence
 matrices, and a line goes if an earlier one matches it.
 
-Counts live in a table of fixed size (words share cells, which only coarsens the
-order); prefixes travel as packed columns; pairs never become rows.
+A prefix word that many lines hold is refined by the next common word: two lines
+that first meet at a frequent word must meet again within prefixes that are one
+word longer, so such lines are grouped by both words. What still gathers more
+lines than one task may hold shares words far beyond chance and is tied without
+the filters. Counts live in a table of fixed size (words share cells, which only
+coarsens the order); prefixes travel as packed columns; pairs never become rows.
+Words are compared by hashes of 52 bits.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.ngram_join import overlaps
-from tracemill.llm.shingles import LINE_END, TEXT_END, mixed, word_hashes
+from tracemill.llm.shingles import LINE_END, SEPARATORS, TEXT_END, mixed, word_hashes
 from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, sliced
-from tracemill.llm.staging import drop_stage, stage
+from tracemill.llm.staging import drop_stage, small_batches, spare_names, stage, without
 
-HAS_WORD = re.compile(r"[0-9A-Za-z]|[^\x00-\x7f]").search
+HAS_WORD = re.compile(f"[0-9A-Za-z]|[^\\x00-\\x7f{SEPARATORS}]").search
 
 
 @dataclass(frozen=True)
@@ -37,9 +42,10 @@ class LineParams:
     #: cells of the word counts and of the filter of line sets, both of fixed size
     count_cells: int = 1 << 20
     filter_bits: int = 1 << 26
-    #: lines that share one prefix word: up to here every pair is tested, above neighbours by size are tied
-    group_rows: int = 4096
-    #: prefix entries of a cell of words, above which its words are not gathered but tied where they are
+    #: words that occur more often are joined by pairs of words, in lines of at most ``short_words`` words
+    frequent: int = 4096
+    short_words: int = 128
+    #: prefix entries of a cell of keys, above which its keys are not gathered but tied where they are
     hot_rows: int = 1 << 16
     tile_rows: int = 512
 
@@ -50,7 +56,7 @@ class Lines:
     def __init__(self, texts: list[str], counts: np.ndarray | None):
         words, starts, data, ends = word_hashes(texts)
         breaks = np.flatnonzero((data == LINE_END) | (data == TEXT_END))
-        line = np.searchsorted(breaks, starts)
+        line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))
         self.total = len(breaks)
         last = np.searchsorted(breaks, ends)
         self.per_text = np.diff(np.concatenate([[-1], last]))
@@ -91,17 +97,23 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tup
             yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
 
+def _saturated(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums of counts that stay at the largest value of their type."""
+    top = np.iinfo(a.dtype).max
+    np.add(a, np.minimum(b, top - a), out=out)
+    return out
+
+
 def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
     """For each cell the logarithm of how often its words occur in all documents, in 12 bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(p.count_cells, np.int64)
         for _, texts in _batches(batches):
-            cells = (word_hashes(texts)[0] % np.uint64(p.count_cells)).astype(np.int64)
-            table += np.bincount(cells, minlength=p.count_cells)
-        yield sliced(table.astype("<u4"))
+            np.add.at(table, (word_hashes(texts)[0] % np.uint64(p.count_cells)).astype(np.int64), 1)
+        yield sliced(np.minimum(table, (1 << 32) - 1).astype("<u4"))
 
-    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", np.add, p.count_cells)
+    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", _saturated, p.count_cells)
     return np.minimum(np.log2(total + 1.0) * 100, 4095).astype(np.uint16)
 
 
@@ -109,66 +121,74 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def candidate_links(word: np.ndarray, uid: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """(set, another of its group) for all sets that some shared prefix word ties to another."""
-    order = np.lexsort((uid, size, word))
-    word, uid, size, place, bits = word[order], uid[order], size[order], place[order], bits[:, order]
-    keep = np.ones(len(word), bool)
-    keep[1:] = (word[1:] != word[:-1]) | (uid[1:] != uid[:-1])
-    word, uid, size, place, bits = word[keep], uid[keep], size[keep], place[keep], bits[:, keep]
+def prefix_keys(lines: Lines, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, most) of every prefix entry: two lines that match share a key, and have at most the smaller ``most`` words in common.
+
+    The key is the first common word, or, where that is frequent, the first two.
+    Lines near ``short_words`` have keys of both kinds, since one of the two may be longer.
+    A set of fewer than 4 words is similar to none but itself and has none.
+    """
+    size = lines.size[lines.line]
+    place = np.arange(len(lines.word)) - lines.first[lines.line]
+    within = (place < prefix_length(size, p.threshold)) & (size >= 4)
+    rank = (lines.word >> np.uint64(52)).astype(np.int64)
+    # a word that occurs once in all documents is in no other line
+    within &= rank > 100
+    frequent = rank > np.log2(p.frequent + 1.0) * 100
+    one = np.flatnonzero(within & (~frequent | (size > p.threshold * p.short_words)))
+    first = np.flatnonzero(within & frequent & (size <= p.short_words))
+    # the second common word lies within a prefix that is one word longer
+    left = np.minimum(prefix_length(size[first], p.threshold) + 1, size[first]) - place[first] - 1
+    left = np.maximum(left, 0)
+    two = np.repeat(first, left)
+    second = two + 1 + np.arange(len(two)) - np.repeat(np.cumsum(left) - left, left)
+    key = np.concatenate([mixed(lines.plain[one]), mixed(mixed(lines.plain[two]) + lines.plain[second])])
+    most = np.concatenate([size[one] - place[one], size[two] - place[second] + 1])
+    return np.concatenate([lines.line[one], lines.line[two]]), key, most
+
+
+def candidate_links(key: np.ndarray, uid: np.ndarray, size: np.ndarray, most: np.ndarray, maps: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """(set, another of its group) for all sets that some shared key ties to another; keys are of 32 bits."""
+    at = (key.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
+    order = np.argsort(at)
+    at, uid, size, most, maps = at[order], uid[order], size[order].astype(np.int64), most[order].astype(np.int64), maps[:, order]
     names, local = np.unique(uid, return_inverse=True)
     forest = Forest(len(names))
-    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
-    count = np.diff(np.append(start, len(word)))
-    rest = size - place - 1
-    # groups of a few lines, all at once: each line with the one, two, ... lines after it
-    small = count <= 64
-    pairs_a, pairs_b = [], []
-    member = np.repeat(np.where(small, count, 0), count)
-    ends = np.repeat(start + count, count)
-    for gap in range(1, int(member.max(initial=0))):
-        i = np.flatnonzero((member > gap) & (np.arange(len(word)) + gap < ends))
-        if not len(i):
-            break
-        j = i + gap
-        ok = _possible(size[i], size[j], rest[i], rest[j], bits[:, i], bits[:, j], p.threshold)
-        pairs_a.append(local[i[ok]])
-        pairs_b.append(local[j[ok]])
-    if pairs_a:
-        forest.link(np.concatenate(pairs_a), np.concatenate(pairs_b))
-    for s, n in zip(start[~small], count[~small]):
-        if n > p.group_rows:  # a superset of the possible pairs: neighbours in the order of size
-            i = np.arange(s, s + n - 1)
-            ok = size[i] >= p.threshold * size[i + 1] - 1e-9
-            forest.link(local[i[ok]], local[i[ok] + 1])
-            continue
-        for a in range(s, s + n, 512):
-            i, j = np.arange(a, min(a + 512, s + n))[:, None], np.arange(a, s + n)[None, :]
-            x, y = np.nonzero(_possible(size[i], size[j], rest[i], rest[j], bits[:, i], bits[:, j], p.threshold) & (j > i))
-            forest.link(local[a + x], local[a + y])
+    # each line is tested with those after it in its group, as far as the length filter allows
+    longest = np.floor(size / p.threshold + 1e-9).astype(np.uint64)
+    upto = np.searchsorted(at, (at & np.uint64(0xFFFFFFFF00000000)) | np.minimum(longest, np.uint64(0xFFFFFFFF)), side="right")
+    n = upto - np.arange(len(at)) - 1
+    done = np.cumsum(n)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + (1 << 19), side="right")))
+        for a in range(0, int(n[begin]) if end == begin + 1 else 1, 1 << 20):  # one line may have more than fit
+            some = np.minimum(n[begin:end] - a, 1 << 20)
+            i = np.repeat(np.arange(begin, end), some)
+            j = i + 1 + a + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+            both = size[i] + size[j]
+            room = both - 2 * np.ceil(p.threshold / (1 + p.threshold) * both - 1e-9).astype(np.int64)
+            ok = np.flatnonzero(np.bitwise_count(maps[0, i] ^ maps[0, j]) <= room)
+            i, j, both, room = i[ok], j[ok], both[ok], room[ok]
+            apart = np.bitwise_count(maps[0, i] ^ maps[0, j]).astype(np.int64) + np.bitwise_count(maps[1, i] ^ maps[1, j])
+            ok = (apart <= room) & (2 * np.minimum(most[i], most[j]) >= both - room)
+            forest.link(local[i[ok]], local[j[ok]])
+        begin = end
     moved = np.flatnonzero(forest.label != np.arange(len(names)))
     return names[moved], names[forest.label[moved]]
 
 
-def _possible(size_a, size_b, rest_a, rest_b, maps_a, maps_b, threshold: float):
-    """Length and positional filters, and the bound by the maps; size_a <= size_b."""
-    both = size_a + size_b
-    need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-    apart = np.bitwise_count(maps_a[0] ^ maps_b[0]).astype(np.int64) + np.bitwise_count(maps_a[1] ^ maps_b[1])
-    return (size_a >= threshold * size_b - 1e-9) & (1 + np.minimum(rest_a, rest_b) >= need) & (both - apart >= 2 * need)
-
-
 def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The first place of every line set, links between sets that may match, and how many lines with words each document has; one pass over the texts.
 
-    The prefixes are packed into ``parts`` groups of words. Each task also counts
-    the prefix entries of its words in a table of fixed size; words of cells with
-    more than ``hot_rows`` are in no group, see :func:`_hot_ties`.
+    The prefixes are packed into ``parts`` groups of keys. Each task also counts
+    the entries of its keys in a table of fixed size; keys of cells with more
+    than ``hot_rows`` are in no group, see :func:`_hot_ties`.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "word", "of", "size", "place", "low", "high")}
+        held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "doc", "line", "key", "of", "size", "most", "low", "high")}
         room = 0
         entries = np.zeros(p.count_cells, np.int64)
 
@@ -178,18 +198,19 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             uid = c["uid"][by]
             lead = np.concatenate([[True], uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, bool)
             by = by[lead]
-            word, of = c["word"].astype(np.uint64), c["of"]
-            near = np.lexsort((of, word))  # one prefix entry for each word and set
-            word, of, size, place, bits = word[near], of[near], c["size"][near], c["place"][near], np.stack([c["low"], c["high"]])[:, near]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-            word, of, size, place, bits = word[new], of[new], size[new], place[new], bits[:, new]
-            np.add.at(entries, _cell(word, p.count_cells), 1)
-            group = (mixed(word) % np.uint64(parts)).astype(np.int64)
-            by_group = np.argsort(group, kind="stable")
-            bounds = np.searchsorted(group[by_group], np.arange(parts + 1))
+            # groups of keys, and one entry for each key and set
+            full = c["key"].astype(np.uint64)
+            group = full % np.uint64(parts)
+            near = np.argsort((group << np.uint64(44)) | (mixed(full + mixed(c["of"].astype(np.uint64))) >> np.uint64(20)))
+            key, of = (full >> np.uint64(32)).astype("<u4")[near], c["of"][near]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            near, key = near[new], key[new]
+            np.add.at(entries, _cell(key, p.count_cells), 1)
+            bounds = np.searchsorted(group[near], np.arange(parts + 1).astype(np.uint64))
             used = np.flatnonzero(np.diff(bounds))
-            blobs = [np.stack([x[by_group[bounds[g] : bounds[g + 1]]].astype(np.int64) for x in (word.view(np.int64), of, size << 32 | place, *bits)]).tobytes() for g in used]
+            cols = [key, c["of"][near], c["size"][near].astype("<u4"), c["most"][near].astype("<u4"), c["low"][near], c["high"][near]]
+            blobs = [b"".join(x[bounds[g] : bounds[g + 1]].tobytes() for x in cols) for g in used]
             named, lines_of = np.unique(c["doc"].astype(np.int64), return_counts=True)
             n, m, d = len(by), len(used), len(named)
             # rows of three kinds: first places, packed prefixes, and documents (whose number of lines stands under line)
@@ -213,18 +234,15 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             held["uid"].append(uid[real])
             held["doc"].append(doc[lines.text[real]])
             held["line"].append(lines.number[real])
-            place = np.arange(len(lines.word)) - lines.first[lines.line]
-            size = lines.size[lines.line]
-            # a set of fewer than 4 words is similar to none but itself
-            keep = (place < prefix_length(size, p.threshold)) & (size >= 4)
-            held["word"].append(lines.word[keep].view(np.int64))
-            held["of"].append(uid[lines.line[keep]])
-            held["size"].append(size[keep])
-            held["place"].append(place[keep])
+            of, key, most = prefix_keys(lines, p)
+            held["key"].append(key)
+            held["of"].append(uid[of])
+            held["size"].append(lines.size[of])
+            held["most"].append(most)
             for half, bits in zip(("low", "high"), lines.maps.view(np.int64)):
-                held[half].append(bits[lines.line[keep]])
-            room += int(keep.sum())
-            if room > 1_000_000:
+                held[half].append(bits[of])
+            room += len(of) + int(real.sum())
+            if room > 600_000:
                 room = 0
                 yield flush()
         yield flush()
@@ -238,11 +256,11 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
     firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
     tables = both.where("part < 0").select((-1 - F.col("part")).cast("int").alias("slice"), F.col("prefixes").alias("cells"))
-    hot = merged(tables, "<u4", np.add, p.count_cells) > p.hot_rows
+    hot = merged(tables, "<u4", _saturated, p.count_cells) > p.hot_rows
     prefixes = both.where("part >= 0").select("part", "prefixes")
     if hot.any():
         cells = docs.sparkSession.sparkContext.broadcast(hot)  # fixed size
-        ties = stage(prefixes.mapInArrow(_hot_ties(cells), "word long, size long, uid long, least long"), "line-ties")
+        ties = stage(prefixes.mapInArrow(_hot_ties(cells), "key long, size long, uid long, least long"), "line-ties")
         links = _chained(ties, p).unionByName(
             prefixes.mapInArrow(_cold(cells), "part long, prefixes binary").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
         )
@@ -255,58 +273,65 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
     return firsts, links, sizes
 
 
-def _cell(word: np.ndarray, cells: int) -> np.ndarray:
-    return (mixed(word) % np.uint64(cells)).astype(np.int64)
+def _cell(key: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(key.astype(np.uint64)) % np.uint64(cells)).astype(np.int64)
+
 
+#: an entry of packed prefixes: key, set, size and most as in :func:`prefix_keys`, and the two halves of the map; column by column
+_ENTRY = (("<u4", 4), ("<i8", 8), ("<u4", 4), ("<u4", 4), ("<u8", 8), ("<u8", 8))
 
-def _entries(packed: bytes) -> np.ndarray:
-    """Packed prefixes as five rows: word, set, size and place, and the two halves of the map."""
-    return np.frombuffer(packed, np.int64).reshape(5, -1)
+
+def _entries(packed: bytes) -> list[np.ndarray]:
+    n, at, out = len(packed) // sum(w for _, w in _ENTRY), 0, []
+    for kind, width in _ENTRY:
+        out.append(np.frombuffer(packed, kind, n, at))
+        at += n * width
+    return out
 
 
 def _cold(hot):
-    """The packed prefixes without the words of hot cells."""
+    """The packed prefixes without the keys of hot cells."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, left = [], []
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 cols = _entries(packed)
-                cold = cols[:, ~hot.value[_cell(cols[0].view(np.uint64), len(hot.value))]]
-                if cold.size:
+                cold = ~hot.value[_cell(cols[0], len(hot.value))]
+                if cold.any():
                     parts.append(part)
-                    left.append(cold.tobytes())
+                    left.append(b"".join(c[cold].tobytes() for c in cols))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(left, pa.binary())], names=["part", "prefixes"])
 
     return keep
 
 
 def _hot_ties(hot):
-    """Every set under a word of a hot cell, and the least set of that word and size among the same packed prefixes."""
+    """Every set under a key of a hot cell, and the least set of that key and size among the same packed prefixes."""
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(1).to_pylist():
-                cols = _entries(packed)
-                cols = cols[:, hot.value[_cell(cols[0].view(np.uint64), len(hot.value))]]
-                word, uid, size = cols[0], cols[1], cols[2] >> 32
-                order = np.lexsort((uid, size, word))
-                word, uid, size = word[order], uid[order], size[order]
-                lead = np.ones(len(word), bool)
-                lead[1:] = (word[1:] != word[:-1]) | (size[1:] != size[:-1])
+                key, uid, size = _entries(packed)[:3]
+                own = hot.value[_cell(key, len(hot.value))]
+                key, uid, size = key[own].astype(np.int64), uid[own], size[own].astype(np.int64)
+                order = np.lexsort((uid, size, key))
+                key, uid, size = key[order], uid[order], size[order]
+                lead = np.ones(len(key), bool)
+                lead[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])
                 least = uid[lead][np.cumsum(lead) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, size, uid, least)], names=["word", "size", "uid", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size, uid, least)], names=["key", "size", "uid", "least"])
 
     return tie
 
 
 def _chained(ties: DataFrame, p: LineParams) -> DataFrame:
-    """Links that tie the sets of each word as neighbours in the order of size, as ``candidate_links`` does for large groups.
+    """Links that tie the sets of each key as neighbours in the order of size: a superset of the pairs that may match.
 
-    Only the least sets are ordered by word: at most one row for each size and
-    each million prefix entries that a task has packed.
+    Only the least sets are ordered by key: at most one row for each size and
+    each pack of prefix entries of a task.
     """
-    by_size = Window.partitionBy("word").orderBy("size", "uid")
+    by_size = Window.partitionBy("key").orderBy("size", "uid")
     leasts = ties.where("uid = least").select("size", "uid", F.lag("uid").over(by_size).alias("before"), F.lag("size").over(by_size).alias("smaller"))
     tied = leasts.where(F.col("smaller") >= p.threshold * F.col("size") - 1e-9).select(F.col("uid").alias("src"), F.col("before").alias("dst"))
     return tied.unionByName(ties.where("uid <> least").select(F.col("uid").alias("src"), F.col("least").alias("dst")))
@@ -314,8 +339,8 @@ def _chained(ties: DataFrame, p: LineParams) -> DataFrame:
 
 def _candidates(p: LineParams):
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        cols = np.concatenate([_entries(x) for x in table.column("prefixes").to_pylist()], 1)
-        a, b = candidate_links(cols[0].view(np.uint64), cols[1], cols[2] >> 32, cols[2] & 0xFFFFFFFF, cols[3:].view(np.uint64), p)
+        cols = [np.concatenate(c) for c in zip(*(_entries(x) for x in table.column("prefixes").to_pylist()))]
+        a, b = candidate_links(*cols[:4], np.stack(cols[4:]), p)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
     return find
@@ -406,16 +431,20 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
     threshold, whether or not that one stays. Lines without words always stay.
     Null texts stay null, with no lines; null ids come first and count as one
     document, as do rows that repeat an id: equal places do not remove each
-    other. Input columns named n_lines or n_removed are replaced; all others
-    pass through. An empty table gives no rows.
+    other. Input columns named n_lines or n_removed, in any case, are replaced;
+    all others pass through. Texts and lines of any length are compared whole.
+    An empty table gives no rows.
     """
     p = params or LineParams()
+    small_batches(docs.sparkSession)
     places, sizes = kept_lines(docs, p, id_col, text_col)
-    stays = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("__stays"), F.count("*").alias("n_kept"))
+    kept = without(docs.columns, "n_lines", "n_removed")
+    key, stays, loses, may, cut = spare_names([*kept, "doc_id", "n"], "key", "stays", "loses", "may", "cut")
+    left = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias(stays), F.count("*").alias("n_kept"))
     # a row for each document that loses a line: only those texts are shuffled
-    losers = sizes.join(stays, "doc_id", "left").where(F.coalesce("n_kept", F.lit(0)) < F.col("n"))
-    losers = stage(losers.select(F.col("doc_id").alias("__key"), "__stays", F.lit(True).alias("__loses")), "line-losers")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(losers, [["__key"]], p.filter_bits))  # fixed size
+    losers = sizes.join(left, "doc_id", "left").where(F.coalesce("n_kept", F.lit(0)) < F.col("n"))
+    losers = stage(losers.select(F.col("doc_id").alias(key), stays, F.lit(True).alias(loses)), "line-losers")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(losers, [[key]], p.filter_bits))  # fixed size
 
     @F.arrow_udf("boolean")
     def may_lose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -425,10 +454,10 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
 
     @F.arrow_udf("text string, n_lines long, n_removed long")
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, stays in batches:
+        for texts, stay in batches:
             out, n, removed = [], [], []
             for a in range(0, len(texts), 256):
-                for text, at in zip(texts.slice(a, 256).to_pylist(), stays.slice(a, 256).to_pylist()):
+                for text, at in zip(texts.slice(a, 256).to_pylist(), stay.slice(a, 256).to_pylist()):
                     lines, keep = (text or "").split("\n"), set(at or ())
                     left = [t for i, t in enumerate(lines) if i in keep or not HAS_WORD(t)]
                     out.append("\n".join(left))
@@ -436,18 +465,17 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
                     removed.append(len(lines) - len(left))
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__key"))
-    keyed = keyed.withColumn("__may", may_lose("__key"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(key))
+    keyed = keyed.withColumn(may, may_lose(key))
     # losers grow with the corpus, so no broadcast at any size
-    met = keyed.where("__may").join(losers.hint("merge"), "__key", "left")
-    cut = met.where("__loses").withColumn("__cut", apply(F.col(text_col), F.col("__stays")))
-    columns = [F.when(F.col(c).isNotNull(), F.col("__cut.text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
-    cut = cut.select(*columns, "__cut.n_lines", "__cut.n_removed")
+    met = keyed.where(may).join(losers.hint("merge"), key, "left")
+    short = met.where(loses).withColumn(cut, apply(F.col(text_col), F.col(stays)))
+    columns = [F.when(F.col(c).isNotNull(), F.col(f"{cut}.text")).alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in kept]
+    short = short.select(*columns, f"{cut}.n_lines", f"{cut}.n_removed")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_lines = F.when(text != "", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
 
     def whole(rows: DataFrame) -> DataFrame:
         return rows.select(*(F.col(f"`{c}`") for c in kept), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
 
-    return cut.unionByName(whole(met.where("__loses is null"))).unionByName(whole(keyed.where("not __may")))
+    return short.unionByName(whole(met.where(f"{loses} is null"))).unionByName(whole(keyed.where(f"not {may}")))

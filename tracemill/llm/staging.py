@@ -16,21 +16,31 @@ _own_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset (local runs, tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one if the session is local, else an error.
+
+    On a cluster a local folder would be another one on each machine, and rows
+    would be missing without a word.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.sparkContext.setCheckpointDir(_own_root[app])
-    return _own_root[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_root:
+        _own_root[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracemill-")
+        context.setCheckpointDir(_own_root[context.applicationId])
+    return _own_root[context.applicationId]
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tracemill-stages/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and returns a reader of it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tracemill-stages/{label}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.stage_path = path
@@ -44,7 +54,30 @@ def drop_stage(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in a batch that crosses to Python: whole texts have no bound, and 10,000 of them, Spark's default, fill a worker."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
+def spare_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before each as make it unlike all columns; Spark does not tell cases apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns but those of the names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def clear_stages(spark: SparkSession) -> None:
-    """Deletes all staged tables of the shared folder, for use once results have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tracemill-stages")
+    """Deletes all staged tables of this application, for use once results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
