@@ -20,22 +20,22 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("predicted = 0").select(*docs.columns)
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(toxicity.toxicity_score(F.col("text"), model) < 0.7)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match earlier ones; a document goes if every line of it with words did."""
-    cut = line_dedup.dedup_lines(docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # in a struct, where no name can clash
+    cut = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")))
     cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.HAS_WORD.__self__.pattern))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return cut.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of similar documents; of rows with equal ids and texts one."""
-    classes = ngram_join.join_documents(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return ngram_join.one_of_each_class(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import types
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.llm import embedding_dedup, line_dedup, ngram_join, topk
 from tracemill.llm import shingles as shingles_
@@ -103,7 +104,7 @@ def test_ngram_join_keeps_every_verified_link_of_a_block(spark):
     base = [f"b{i}" for i in range(100)]
     rows = [(0, " ".join(base))] + [(i, " ".join(base[: i + 3] + [f"x{i}"] + base[i + 4 :])) for i in range(1, 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join_documents(docs, ngram_join.JoinParams(trees=4, recall=0.6)).collect()}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join_documents(docs, ngram_join.JoinParams(trees=6, recall=0.9)).collect()}
     sets = [shingles(t) for _, t in rows]
     assert got == {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
 
@@ -115,20 +116,83 @@ def test_ngram_join_of_odd_tables(spark):
     assert ngram_join.join_documents(docs.where("false")).count() == 0
 
 
-def test_recall_of_the_forest():
-    p = ngram_join.JoinParams()
-    assert 1 - (1 - p.threshold**p.depth) ** p.trees >= p.recall
-    assert 1 - (1 - p.threshold ** (p.depth + 1)) ** p.trees < p.recall
+def paths_of_pairs(n, common=40, own=5, seed=5):
+    """Paths of ``n`` pairs of sets with a Jaccard index of 0.8 exactly (40 common values of 50)."""
+    rng, p = np.random.default_rng(seed), ngram_join.JoinParams()
+    values = rng.integers(0, 1 << 63, (n, common), dtype=np.uint64)
+    signer = ngram_join.Signer(p)
+    return [signer.paths(np.concatenate([values, rng.integers(0, 1 << 63, (n, own), dtype=np.uint64)], 1).reshape(-1), np.full(n, common + own)) for _ in range(2)]
 
 
-def test_pairs_at_the_threshold_become_candidates():
-    """4000 pairs of sets with Jaccard 0.8 exactly (40 common values of 50): each pair shares a prefix."""
-    rng, n, p = np.random.default_rng(5), 4000, ngram_join.JoinParams()
-    common, own = rng.integers(0, 1 << 63, (n, 40), dtype=np.uint64), rng.integers(0, 1 << 63, (2, n, 5), dtype=np.uint64)
-    signer = ngram_join.Signer(p)
-    left, right = (signer.prefixes(np.concatenate([common, side], 1).reshape(-1), np.full(n, 45)) for side in own)
-    assert (left == right).any(1).all()
-    assert (1 - p.threshold**p.depth) ** p.trees < 1e-6
+def table_of(paths, p):
+    out = np.zeros(p.node_cells, np.int64)
+    for d in range(p.shortest, p.longest + 1):
+        np.add.at(out, ngram_join.node_cells(paths, d, p.node_cells).reshape(-1), 1)
+    return out
+
+
+def test_depths_reach_the_recall_and_differ_between_parts():
+    """Lonely texts end at one depth; texts of a dense part keep long prefixes in crowded tries and take short ones elsewhere."""
+    p, rng = ngram_join.JoinParams(), np.random.default_rng(6)
+    lonely = rng.integers(0, 1 << 63, (300, p.trees), dtype=np.uint64)
+    dense = rng.integers(0, 1 << 63, (2000, p.trees), dtype=np.uint64)
+    dense[:, :30] = dense[0, :30]  # in 30 of the 48 tries they share one path
+    both = np.concatenate([lonely, dense])
+    depth = ngram_join.chosen_depths(both, table_of(both, p), p)
+    miss = np.log1p(-(p.threshold ** depth)).sum(1)
+    assert (miss <= np.log1p(-p.recall)).all()
+    assert (depth[:300].max(1) - depth[:300].min(1) <= 1).mean() > 0.95 and depth[:300].min() >= 6
+    assert (depth[300:, :30] == p.longest).mean() > 0.9 and (depth[300:, 30:] < 6).mean() > 0.9
+
+
+def test_pairs_at_the_threshold_meet():
+    """Each of 4000 pairs shares a prefix that one of the two matches."""
+    p = ngram_join.JoinParams()
+    left, right = paths_of_pairs(4000)
+    table = table_of(np.concatenate([left, right]), p)
+    depth = np.minimum(ngram_join.chosen_depths(left, table, p), ngram_join.chosen_depths(right, table, p))
+    assert (ngram_join.prefix(left, depth) == ngram_join.prefix(right, depth)).any(1).all()
+
+
+@pytest.mark.parametrize("cut", [None, 7, 100])
+def test_ties_of_the_tries_against_brute_force(cut):
+    """Every text is tied to all others under a prefix that it matches, also where tasks part the rows of a trie."""
+    rng, p = np.random.default_rng(3), ngram_join.JoinParams(trees=3)
+    paths = rng.integers(0, 2, (60, 3, 8), dtype=np.uint64)
+    paths = (paths << (np.uint64(56) - 8 * np.arange(8, dtype=np.uint64))).sum(2).astype(np.uint64)
+    depth = rng.integers(3, 9, (60, 3))
+    tree, uid = np.tile(np.arange(3), 60), np.repeat(np.arange(60), 3)
+    path, want_depth = paths.reshape(-1), depth.reshape(-1)
+    order = np.lexsort((uid, path, tree))
+    tree, path, uid, want_depth = tree[order], path[order], uid[order], want_depth[order]
+    edges = []
+    for a in range(0, len(uid), cut or len(uid)):
+        rows = slice(a, a + (cut or len(uid)))
+        edges += list(zip(*(x.tolist() for x in ngram_join.trie_ties(tree[rows], path[rows], uid[rows], want_depth[rows], p))))
+        if a and tree[a] == tree[a - 1] and ngram_join.prefix(path[a : a + 1], 2) == ngram_join.prefix(path[a - 1 : a], 2):
+            edges.append((int(uid[a]), int(uid[a - 1])))
+    tied = classes(range(60), edges)
+    for i in range(60):
+        for t in range(3):
+            under = ngram_join.prefix(paths[:, t], int(depth[i, t])) == ngram_join.prefix(paths[i : i + 1, t], int(depth[i, t]))
+            assert all(tied[i] == tied[j] for j in np.flatnonzero(under).tolist())
+
+
+def test_ngram_join_by_many_tasks(spark):
+    """Tries parted among many tasks give the same classes."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, n_links int, class_id string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    many = ngram_join.join_documents(docs, ngram_join.JoinParams(trie_rows=900)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(many) == sorted(ngram_join.join_documents(docs).collect())
+
+
+def test_one_of_each_class_goes_by_rows(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red green blue black white pink grey brown")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (None, b, "z"), (None, c, "u"), (None, c, "u"), (7, None, "n"), (7, None, "n"), (8, "", "n"), (9, b.upper(), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row_id` string")
+    got = sorted(map(tuple, ngram_join.one_of_each_class(docs).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (5, b, "y"), (None, c, "u"), (7, None, "n"), (7, None, "n"), (8, "", "n")], key=str)
 
 
 def brute_lines(rows, threshold=0.8):
@@ -320,6 +384,10 @@ def test_pipeline_stages(spark, tmp_path):
     one = [r["doc_id"] for r in cp.keep_one_of_each_class(spark, docs, sf).collect()]
     assert one.count(1) == 1 and 300 in one and 301 not in one and {303, 304, None} <= set(one)
     assert cp.run(spark, sf).select("doc_id").distinct().count() > 150
+    clash = docs.withColumn("score", F.lit("mine")).withColumn("N_Lines", F.lit("mine"))
+    for f in (cp.drop_toxic, cp.drop_repeated_lines, cp.keep_one_of_each_class):
+        out = f(spark, clash, sf)
+        assert out.columns == clash.columns and out.where("score <> 'mine' or N_Lines <> 'mine'").count() == 0
     for _, stage in cp.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
 

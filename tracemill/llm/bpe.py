@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.staging import small_batches, spare_names, without
+
 LONG = 200
 NO_RANK = 1 << 60
 ID = (1 << 20) - 1
@@ -206,9 +208,13 @@ def bpe_round_trip(text: Column, path: str) -> Column:
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array<int>) and decoded (string) of every whole text.
 
-    Null texts count as empty: no ids, empty decoded text. Repeated rows are
-    encoded each. Input columns named ids or decoded are replaced.
+    Null texts count as empty: no ids, empty decoded text. Texts of any length
+    are encoded whole, repeated rows each. Input columns named ids or decoded, in
+    any case, are replaced. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     coded = bpe_round_trip(F.col(text_col), path)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*kept, coded.alias("__coded")).select(*kept, "__coded.ids", "__coded.decoded")
+    names = without(docs.columns, "ids", "decoded")
+    (both,) = spare_names(names, "coded")
+    kept = [F.col(f"`{c}`") for c in names]
+    return docs.select(*kept, coded.alias(both)).select(*kept, f"{both}.ids", f"{both}.decoded")

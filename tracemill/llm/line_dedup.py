@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.ngram_join import overlaps
 from tracemill.llm.shingles import LINE_END, SEPARATORS, TEXT_END, mixed, word_hashes
-from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, sliced
+from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, saturated, sliced
 from tracemill.llm.staging import drop_stage, small_batches, spare_names, stage, without
 
 HAS_WORD = re.compile(f"[0-9A-Za-z]|[^\\x00-\\x7f{SEPARATORS}]").search
@@ -97,13 +97,6 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tup
             yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
 
-def _saturated(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Sums of counts that stay at the largest value of their type."""
-    top = np.iinfo(a.dtype).max
-    np.add(a, np.minimum(b, top - a), out=out)
-    return out
-
-
 def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
     """For each cell the logarithm of how often its words occur in all documents, in 12 bits."""
 
@@ -113,7 +106,7 @@ def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
             np.add.at(table, (word_hashes(texts)[0] % np.uint64(p.count_cells)).astype(np.int64), 1)
         yield sliced(np.minimum(table, (1 << 32) - 1).astype("<u4"))
 
-    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", _saturated, p.count_cells)
+    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", saturated, p.count_cells)
     return np.minimum(np.log2(total + 1.0) * 100, 4095).astype(np.uint16)
 
 
@@ -256,7 +249,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
     firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
     tables = both.where("part < 0").select((-1 - F.col("part")).cast("int").alias("slice"), F.col("prefixes").alias("cells"))
-    hot = merged(tables, "<u4", _saturated, p.count_cells) > p.hot_rows
+    hot = merged(tables, "<u4", saturated, p.count_cells) > p.hot_rows
     prefixes = both.where("part >= 0").select("part", "prefixes")
     if hot.any():
         cells = docs.sparkSession.sparkContext.broadcast(hot)  # fixed size

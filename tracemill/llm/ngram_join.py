@@ -1,20 +1,25 @@
 """Similarity join of documents by the Jaccard index of their word n-grams.
 
-Candidates come from fixed MinHash banding: each of ``trees`` bands hashes
-``depth`` values of the signature, and texts with an equal band are tied. The
-depth is the longest at which a pair at the threshold shares a band with the
-target recall; it follows from the parameters before any data is read. This is
-what a forest of prefix tries gives once every text has gone down to that depth:
-a longer common prefix implies the shorter one, so no tries are built and no
-values beyond the depth are computed. Every pair of a block is then verified on
-the full shingle sets.
+Candidates come from a MinHash LSH forest. Every tree is a trie of signatures:
+the path of a text is ``longest`` MinHash labels of eight bits, and the tries lie
+as rows in the order of tree and path, where a node is a run of rows with a
+common prefix. A text starts with its whole path in every tree; its matched
+prefixes are shortened one label at a time, where the next node holds the fewest
+texts first, until a pair at the threshold shares one of them with the target
+recall. Texts of dense parts so keep long prefixes in crowded tries and take
+short ones in others; lonely texts end at one depth everywhere.
+
+How many texts a node holds is read from a table of fixed size that all texts
+fill (nodes share cells); only classes of sizes count, so that whether a single
+partner lies under a node does not decide whether it is opened. The recall holds
+for any choice of depths.
 
 Texts with equal words in order are one text with a weight. Documents tied by
-shared prefixes form blocks, cut into tiles of bounded size; two tiles of a
-block are compared by products of their shingle incidence matrices, so that a
-group of thousands of near copies costs products, not rows of pairs. Every pair
-of a block that passes the exact test is a link, whether or not the two share a
-prefix themselves. Only link counts and a spanning forest leave a comparison.
+shared prefixes form blocks, cut into tiles of bounded rows and shingles; two
+tiles of a block are compared by products of their shingle incidence matrices,
+so that a group of thousands of near copies costs products, not rows of pairs.
+Every pair of a block is verified on the whole shingle sets, and every one that
+passes is a link. Only link counts and a spanning forest leave a comparison.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.shingles import mixed, shingle_hashes
-from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed
-from tracemill.llm.staging import stage
+from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, saturated, sliced
+from tracemill.llm.staging import small_batches, spare_names, stage
 
 
 @dataclass(frozen=True)
@@ -38,33 +44,33 @@ class JoinParams:
     width: int = 5
     threshold: float = 0.8
     trees: int = 48
-    max_depth: int = 10
+    #: labels of a path, and the shortest prefix that may match
+    longest: int = 8
+    shortest: int = 2
     #: chance that a pair just at the threshold becomes a candidate; one in a million may be lost there
     recall: float = 0.999999
+    #: cells of the table of node sizes; nodes of up to ``sparse`` texts are one class of size
+    node_cells: int = 1 << 20
+    sparse: int = 64
+    #: rows of the tries that one task sorts, texts and shingles of a tile
+    trie_rows: int = 1 << 20
     tile_rows: int = 512
+    tile_shingles: int = 1 << 20
     filter_bits: int = 1 << 26
     seed: int = 11
 
-    @property
-    def depth(self) -> int:
-        """The longest band that a pair at the threshold shares in some tree with the target recall."""
-        depth = self.max_depth
-        while depth > 1 and 1 - (1 - self.threshold**depth) ** self.trees < self.recall:
-            depth -= 1
-        return depth
-
 
 class Signer:
-    """MinHash values by multiply-shift of mixed shingle hashes."""
+    """MinHash labels by multiply-shift of mixed shingle hashes."""
 
     def __init__(self, p: JoinParams):
         rng = np.random.default_rng(p.seed)
-        self.p, self.size = p, p.trees * p.depth
-        self.factors = rng.integers(1, 1 << 63, self.size, dtype=np.uint64) | np.uint64(1)
-        self.shifts = rng.integers(0, 1 << 63, self.size, dtype=np.uint64)
+        self.p, size = p, p.trees * p.longest
+        self.factors = rng.integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
+        self.shifts = rng.integers(0, 1 << 63, size, dtype=np.uint64)
 
-    def prefixes(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """A hash of each tree's prefix for each text (rows); texts without shingles get zeros."""
+    def paths(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The path of each text (rows) in each tree, its first label in the highest byte; texts without shingles get zeros."""
         out = np.zeros((len(counts), self.p.trees), np.uint64)
         some = counts > 0
         if not some.any():
@@ -75,32 +81,155 @@ class Signer:
         for a, b in zip(cuts, [*cuts[1:], len(begin)]):
             lo, hi = begin[a], begin[b] if b < len(begin) else len(values)
             rows = np.flatnonzero(some)[a:b]
-            for t in range(self.p.trees):
-                key = np.full(b - a, t + 1, np.uint64)
-                for k in range(t * self.p.depth, (t + 1) * self.p.depth):
-                    least = np.minimum.reduceat(values[lo:hi] * self.factors[k] + self.shifts[k], begin[a:b] - lo)
-                    key = mixed(key + least)
-                out[rows, t] = key
+            for k in range(len(self.factors)):
+                least = np.minimum.reduceat(values[lo:hi] * self.factors[k] + self.shifts[k], begin[a:b] - lo)
+                tree, level = divmod(k, self.p.longest)
+                out[rows, tree] |= (mixed(least) >> np.uint64(56)) << np.uint64(56 - 8 * level)
         return out
 
 
+def prefix(paths: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+    """The first ``depth`` (at least 1) labels of paths, the others zero."""
+    shift = (64 - 8 * np.asarray(depth)).astype(np.uint64)
+    return paths >> shift << shift
+
+
+def node_cells(paths: np.ndarray, depth: int, cells: int) -> np.ndarray:
+    """Where the table counts the nodes of that depth, for rows of paths (a column for each tree)."""
+    tags = mixed((np.arange(paths.shape[1]) * 16 + depth + 1).astype(np.uint64))
+    return (mixed(prefix(paths, depth) + tags) % np.uint64(cells)).astype(np.int64)
+
+
+def chosen_depths(paths: np.ndarray, sizes: np.ndarray, p: JoinParams) -> np.ndarray:
+    """The depth of each text (rows) in each tree; ``sizes`` is the table of node sizes.
+
+    Starts at the longest and shortens, in the tree whose next node is of the
+    smallest class of sizes (the longest prefix among those), until the chance to
+    miss a pair at the threshold is within the target.
+    """
+    n, depths = len(paths), range(p.shortest, p.longest + 1)
+    load = max(1.0, float(np.median(sizes)))  # what other nodes bring into every cell
+    crowd = np.stack([np.log2(np.maximum((sizes[node_cells(paths, d, len(sizes))] - load) / p.sparse, 1)).astype(np.int64) for d in depths], 2)
+    miss = np.log1p(-(p.threshold ** np.arange(1, p.longest + 1)))
+    goal = np.log1p(-p.recall)
+    depth = np.full(paths.shape, p.longest)
+    # of the next node: class of size, then how short the prefix is already
+    cost = crowd[:, :, -2] * 64 if p.longest > p.shortest else np.zeros(paths.shape, np.int64)
+    total = np.full(n, p.trees * miss[-1])
+    live = np.arange(n)
+    for _ in range(p.trees * (p.longest - p.shortest)):
+        live = live[total[live] > goal]
+        if not len(live):
+            break
+        tree = cost[live].argmin(1)
+        d = depth[live, tree] - 1
+        depth[live, tree] = d
+        total[live] += miss[d - 1] - miss[d]
+        ended = d == p.shortest
+        cost[live, tree] = np.where(ended, 1 << 40, crowd[live, tree, np.maximum(d - 1 - p.shortest, 0)] * 64 + p.longest - d)
+    return depth
+
+
+def trie_ties(tree: np.ndarray, path: np.ndarray, uid: np.ndarray, depth: np.ndarray, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
+    """(text, another) that tie the texts of each node some text matches; rows lie in the order of tree and path.
+
+    A text matches all texts under its prefix. Nodes at either end may go on in
+    other tasks' rows, with a text there that matches them, so they always tie.
+    """
+    forest = Forest(len(uid))
+    for d in range(p.shortest, p.longest + 1):
+        at = prefix(path, d)
+        start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (tree[1:] != tree[:-1])]))
+        matched = np.minimum.reduceat(depth, start) <= d
+        matched[[0, -1]] = True
+        size = np.diff(np.append(start, len(uid)))
+        first = np.repeat(start, size)
+        rows = np.flatnonzero(np.repeat(matched, size) & (first != np.arange(len(uid))))
+        forest.link(rows, first[rows])
+    moved = np.flatnonzero(forest.label != np.arange(len(uid)))
+    pairs = np.unique(np.stack([uid[moved], uid[forest.label[moved]]]), axis=1)
+    return pairs[0], pairs[1]
+
+
 def _signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """doc_id, n_shingles, words (digest of the words in order) and one prefix hash per tree."""
+    """doc_id, key, n_shingles, words (digest of the words in order) and the paths of all trees as bytes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(p)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                values, counts, whole = shingle_hashes([t or "" for t in part.column(1).to_pylist()], p.width)
-                keys = signer.prefixes(values, counts)
-                flat = pa.array(keys.reshape(-1).view(np.int64))
-                trees = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * p.trees, pa.int32()), flat)
+                values, counts, whole = shingle_hashes([t or "" for t in part.column(2).to_pylist()], p.width)
+                paths = [x.tobytes() for x in signer.paths(values, counts).astype("<u8")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts.astype(np.int64)), pa.array(whole.view(np.int64)), trees], names=["doc_id", "n_shingles", "words", "trees"]
+                    [part.column(0), part.column(1), pa.array(counts.astype(np.int64)), pa.array(whole.view(np.int64)), pa.array(paths, pa.binary())],
+                    names=["doc_id", "key", "n_shingles", "words", "paths"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, words long, trees array<long>")
+    return docs.mapInArrow(sign, "doc_id long, key long, n_shingles long, words long, paths binary")
+
+
+def _unpacked(column: pa.Array, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, trees)
+
+
+def forest_edges(reps: DataFrame, n_reps: int, p: JoinParams) -> DataFrame:
+    """(src, dst) that tie the texts (uid, paths) of every node that one of them matches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(p.node_cells, np.int64)
+        for batch in batches:
+            paths = _unpacked(batch.column(0), p.trees)
+            for d in range(p.shortest, p.longest + 1):
+                np.add.at(table, node_cells(paths, d, p.node_cells).reshape(-1), 1)
+        yield sliced(np.minimum(table, (1 << 32) - 1).astype("<u4"))
+
+    sizes = merged(reps.select("paths").mapInArrow(count, "slice int, cells binary"), "<u4", saturated, p.node_cells)
+    sizes = reps.sparkSession.sparkContext.broadcast(sizes)  # fixed size
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, paths = batch.column(0).to_numpy(), _unpacked(batch.column(1), p.trees)
+            depth = chosen_depths(paths, sizes.value, p)
+            tree = np.tile(np.arange(p.trees, dtype=np.int32), len(uid))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree), pa.array(paths.reshape(-1).view(np.int64)), pa.array(np.repeat(uid, p.trees)), pa.array(depth.reshape(-1).astype(np.int32))],
+                names=["tree", "path", "uid", "depth"],
+            )
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        part = TaskContext.get().partitionId()
+        src = dst = np.zeros(0, np.int64)
+        ends = []
+        if got:
+            tree, path, uid, depth = (np.concatenate(c) for c in zip(*got))
+            path = path.view(np.uint64)
+            src, dst = trie_ties(tree, path, uid, depth, p)
+            stems = prefix(path[[0, -1]], p.shortest).view(np.int64)
+            ends = [(part, False, int(tree[0]), int(stems[0]), int(uid[0])), (part, True, int(tree[-1]), int(stems[1]), int(uid[-1]))]
+        n, m = len(src), len(ends)
+        none = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(src), pa.array([e[4] for e in ends], pa.int64())]),
+                pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]),
+                *(pa.concat_arrays([none, pa.array([int(e[k]) for e in ends], pa.int64())]) for k in range(4)),
+            ],
+            names=["src", "dst", "part", "is_last", "tree", "stem"],
+        )
+
+    rows = reps.select("uid", "paths").mapInArrow(open_, "tree int, path long, uid long, depth int")
+    # by the text too, so that a path that many texts have is split among tasks
+    parts = max(1, -(-n_reps * p.trees // p.trie_rows), min(n_reps * p.trees // 1000, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    order = ["tree", "path", "uid"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = stage(dealt.mapInArrow(tie, "src long, dst long, part long, is_last long, tree long, stem long"), "trie-ties")
+    # a node may go on from the last row of a task to the first of the next that has rows: two rows for each task
+    ends = found.where("dst is null")
+    after = F.lead(F.struct("is_last", "tree", "stem", F.col("src").alias("uid"))).over(Window.orderBy("part", "is_last"))
+    borders = ends.withColumn("after", after).where("is_last = 1 and tree = after.tree and stem = after.stem")
+    return found.where("dst is not null").select("src", "dst").unionByName(borders.select("src", F.col("after.uid").alias("dst")))
 
 
 def _sets(docs: DataFrame, wanted, p: JoinParams) -> DataFrame:
@@ -115,7 +244,7 @@ def _sets(docs: DataFrame, wanted, p: JoinParams) -> DataFrame:
                 sets = [np.unique(v).tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], names=["words", "shingles"])
 
-    return docs.mapInArrow(pick, "words long, shingles binary").dropDuplicates(["words"])
+    return docs.select("doc_id", "text").mapInArrow(pick, "words long, shingles binary").dropDuplicates(["words"])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
@@ -176,39 +305,30 @@ def _compare(p: JoinParams):
     return compare
 
 
-def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links.
-
-    Two documents link if the Jaccard index of their sets of ``width``-word
-    shingles reaches the threshold. n_links counts the other documents linked
-    directly, copies each. class_id is the smallest doc_id of the documents
-    reachable by links. Texts with fewer words are one shingle; null texts and
-    those without words link with nothing. Repeated rows are documents each; a
-    class whose ids are all null has a null id. An empty table gives no rows;
-    other columns are ignored.
-    """
-    p = params or JoinParams()
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, p: JoinParams, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document: doc_id, key (hash of the text), class_id, n_links, and kept for the rows equal to the one that stands for its class."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     signed = stage(_signatures(source, p), "signatures")
     has_words = F.col("n_shingles") > 0
-    reps = signed.where(has_words).groupBy("words").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.any_value("trees").alias("trees"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    reps = signed.where(has_words).groupBy("words").agg(
+        F.min(row).alias("least"), F.count("*").alias("n"), F.any_value("n_shingles").alias("size"), F.any_value("paths").alias("paths")
+    )
     reps = stage(reps.withColumn("uid", F.monotonically_increasing_id()), "texts")
-
-    # shared prefixes: a row for each tree and text, joined to the least text of the same prefix
-    leaves = reps.select("uid", F.explode("trees").alias("prefix"))
-    runs = leaves.groupBy("prefix").agg(F.min("uid").alias("least"), F.count("*").alias("m")).where("m > 1").select("prefix", "least")
-    blocks = stage(connected_components(leaves.join(runs, "prefix").select(F.col("uid").alias("src"), F.col("least").alias("dst"))), "blocks")
-
-    # blocks of at most tile_rows texts share groups of about that size; larger ones are cut into tiles
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / p.tile_rows).cast("long").alias("tiles"))
-    groups = max(1, blocks.count() // p.tile_rows)
-    members = reps.join(blocks.withColumnRenamed("node", "uid"), "uid").join(sizes, "component")
-    members = members.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
+    blocks = stage(connected_components(forest_edges(reps, reps.count(), p)), "blocks")
+
+    # small blocks share groups of about a tile's size; larger ones are cut into tiles
+    members = reps.drop("paths").join(blocks.withColumnRenamed("node", "uid"), "uid")
+    load = F.greatest(F.count("*") / p.tile_rows, F.sum("size") / p.tile_shingles)
+    sizes = members.groupBy("component").agg(F.ceil(load).cast("long").alias("tiles"))
+    groups = max(1, int(members.agg(load).first()[0] or 1))
+    members = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
     members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(groups))))
-    members = stage(members.select("uid", "words", "least_id", "n", "component", "tiles", "tile", "grp"), "members")
+    members = stage(members.select("uid", "words", F.col("least.doc_id").alias("doc_id"), "n", "component", "tiles", "tile", "grp"), "members")
     # one document of each member is read again for its shingles; the filter of fixed size spares the others, the join is exact
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["least_id"]], p.filter_bits))
-    sets = stage(_sets(source, wanted, p).join(members.drop("least_id"), "words").drop("words"), "shingle-sets")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["doc_id"]], p.filter_bits))
+    sets = stage(_sets(source, wanted, p).join(members.drop("doc_id"), "words").drop("words"), "shingle-sets")
 
     firsts = sets.withColumn("t2", F.explode(F.sequence("tile", F.col("tiles") - 1)))
     firsts = firsts.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))
@@ -220,10 +340,54 @@ def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: st
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("uid").alias("src"), F.col("root").alias("dst")))
-    names = parts.join(reps.select(F.col("uid").alias("node"), "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = parts.join(names, "component").select(F.col("node").alias("uid"), "class_id")
-    judged = reps.join(links, "uid", "left").join(named, "uid", "left")
-    judged = judged.select("words", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least_id").alias("class_id"))
-    out = signed.where(has_words).join(judged, "words").select("doc_id", "class_id", "n_links")
-    alone = signed.where(~has_words).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    names = parts.join(reps.select(F.col("uid").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("class"))
+    named = parts.join(names, "component").select(F.col("node").alias("uid"), "class")
+    judged = reps.drop("paths").join(links, "uid", "left").join(named, "uid", "left")
+    judged = judged.select("words", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "least").alias("class"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("key") == F.col("class.key"))
+    out = signed.where(has_words).join(judged, "words").select("doc_id", "key", F.col("class.doc_id").alias("class_id"), "n_links", kept.alias("kept"), F.lit(True).alias("has_words"))
+    alone = signed.where(~has_words).select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("has_words"))
     return out.unionByName(alone)
+
+
+def join_documents(docs: DataFrame, params: JoinParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, n_links.
+
+    Two documents link if the Jaccard index of their sets of ``width``-word
+    shingles reaches the threshold. n_links counts the other documents linked
+    directly, copies each. class_id is the smallest doc_id of the documents
+    reachable by links. Texts with fewer words are one shingle; null texts and
+    those without words link with nothing. Texts of any length are compared
+    whole. Repeated rows are documents each; a class whose ids are all null has a
+    null id. An empty table gives no rows; other columns are ignored.
+    """
+    return _classes(docs, params or JoinParams(), id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, params: JoinParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, with one row of each class of linked documents: the one with the smallest id (nulls last).
+
+    Rows are told apart by id and text, so rows that share an id, or have none,
+    stay or go by their own text; of rows equal in both one stays. Texts without
+    words stay, each row of them. Only rows that go, and those that are repeated,
+    are shuffled with their texts.
+    """
+    p = params or JoinParams()
+    judged = _classes(docs, p, id_col, text_col).where("has_words").groupBy("doc_id", "key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    row_id, row_key, may, kept = spare_names(docs.columns, "row_id", "row_key", "may", "kept")
+    special = judged.where("not kept or n > 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(row_id), F.col("key").alias(row_key), F.col("kept").alias(kept))
+    special = stage(special, "not-single")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(special, [[row_id, row_key]], p.filter_bits))  # fixed size
+
+    @F.arrow_udf("boolean")
+    def may_be(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        bits = wanted.value
+        for ids, keys in batches:
+            yield pa.array(has_bits(bits, hashed(ids.to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False))))
+
+    keyed = docs.withColumns({row_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), row_key: F.xxhash64(F.col(text_col))})
+    keyed = keyed.withColumn(may, may_be(row_id, row_key))
+    met = keyed.where(may).join(special.hint("merge"), [row_id, row_key], "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.where(f"not {may}").select(*columns).unionByName(met.where(f"{kept} is null").select(*columns))
+    return single.unionByName(met.where(kept).dropDuplicates([row_id, row_key]).select(*columns))

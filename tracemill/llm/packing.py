@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import byte_symbols
-from tracemill.llm.staging import stage
+from tracemill.llm.staging import small_batches, stage
 
 # equal to the byte-level pre-tokenizer's pattern; possessive, so that it never backtracks
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -190,6 +190,7 @@ def pack(
     every sequence holds ``length`` ids, but for at most log2(length) last ones
     that hold a power of two each.
     """
+    small_batches(docs.sparkSession)
     tokens = stage(
         tokenised(docs, path, end_id, id_col, text_col, buckets, dims, bits, seed).withColumn("row_id", F.monotonically_increasing_id()),
         "pack-tokens",

@@ -42,6 +42,12 @@ def merged(slices: DataFrame, kind: str, join: np.ufunc, size: int) -> np.ndarra
     return np.concatenate([np.frombuffer(r["cells"], kind) for r in sorted(rows, key=lambda r: r["slice"])])
 
 
+def saturated(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums of counts that stay at the largest value of their type."""
+    np.add(a, np.minimum(b, np.iinfo(a.dtype).max - a), out=out)
+    return out
+
+
 def hashed(*columns: np.ndarray) -> np.ndarray:
     """One hash for the rows of some long columns."""
     out = mixed(columns[0].view(np.uint64))

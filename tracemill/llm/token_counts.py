@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.staging import small_batches
+
 SPACE = "▁"
 _WITH_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -115,9 +117,11 @@ def count_tokens(
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens).
 
     Null texts count as empty: 0 bytes, 0 tokens, not over. Repeated rows are
-    counted each. Input columns with the three output names are replaced. Any
-    other columns pass through and never reach Python.
+    counted each, texts of any length whole. Input columns with the three output
+    names are replaced. Any other columns pass through and never reach Python. An
+    empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.withColumns(
         {
             "n_bytes": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long"),

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.staging import small_batches, without
+
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -111,7 +113,7 @@ class _Descent:
 class ToxicityModel:
     """``weights``: for each n-gram bucket, its vector's part in the difference of the two logits; ``bias`` likewise."""
 
-    def __init__(self, weights: np.ndarray, bias: float, params: ToxicityParams, max_cached: int = 400_000):
+    def __init__(self, weights: np.ndarray, bias: float, params: ToxicityParams, max_cached: int = 200_000):
         self.weights, self.bias, self.params, self.max_cached = weights, bias, params, max_cached
         self.known: dict[str, float] = {}
 
@@ -242,20 +244,30 @@ def train(texts: list[str], y: np.ndarray, p: ToxicityParams) -> ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: of each class the ``max_rows`` rows that come first by a hash of the id, while they hold ``max_chars``."""
+    """A bounded sample of labelled texts: of each class the ``max_rows`` ids that come first by a hash, while their texts hold ``max_chars``.
+
+    Ids and lengths are chosen first, then only the chosen texts are fetched. Of
+    rows that repeat an id one counts, the shortest.
+    """
     known = labels.where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
     known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("y") == c).orderBy("h", "doc_id").limit(params.max_rows) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most twice max_rows short rows, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id").limit(2 * params.max_rows)
-    texts, y, room = [], [], params.max_chars
-    for r in got.select("text", "y").toLocalIterator():
-        text = r["text"] or ""
-        if len(text) <= room:  # whole texts only
-            room -= len(text)
-            texts.append(text)
-            y.append(r["y"])
-    return texts, y
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"size": F.length("text"), "key": F.xxhash64("text")})
+    met = texts.drop("text").join(F.broadcast(chosen), "doc_id")
+    sizes = met.groupBy("doc_id", "y", "h").agg(F.min(F.struct("size", "key")).alias("at")).select("doc_id", "y", "h", "at.*").collect()
+    wanted, room = {}, params.max_chars
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= room:  # whole texts only
+            room -= r["size"]
+            wanted[r["doc_id"]] = r
+    if not wanted:
+        return [], []
+    picks = docs.sparkSession.createDataFrame([(i, r["key"]) for i, r in wanted.items()], "doc_id long, key long")
+    found = texts.join(F.broadcast(picks), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
+    got = {r["doc_id"]: r["text"] for r in found.toLocalIterator()}
+    order = [i for i in wanted if i in got]
+    return [got[i] for i in order], [wanted[i]["y"] for i in order]
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
@@ -267,8 +279,7 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.setdefault("model", ToxicityModel(weights.astype(float), bias, params))
         for texts in batches:
-            rows = texts.to_pylist()
-            out = [own.score([t or "" for t in rows[a : a + 500]]) for a in range(0, len(rows), 500)]
+            out = [own.score([t or "" for t in texts.slice(a, 200).to_pylist()]) for a in range(0, len(texts), 200)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score(text)
@@ -279,19 +290,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def fitted(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, label_col: str = "toxic") -> ToxicityModel:
+    """A model fitted on the bounded sample of labelled rows that are not held out."""
+    params = params or ToxicityParams()
+    small_batches(docs.sparkSession)
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return fit(*labelled_sample(docs, known, params, label_col), params)
+
+
 def classify(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, threshold: float = 0.7, label_col: str = "toxic") -> DataFrame:
     """``docs`` with held_out, score (0 to 1) and predicted (1 if score >= ``threshold``).
 
     Fits on labelled rows that are not held out. Only the text is an input of a
-    score. Null and empty texts get the constant of the model; repeated rows are
-    scored each. Null ids are not held out. Without labels of both classes every
-    score is their share of label 1 (0.001 without any). Input columns with the
-    three output names are replaced.
+    score. Null and empty texts get the constant of the model; texts of any
+    length are scored whole; repeated rows are scored each. Null ids are not held
+    out. Without labels of both classes every score is their share of label 1
+    (0.001 without any). Input columns with the three output names, in any case,
+    are replaced. An empty table gives no rows.
     """
-    params = params or ToxicityParams()
-    fitted = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    model = fit(*labelled_sample(docs, fitted, params, label_col), params)
-    out = docs.withColumns(
-        {"held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "score": toxicity_score(F.col("text"), model)}
-    )
+    score = toxicity_score(F.col("text"), fitted(docs, labels, params, label_col))
+    kept = [F.col(f"`{c}`") for c in without(docs.columns, "held_out", "score", "predicted")]
+    out = docs.select(*kept, F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
