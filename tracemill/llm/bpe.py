@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.staging import small_batches, spare_names, without
+from tracemill.llm.staging import released, small_batches, spare_names, without
 
 LONG = 200
 NO_RANK = 1 << 60
@@ -172,6 +172,7 @@ def bpe_encode(text: Column, path: str) -> Column:
     """Ids of each whole text as array<int>; null and empty texts have none. Strings of special tokens become their ids."""
 
     @F.arrow_udf("array<int>")
+    @released
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(path)
         for texts in batches:
@@ -184,6 +185,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
     """The text of each id list: token strings joined by spaces, as a vocabulary without a decoder gives it."""
 
     @F.arrow_udf("string")
+    @released
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(path)
         for lists in batches:
@@ -196,6 +198,7 @@ def bpe_round_trip(text: Column, path: str) -> Column:
     """struct<ids, decoded>: both of the above in one worker, so that its tables are held once."""
 
     @F.arrow_udf("ids array<int>, decoded string")
+    @released
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(path)
         for texts in batches:

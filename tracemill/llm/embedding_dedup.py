@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import Forest, connected_components
-from tracemill.llm.staging import stage
+from tracemill.llm.staging import released, stage
 from tracemill.llm.vectors import is_finite, packed, unpack
 
 SLACK = 1e-9  # above the rounding of rotated sums
@@ -159,7 +159,7 @@ def near_duplicates(
         return out.where(ordered if second else f"{ordered} or (c1 = c2 and t1 = t2)")
 
     found = partners(False).unionByName(partners(True)).groupBy("size", "c1", "t1", "c2", "t2")
-    found = stage(found.applyInArrow(_compare(axes, threshold), "uid long, links long, root long"), "links")
+    found = stage(found.applyInArrow(released(_compare(axes, threshold)), "uid long, links long, root long"), "links")
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("uid").alias("src"), F.col("root").alias("dst")))

@@ -31,7 +31,7 @@ from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.ngram_join import overlaps
 from tracemill.llm.shingles import LINE_END, SEPARATORS, TEXT_END, mixed, word_hashes
 from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, saturated, sliced
-from tracemill.llm.staging import drop_stage, small_batches, spare_names, stage, without
+from tracemill.llm.staging import drop_stage, released, small_batches, spare_names, stage, without
 
 HAS_WORD = re.compile(f"[0-9A-Za-z]|[^\\x00-\\x7f{SEPARATORS}]").search
 
@@ -106,7 +106,7 @@ def rarity(docs: DataFrame, p: LineParams) -> np.ndarray:
             np.add.at(table, (word_hashes(texts)[0] % np.uint64(p.count_cells)).astype(np.int64), 1)
         yield sliced(np.minimum(table, (1 << 32) - 1).astype("<u4"))
 
-    total = merged(docs.mapInArrow(count, "slice int, cells binary"), "<u4", saturated, p.count_cells)
+    total = merged(docs.mapInArrow(released(count), "slice int, cells binary"), "<u4", saturated, p.count_cells)
     return np.minimum(np.log2(total + 1.0) * 100, 4095).astype(np.uint16)
 
 
@@ -245,7 +245,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             part = pa.array(-1 - table.column(0).to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([none, none, none, part, table.column(1)], names=["uid", "doc_id", "line", "part", "prefixes"])
 
-    both = stage(docs.mapInArrow(cut, "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
+    both = stage(docs.mapInArrow(released(cut), "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
     firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
     tables = both.where("part < 0").select((-1 - F.col("part")).cast("int").alias("slice"), F.col("prefixes").alias("cells"))
@@ -253,12 +253,12 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
     prefixes = both.where("part >= 0").select("part", "prefixes")
     if hot.any():
         cells = docs.sparkSession.sparkContext.broadcast(hot)  # fixed size
-        ties = stage(prefixes.mapInArrow(_hot_ties(cells), "key long, size long, uid long, least long"), "line-ties")
+        ties = stage(prefixes.mapInArrow(released(_hot_ties(cells)), "key long, size long, uid long, least long"), "line-ties")
         links = _chained(ties, p).unionByName(
-            prefixes.mapInArrow(_cold(cells), "part long, prefixes binary").groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
+            prefixes.mapInArrow(released(_cold(cells)), "part long, prefixes binary").groupBy("part").applyInArrow(released(_candidates(p)), "src long, dst long")
         )
     else:
-        links = prefixes.groupBy("part").applyInArrow(_candidates(p), "src long, dst long")
+        links = prefixes.groupBy("part").applyInArrow(released(_candidates(p)), "src long, dst long")
     links = stage(links, "line-links")
     sizes = both.where("uid is null and part is null").groupBy("doc_id").agg(F.sum("line").alias("n"))
     sizes = stage(sizes, "line-counts")
@@ -354,7 +354,7 @@ def _block_sets(docs: DataFrame, wanted, p: LineParams) -> DataFrame:
                 sets = [np.sort(lines.plain[lines.first[r] : lines.first[r] + lines.size[r]]).tobytes() for r in rows.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key.view(np.int64)[rows]), pa.array(sets, pa.binary())], names=["uid", "words"])
 
-    return docs.mapInArrow(pick, "uid long, words binary")
+    return docs.mapInArrow(released(pick), "uid long, words binary")
 
 
 def _matched(p: LineParams):
@@ -411,7 +411,7 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
         behind = behind.select("*", F.col("tile").alias("t2"), F.lit(True).alias("second"))
         columns = ["grp", "t1", "t2", "large", "component", "second", "uid", "doc_id", "line", "words"]
         pairs = ahead.select(columns).unionByName(behind.select(columns)).groupBy("grp", "t1", "t2", "large")
-        gone = pairs.applyInArrow(_matched(p), "uid long").distinct()
+        gone = pairs.applyInArrow(released(_matched(p)), "uid long").distinct()
         firsts = firsts.join(gone, "uid", "left_anti")
     return firsts.select("doc_id", "line"), sizes
 
@@ -440,12 +440,14 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, id_col: str =
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(losers, [[key]], p.filter_bits))  # fixed size
 
     @F.arrow_udf("boolean")
+    @released
     def may_lose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bits = wanted.value
         for keys in batches:
             yield pa.array(has_bits(bits, hashed(keys.to_numpy(zero_copy_only=False))))
 
     @F.arrow_udf("text string, n_lines long, n_removed long")
+    @released
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, stay in batches:
             out, n, removed = [], [], []

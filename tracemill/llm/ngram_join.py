@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.components import Forest, connected_components
 from tracemill.llm.shingles import mixed, shingle_hashes
 from tracemill.llm.sketches import NO_ID, bit_filter, has_bits, hashed, merged, saturated, sliced
-from tracemill.llm.staging import small_batches, spare_names, stage
+from tracemill.llm.staging import released, small_batches, spare_names, stage
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def _signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
                     names=["doc_id", "key", "n_shingles", "words", "paths"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, key long, n_shingles long, words long, paths binary")
+    return docs.mapInArrow(released(sign), "doc_id long, key long, n_shingles long, words long, paths binary")
 
 
 def _unpacked(column: pa.Array, trees: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def forest_edges(reps: DataFrame, n_reps: int, p: JoinParams) -> DataFrame:
                 np.add.at(table, node_cells(paths, d, p.node_cells).reshape(-1), 1)
         yield sliced(np.minimum(table, (1 << 32) - 1).astype("<u4"))
 
-    sizes = merged(reps.select("paths").mapInArrow(count, "slice int, cells binary"), "<u4", saturated, p.node_cells)
+    sizes = merged(reps.select("paths").mapInArrow(released(count), "slice int, cells binary"), "<u4", saturated, p.node_cells)
     sizes = reps.sparkSession.sparkContext.broadcast(sizes)  # fixed size
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +219,12 @@ def forest_edges(reps: DataFrame, n_reps: int, p: JoinParams) -> DataFrame:
             names=["src", "dst", "part", "is_last", "tree", "stem"],
         )
 
-    rows = reps.select("uid", "paths").mapInArrow(open_, "tree int, path long, uid long, depth int")
+    rows = reps.select("uid", "paths").mapInArrow(released(open_), "tree int, path long, uid long, depth int")
     # by the text too, so that a path that many texts have is split among tasks
     parts = max(1, -(-n_reps * p.trees // p.trie_rows), min(n_reps * p.trees // 1000, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     order = ["tree", "path", "uid"]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stage(dealt.mapInArrow(tie, "src long, dst long, part long, is_last long, tree long, stem long"), "trie-ties")
+    found = stage(dealt.mapInArrow(released(tie), "src long, dst long, part long, is_last long, tree long, stem long"), "trie-ties")
     # a node may go on from the last row of a task to the first of the next that has rows: two rows for each task
     ends = found.where("dst is null")
     after = F.lead(F.struct("is_last", "tree", "stem", F.col("src").alias("uid"))).over(Window.orderBy("part", "is_last"))
@@ -244,7 +244,7 @@ def _sets(docs: DataFrame, wanted, p: JoinParams) -> DataFrame:
                 sets = [np.unique(v).tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], names=["words", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(pick, "words long, shingles binary").dropDuplicates(["words"])
+    return docs.select("doc_id", "text").mapInArrow(released(pick), "words long, shingles binary").dropDuplicates(["words"])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
@@ -336,7 +336,7 @@ def _classes(docs: DataFrame, p: JoinParams, id_col: str, text_col: str) -> Data
     seconds = seconds.select("*", F.col("tile").alias("t2"), F.lit(True).alias("second"))
     columns = ["grp", "t1", "t2", "component", "second", "uid", "n", "shingles"]
     pairs = firsts.select(columns).unionByName(seconds.select(columns)).groupBy("grp", "t1", "t2")
-    found = stage(pairs.applyInArrow(_compare(p), "uid long, links long, root long"), "links")
+    found = stage(pairs.applyInArrow(released(_compare(p)), "uid long, links long, root long"), "links")
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("uid").alias("src"), F.col("root").alias("dst")))
@@ -380,6 +380,7 @@ def one_of_each_class(docs: DataFrame, params: JoinParams | None = None, id_col:
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(special, [[row_id, row_key]], p.filter_bits))  # fixed size
 
     @F.arrow_udf("boolean")
+    @released
     def may_be(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         bits = wanted.value
         for ids, keys in batches:

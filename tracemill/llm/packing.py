@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import byte_symbols
-from tracemill.llm.staging import small_batches, stage
+from tracemill.llm.staging import released, small_batches, stage
 
 # equal to the byte-level pre-tokenizer's pattern; possessive, so that it never backtracks
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -121,7 +121,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(encode, "doc_id long, n long, curve_key long, ids binary")
+    return source.mapInArrow(released(encode), "doc_id long, n long, curve_key long, ids binary")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def pack(
         "pack-tokens",
     )
     order = tokens.select("row_id", "n", "curve_key").repartitionByRange("curve_key", "row_id").sortWithinPartitions("curve_key", "row_id").select("row_id", "n")
-    offsets = stage(order.mapInArrow(_running, "row_id long, local_start long, n long, part int"), "pack-offsets")
+    offsets = stage(order.mapInArrow(released(_running), "row_id long, local_start long, n long, part int"), "pack-offsets")
     # one row for each partition of the sort, so it may be broadcast whatever the size of the corpus
     sums = offsets.groupBy("part").agg(F.sum("n").alias("in_part")).collect()
     base, at = [], 0
@@ -228,5 +228,5 @@ def pack(
         tokens.select("row_id", "doc_id", "n", "ids")
         .join(starts, "row_id")
         .select("doc_id", "n", "ids", "stream_start")
-        .mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        .mapInArrow(released(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     )

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracemill.llm.shingles import mixed
+from tracemill.llm.staging import released
 
 SLICES = 64
 NO_ID = -(1 << 63)  # stands for a null id
@@ -36,7 +37,7 @@ def merged(slices: DataFrame, kind: str, join: np.ufunc, size: int) -> np.ndarra
                 out = part.copy() if out is None else join(out, part, out=out)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slice", "cells"])
 
-    rows = slices.groupBy("slice").applyInArrow(merge, "slice int, cells binary").collect()  # SLICES rows
+    rows = slices.groupBy("slice").applyInArrow(released(merge), "slice int, cells binary").collect()  # SLICES rows
     if not rows:
         return np.zeros(size, kind)
     return np.concatenate([np.frombuffer(r["cells"], kind) for r in sorted(rows, key=lambda r: r["slice"])])
@@ -78,4 +79,4 @@ def bit_filter(rows: DataFrame, columns: list[list[str]], n_bits: int) -> np.nda
                 set_bits(bits, hashed(*(got[c] for c in cs)))
         yield sliced(bits)
 
-    return merged(rows.select(*names).mapInArrow(mark, "slice int, cells binary"), "u1", np.bitwise_or, n_bits // 8)
+    return merged(rows.select(*names).mapInArrow(released(mark), "slice int, cells binary"), "u1", np.bitwise_or, n_bits // 8)

@@ -7,9 +7,14 @@ several later jobs read it.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
@@ -61,6 +66,38 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+def released(function: Callable) -> Callable:
+    """``function`` for Arrow batches or groups; afterwards the worker gives its free memory back.
+
+    Python workers outlive tasks, and several stand beside each executor's JVM:
+    what their allocators keep would add up over the steps of a job.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    if inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def run(*args):
+            yield from function(*args)
+            release()
+
+    else:
+
+        @functools.wraps(function)
+        def run(*args):
+            out = function(*args)
+            release()
+            return out
+
+    run.__signature__ = inspect.signature(function)
+    return run
+
+
 def spare_names(columns: list[str], *names: str) -> list[str]:
     """The names, with as many underscores before each as make it unlike all columns; Spark does not tell cases apart."""
     taken, out = {c.lower() for c in columns}, []

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.staging import small_batches
+from tracemill.llm.staging import released, small_batches
 
 SPACE = "▁"
 _WITH_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -99,6 +99,7 @@ def token_count(text: Column, model_path: str, batch_bytes: int = 4 << 20) -> Co
     """Pieces of each text without begin and end marks; null and empty texts have none."""
 
     @F.arrow_udf("long")
+    @released
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(model_path)
         for texts in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.staging import stage
+from tracemill.llm.staging import released, stage
 from tracemill.llm.vectors import is_finite, packed, unpack
 
 
@@ -112,6 +112,6 @@ def top_k(
     asked = packed(rows.where(is_query).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))), ["size", "shard"], ["uid", "vec_id"], "v")
     docs = docs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("is_query", F.lit(False))
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))).withColumn("is_query", F.lit(True))
-    found = docs.unionByName(asked).groupBy("size", "tile", "shard").applyInArrow(_score(k), "query_uid long, query_id long, vec_id long, score long")
+    found = docs.unionByName(asked).groupBy("size", "tile", "shard").applyInArrow(released(_score(k)), "query_uid long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.staging import small_batches, without
+from tracemill.llm.staging import released, small_batches, without
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -276,6 +276,7 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     held: dict[str, ToxicityModel] = {}
 
     @F.arrow_udf("double")
+    @released
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.setdefault("model", ToxicityModel(weights.astype(float), bias, params))
         for texts in batches:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.staging import released
+
 
 def is_finite(vector: Column) -> Column:
     """True for vectors that are not null or empty and hold no null, NaN or infinity."""
@@ -30,7 +32,7 @@ def packed(rows: DataFrame, keys: list[str], longs: list[str], vector: str) -> D
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} binary" for c in [*longs, vector]])
-    return rows.select(*keys, *longs, vector).groupBy(*keys).applyInArrow(pack, schema)
+    return rows.select(*keys, *longs, vector).groupBy(*keys).applyInArrow(released(pack), schema)
 
 
 def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
