@@ -51,7 +51,7 @@ def test_web(spark, tmp_path):
     good, _ = adapters.web_manifest(files(spark, tmp_path, payload))
     rows = {r["source_id"]: r for r in good.collect()}
     assert rows["1"]["question"] == "click on x.org" and rows["1"]["group"] == "nav"
-    assert [(e["element_id"], e["text"]) for e in rows["1"]["elements"]] == [("a", "Go"), ("element_1", "Stop")] and rows["1"]["elements"][0]["bbox"] == []
+    assert [(e["element_id"], e["text"]) for e in rows["1"]["elements"]] == [("a", "Go"), ("elements_1", "Stop")] and rows["1"]["elements"][0]["bbox"] == []
     assert rows["2"]["elements"][0]["element_id"] == "target" and rows["3"]["verification_mode"] == "weak_answer"
 
 

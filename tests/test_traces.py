@@ -33,6 +33,10 @@ def issues(spark, s, kind="span"):
         (step(1, "read", "ocr_span:ocr_word:0", "x"), ["unknown_grounding_ref"]),
         (step(1, "read", "ocr_span:17", "total"), ["evidence_mismatch"]),
         (step(1, "answer"), []),
+        (step(1, "reason"), ["missing_grounding_ref"]),
+        (step(1, "derive"), []),
+        (step(1, "locate", "ocr_span:17"), []),
+        (step(1, "compute", "ocr_span:17"), ["missing_evidence_value"]),
     ],
 )
 def test_span_issues(spark, s, expected):
@@ -45,13 +49,25 @@ def test_span_issues(spark, s, expected):
         (step(1, "count", "objects:1,2", "3"), ["evidence_mismatch"]), (step(1, "count", "objects:1,2", "two"), ["evidence_mismatch"]), (step(1, "count", "objects:1,2", "2"), []),
         (step(1, "identify", "object:1", "blue"), ["evidence_mismatch"]), (step(1, "identify", "object:1", "red"), []), (step(1, "identify", "object:2", "Table"), []),
         (step(1, "relate", "relation:on:1:2", "x"), []), (step(1, "relate", "relation:on:2:1", "x"), ["evidence_mismatch"]), (step(1, "relate", "relation:on:9:1", "x"), ["unknown_grounding_ref"]),
-        (step(1, "relate", "foo:1", ""), ["malformed_grounding_ref", "missing_evidence_value"]), (step(1, "count", "objects:1,8", "2"), ["unknown_grounding_ref"]),
+        (step(1, "relate", "relation::1:2", "x"), ["malformed_grounding_ref"]), (step(1, "identify", "object:", "x"), ["unknown_grounding_ref"]),
+        (step(1, "relate", "foo:1", ""), ["malformed_grounding_ref"]), (step(1, "count", "objects:1,8", "2"), ["unknown_grounding_ref"]),
     ],
 )
 def test_object_issues(spark, s, expected):
     assert issues(spark, s, "object") == expected
 
 
+def test_repeated_ids_keep_the_last(spark):
+    row = spark.sql(
+        "select struct('identify' step_type, 'object:1' grounding_ref, 'blue' evidence_value) s, struct('read' step_type, 'element:a' grounding_ref, 'new' evidence_value) w,"
+        "array(named_struct('object_id', '1', 'name', 'red', 'attributes', cast(array() as array<string>), 'relations', cast(array() as array<struct<name string, target_object_id string>>)),"
+        "named_struct('object_id', ' 1 ', 'name', 'blue', 'attributes', cast(array() as array<string>), 'relations', cast(array() as array<struct<name string, target_object_id string>>))) objects,"
+        "array(named_struct('element_id', 'a', 'text', 'old'), named_struct('element_id', 'a', 'text', 'new')) elements"
+    )
+    assert row.select(verify.object_issues(F.col("s"), F.col("objects"))).first()[0] == []
+    assert row.select(verify.element_issues(F.col("w"), F.col("elements"), F.lit("element"))).first()[0] == []
+
+
 def test_weak_mode_checks_form_only(spark):
     rows = trace_rows(spark, [step(1, "read")])
     assert rows.select(verify.element_issues(F.col("steps")[0], F.col("elements"), F.lit("weak_answer"))).first()[0] == []

@@ -159,11 +159,15 @@ def _id_list(text: Column) -> Column:
 
 
 def scene_ref(ref: Column) -> Column:
-    """struct<kind, ids, relation, source, target> of ``object:1``, ``objects:1,2`` or ``relation:on:1:2``; kinds empty and unknown for others."""
+    """struct<kind, ids, relation, source, target> of ``object:1``, ``objects:1,2`` or ``relation:on:1:2``; kinds empty and unknown for others.
+
+    ``object:`` names one blank id; a relation with a blank part is unknown.
+    """
     text = strip(F.coalesce(ref, F.lit("")))
     parts = F.split(text, ":", 4)
-    is_relation = text.startswith("relation:") & (F.size(parts) == 4)
-    objects = F.when(text.startswith("object:"), F.filter(F.array(strip(F.substring(text, 8, 1 << 20))), lambda x: x != "")).when(
+    named = F.forall(F.slice(parts, 2, 3), lambda x: strip(x) != "")
+    is_relation = text.startswith("relation:") & (F.size(parts) == 4) & named
+    objects = F.when(text.startswith("object:"), F.array(strip(F.substring(text, 8, 1 << 20)))).when(
         text.startswith("objects:"), _id_list(F.substring(text, 9, 1 << 20))
     )
     kind = F.when(text == "", "empty").when(objects.isNotNull(), "objects").when(is_relation, "relation").otherwise("unknown")
@@ -174,7 +178,7 @@ def scene_ref(ref: Column) -> Column:
 def element_ref(ref: Column) -> Column:
     """struct<kind, ids> of ``element:a`` or ``elements:a,b``."""
     text = strip(F.coalesce(ref, F.lit("")))
-    ids = F.when(text.startswith("element:"), F.filter(F.array(strip(F.substring(text, 9, 1 << 20))), lambda x: x != "")).when(
+    ids = F.when(text.startswith("element:"), F.array(strip(F.substring(text, 9, 1 << 20)))).when(
         text.startswith("elements:"), _id_list(F.substring(text, 10, 1 << 20))
     )
     return F.struct(F.when(text == "", "empty").when(ids.isNotNull(), "elements").otherwise("unknown").alias("kind"), ids.alias("ids"))
@@ -186,10 +190,11 @@ def format_ref(ids: Column, singular: str) -> Column:
 
 
 def attribute_summary(objects: Column, ids: Column) -> Column:
-    """First two attributes and name of each object, in the order of ``ids``; unknown ids and blank parts are skipped."""
+    """First two attributes and name of each object, in the order of ``ids``; unknown ids and blank parts are skipped, the last object of an id counts."""
 
     def one(object_id: Column) -> Column:
-        found = F.get(F.filter(objects, lambda o: o["object_id"] == object_id), F.lit(0))
+        of_id = F.filter(objects, lambda o: strip(o["object_id"]) == object_id)
+        found = F.get(of_id, F.size(of_id) - 1)
         return F.concat_ws(" ", F.slice(F.coalesce(found["attributes"], F.array().cast("array<string>")), 1, 2), F.nullif(found["name"], F.lit("")))
 
     return F.array_join(F.filter(F.transform(ids, one), lambda s: s != ""), ", ")

@@ -63,7 +63,7 @@ def _span(salt: str):
 
 def _element(salt: str):
     def names(ref: Column):
-        return lambda e: F.coalesce(F.array_contains(T.element_ref(ref)["ids"], e["element_id"]), F.lit(False))
+        return lambda e: (F.coalesce(ref, F.lit("")) != "") & T.strip(e["element_id"]).isin(ref, T.last_part(ref))
 
     return _other("elements", "element_id", salt, names)
 

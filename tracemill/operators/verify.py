@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import element_ref, filled, last_part, normalize_text, scene_ref, strip
-from tracemill.schemas import GROUNDED_STEPS
+from tracemill.schemas import EVIDENCE_STEPS, GROUNDED_STEPS
 
 
 def _is_true(c: Column) -> Column:
@@ -25,16 +25,22 @@ def _issues(*rules: tuple[Column, str]) -> Column:
 
 
 def _missing(step: Column) -> tuple[Column, Column, Column, Column]:
-    """(needs evidence but has no reference, needs evidence but has no value, has a reference, has a value)."""
-    grounded = _is_true(step["step_type"].isin(*GROUNDED_STEPS))
+    """(needs a reference but has none, needs a value but has none, has a reference, has a value)."""
+    grounded, telling = (_is_true(step["step_type"].isin(*types)) for types in (GROUNDED_STEPS, EVIDENCE_STEPS))
     ref, value = F.coalesce(step["grounding_ref"], F.lit("")) != "", F.coalesce(step["evidence_value"], F.lit("")) != ""
-    return grounded & ~ref, grounded & ~value, ref, value
+    return grounded & ~ref, telling & ~value, ref, value
 
 
 def _neither_contains(a: Column, b: Column) -> Column:
     return ~a.contains(b) & ~b.contains(a)
 
 
+def _last_of(items: Column, key: str, wanted: Column) -> Column:
+    """The last item of an id, as a dictionary keeps it; ids count without outer space, blank ones not at all."""
+    found = F.filter(items, lambda i: (wanted != "") & (strip(i[key]) == wanted))
+    return F.get(found, F.size(found) - 1)
+
+
 def span_issues(step: Column, spans: Column) -> Column:
     """Issues of a step grounded in a text span; the last span of an id counts."""
     no_ref, no_value, has_ref, has_value = _missing(step)
@@ -56,19 +62,17 @@ def object_issues(step: Column, objects: Column) -> Column:
     """Issues of a step grounded in scene objects or a relation between two."""
     no_ref, no_value, has_ref, has_value = _missing(step)
     ref = scene_ref(step["grounding_ref"])
-    ids = F.transform(objects, lambda o: o["object_id"])
     is_objects, is_relation = ref["kind"] == "objects", ref["kind"] == "relation"
-    unknown = is_objects & F.exists(ref["ids"], lambda i: ~F.array_contains(ids, i))
+    unknown = is_objects & F.exists(ref["ids"], lambda i: _last_of(objects, "object_id", i).isNull())
     is_count = (step["step_type"] == "count") & has_value
     number = strip(step["evidence_value"]).try_cast("int")
     wrong_count = is_objects & ~unknown & is_count & ~_is_true(number == F.size(ref["ids"]))
-    find = lambda i: F.get(F.filter(objects, lambda o: o["object_id"] == i), F.lit(0))
-    one = find(F.get(ref["ids"], F.lit(0)))
+    one = _last_of(objects, "object_id", F.get(ref["ids"], F.lit(0)))
     names = F.concat(F.array(normalize_text(one["name"])), F.transform(F.coalesce(one["attributes"], F.array().cast("array<string>")), normalize_text))
     names = F.filter(names, lambda n: n != "")
     said = normalize_text(step["evidence_value"])
     wrong_name = is_objects & ~unknown & ~is_count & has_value & (F.size(ref["ids"]) == 1) & (said != "") & (F.size(names) > 0) & ~F.array_contains(names, said)
-    source = find(ref["source"])
+    source = _last_of(objects, "object_id", ref["source"])
     edge = F.exists(source["relations"], lambda r: (strip(r["name"]) == ref["relation"]) & (strip(r["target_object_id"]) == ref["target"]))
     return _issues(
         (no_ref, "missing_grounding_ref"),
@@ -86,10 +90,9 @@ def element_issues(step: Column, elements: Column, mode: Column) -> Column:
     no_ref, no_value, has_ref, has_value = _missing(step)
     strict = _is_true(mode == "element")
     ref = element_ref(step["grounding_ref"])
-    ids = F.transform(elements, lambda e: e["element_id"])
     is_elements = ref["kind"] == "elements"
-    unknown = is_elements & F.exists(ref["ids"], lambda i: ~F.array_contains(ids, i))
-    texts = F.transform(F.filter(elements, lambda e: F.array_contains(ref["ids"], e["element_id"])), lambda e: normalize_text(e["text"]))
+    unknown = is_elements & F.exists(ref["ids"], lambda i: _last_of(elements, "element_id", i).isNull())
+    texts = F.transform(ref["ids"], lambda i: normalize_text(_last_of(elements, "element_id", i)["text"]))
     texts = F.filter(texts, lambda t: t != "")
     said = normalize_text(step["evidence_value"])
     mismatch = is_elements & ~unknown & has_value & (F.size(texts) > 0) & (said != "") & F.forall(texts, lambda t: _neither_contains(t, said))

@@ -19,8 +19,10 @@ ERROR_TYPES = (
     "wrong_answer", "malformed_step", "validation_error",
 )
 FAMILIES = ("wrong_region", "wrong_value", "wrong_relation", "irrelevant_evidence", "wrong_intermediate_evidence")
-#: steps that must name their evidence, and whose failure is penalised
-GROUNDED_STEPS = ("locate", "read", "extract", "identify", "relate", "count", "compute", "derive", "verify")
+#: steps that must name where their evidence is, and whose failure is penalised
+GROUNDED_STEPS = ("locate", "read", "extract", "identify", "relate", "count", "compute", "reason", "verify")
+#: steps that must say what their evidence is
+EVIDENCE_STEPS = ("read", "extract", "count", "compute")
 
 STEP = (
     "struct<step_id int, step_text string, step_type string, grounding_ref string, "

@@ -60,7 +60,16 @@ def records(files: DataFrame, list_keys: tuple[str, ...], grouped: bool = False)
 
 
 def _boxes(v: Column) -> Column:
-    box = F.coalesce(F.try_variant_get(v, "$.bbox", "array<double>"), F.try_variant_get(v, "$.boundingBox", "array<double>"))
+    """The box of a list, or of an object with x, y and w, h or width, height; empty if any number is missing or none."""
+
+    def of(name: str) -> Column:
+        # zero sizes give way to the longer names
+        sides = [F.try_variant_get(v, f"$.{name}.{k}", "double") for k in ("x", "y")]
+        sides += [F.coalesce(F.nullif(F.try_variant_get(v, f"$.{name}.{k}", "double"), F.lit(0.0)), F.try_variant_get(v, f"$.{name}.{long}", "double")) for k, long in (("w", "width"), ("h", "height"))]
+        whole = sides[0].isNotNull() & sides[1].isNotNull() & sides[2].isNotNull() & sides[3].isNotNull()
+        return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<double>"), F.when(whole, F.array(*sides)))
+
+    box = F.coalesce(of("bbox"), of("boundingBox"))
     return F.when(F.forall(box, lambda x: x.isNotNull()), box).otherwise(F.array().cast("array<double>"))
 
 
@@ -210,20 +219,30 @@ def gqa_manifest(files: DataFrame, scenes: DataFrame | None, image_root: str = "
 
 
 def page_elements(v: Column) -> Column:
-    """Elements of five list names, objects or strings; a box or description alone makes one called ``target``."""
-    lists = [F.coalesce(F.try_variant_get(v, f"$.{k}", "array<variant>"), F.array().cast("array<variant>")) for k in ("elements", "candidate_elements", "page_elements", "ui_elements", "targets")]
+    """Elements of five list names, objects or plain values; a box or description alone makes one called ``target``.
 
-    def one(e: Column, i: Column) -> Column:
-        plain = F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
-        text = F.coalesce(plain, any_of(e, "text", "label", "name", "description"), F.lit(""))
-        return _fields(
-            element_id=F.coalesce(any_of(e, "element_id", "id"), F.concat(F.lit("element_"), i.cast("string"))), text=text,
-            normalized_text=T.normalize_text(text), bbox=_boxes(e), role=any_of(e, "role", "tag", "type"))
+    Elements without an id are named by their list and their place in it; blank
+    plain values and nulls count for the place only.
+    """
+
+    def listed(name: str) -> Column:
+        items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+        def one(e: Column, i: Column) -> Column:
+            made = F.concat(F.lit(f"{name}_"), i.cast("string"))
+            is_object = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
+            text = F.coalesce(F.when(is_object, any_of(e, "text", "label", "description", "elem_desc", "content")).otherwise(T.filled(F.try_variant_get(e, "$", "string"))), F.lit(""))
+            element = _fields(
+                element_id=F.coalesce(F.when(is_object, any_of(e, "element_id", "elem_id", "id", "target_id")), made), text=text,
+                normalized_text=T.normalize_text(text), bbox=_boxes(e), role=F.coalesce(any_of(e, "role", "type", "tag"), F.lit("")))
+            return F.when(is_object | (text != ""), element)
+
+        return F.filter(F.transform(items, one), lambda e: e.isNotNull())
 
-    found = F.transform(F.concat(*lists), one)
-    told = F.coalesce(any_of(v, "elem_desc"), F.lit(""))
-    target = _fields(element_id=F.lit("target"), text=told, normalized_text=T.normalize_text(told), bbox=_boxes(v), role=F.lit(None).cast("string"))
-    lone = (told != "") | (F.size(_boxes(v)) > 0)
+    found = F.concat(*(listed(k) for k in ("elements", "candidate_elements", "page_elements", "ui_elements", "targets")))
+    told = F.coalesce(any_of(v, "elem_desc", "element_description", "target_description"), F.lit(""))
+    target = _fields(element_id=F.lit("target"), text=told, normalized_text=T.normalize_text(told), bbox=_boxes(v), role=F.lit("target"))
+    lone = (told != "") | F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.bbox", "variant")) != "VOID", F.lit(False))
     return F.when((F.size(found) == 0) & lone, F.array(target)).otherwise(found)
 
 
