@@ -43,6 +43,19 @@ def pending(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return requests.join(done.select(key), key, "left_anti")
 
 
+def with_outputs(requests: DataFrame, outputs: DataFrame, order: str, key: str = "example_id", benchmark: str = "docvqa") -> DataFrame:
+    """Every output beside its request: the last output and the last request of a key (by ``order``) count.
+
+    Outputs without a request keep blank fields and the default ``benchmark``; a
+    missing temperature is 0.2. Requests without an output are left out.
+    """
+    asked = keep_last(requests, [key], [order]).select(key, "benchmark", "image_path", "question", "gold_answer")
+    said = keep_last(outputs, [key], [order])
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("image_path", "question", "gold_answer")}
+    both = said.join(asked, key, "left").withColumns({"benchmark": F.coalesce("benchmark", F.lit(benchmark)), "temperature": F.coalesce("temperature", F.lit(0.2))} | blank)
+    return both.select(key, "request_id", "benchmark", "image_path", "question", "gold_answer", "generated_text", "finish_reason", "temperature")
+
+
 def split_by_hash(rows: DataFrame, key: str, test_percent: int, salt: str = "split") -> DataFrame:
     """Adds split (train or test) by the key, so rows of one key stay together wherever they are."""
     return rows.withColumn("split", F.when(in_share(test_percent, F.lit(salt), F.col(key)), "test").otherwise("train"))

@@ -91,10 +91,63 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 
+def top1_accuracy(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Mean of 0/1 outcomes; 0 for none."""
+    return rows.agg(safe_mean(F.col(label).cast("double")).alias("top1_accuracy"))
+
+
+def with_scores(pairs: DataFrame, scores: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Pairs with the scores of their two traces, by key and never by place; a pair without both scores is left out."""
+    both = scores.where("pos_score is not null and neg_score is not null").select(key, "pos_score", "neg_score")
+    return pairs.drop("pos_score", "neg_score").join(both, key)
+
+
+def sides(pairs: DataFrame, *keep: str) -> DataFrame:
+    """A row for each side of a pair: ``keep``, score, and label 1 for the better one."""
+    return pairs.select(*keep, F.inline(F.array(*[F.struct(F.col(c).alias("score"), F.lit(l).alias("label")) for c, l in (("pos_score", 1), ("neg_score", 0))])))
+
+
+def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(group, auroc, lower, upper): mean and percentiles of the AUROC of resampled pairs, whose two scores stay together.
+
+    ``order`` is a number that orders the pairs of a group.
+    """
+    ranges = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = ordinals(pairs.select(group, order, "pos_score", "neg_score"), order, "ordinal", ranges, group)
+    sizes = numbered.groupBy(group).agg(F.count("*").alias("n"))
+    draws = sizes.select(group, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+    # each replicate of a group draws its n pairs in slices, so that no row explodes into many millions
+    slices = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(100_000).cast("long"))
+    draws = draws.select("*", F.explode(slices).alias("begin")).repartition(group, "replicate", "begin")
+    draws = draws.select(group, "n", "replicate", F.explode(F.sequence("begin", F.least(F.col("begin") + 99_999, F.col("n") - 1))).alias("i"))
+    drawn = draws.select(group, "replicate", F.pmod(draw(F.lit("bootstrap"), F.col(group), F.col("replicate"), F.col("i")), F.col("n")).alias("ordinal"))
+    times = drawn.groupBy(group, "replicate", "ordinal").agg(F.count("*").alias("times")).join(numbered, [group, "ordinal"])
+    values = weighted_auc(sides(times, group, "replicate", "times"), [group, "replicate"])
+    return values.groupBy(group).agg(
+        F.avg("value").alias("auroc"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper")
+    )
+
+
+def evaluate_auroc(pairs: DataFrame, order: str, replicates: int = 1000, threshold: float = 0.5) -> DataFrame:
+    """One row: AUROC over resampled pairs with its interval (0.5, 0, 1 without pairs), and detection of scores above the threshold."""
+    boot = pair_intervals(pairs.withColumn("all", F.lit("all")), "all", order, replicates).drop("all")
+    found = detection(sides(pairs), (F.col("score") > threshold).cast("int"), F.col("label"))
+    counts = pairs.agg(F.count("*").alias("num_positive"), F.count("*").alias("num_negative"))
+    out = found.drop("n").crossJoin(counts)  # one row each
+    out = out.withColumn("one", F.lit(1)).join(boot.withColumn("one", F.lit(1)), "one", "left").drop("one")
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("auroc", 0.5), ("lower", 0.0), ("upper", 1.0))})
+
+
+def family_intervals(pairs: DataFrame, order: str, replicates: int = 1000, family: str = "family") -> DataFrame:
+    """:func:`by_family` with the mean AUROC of resampled pairs and its interval; null for a single pair."""
+    boot = pair_intervals(pairs, family, order, replicates)
+    out = by_family(pairs, family).drop("auroc").join(boot, family)
+    return out.withColumns({c: F.when(F.col("n") > 1, F.col(c)) for c in ("auroc", "lower", "upper")})
+
+
 def by_family(pairs: DataFrame, family: str = "family") -> DataFrame:
     """AUROC, accuracy, means and population deviations per family; AUROC null for a single pair."""
-    both = pairs.select(family, F.inline(F.array(*[F.struct(F.col(c).alias("score"), F.lit(l).alias("label")) for c, l in (("pos_score", 1), ("neg_score", 0))])))
-    auc = roc_auc(both, [family]).select(family, "auroc")
+    auc = roc_auc(sides(pairs, family), [family]).select(family, "auroc")
     rest = pairs.groupBy(family).agg(
         F.count("*").alias("n"),
         F.avg((F.col("pos_score") > F.col("neg_score")).cast("double")).alias("accuracy"),
@@ -113,11 +166,20 @@ def best_and_worst(families: DataFrame, family: str = "family", value: str = "au
     )
 
 
-def ordinals(rows: DataFrame, by: str, name: str, ranges: int) -> DataFrame:
-    """Numbers the rows from 0 in the order of the number ``by``, as ``name``: each range between quantiles is numbered alone, and shifted by the rows before it."""
+def ordinals(rows: DataFrame, by: str, name: str, ranges: int, group: str | None = None) -> DataFrame:
+    """Numbers the rows from 0 in the order of the number ``by``, as ``name``: each range between quantiles is numbered alone, and shifted by the rows before it.
+
+    With a ``group`` the rows of each are numbered from 0; groups are few.
+    """
     bounds = sorted(set(rows.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     place = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(by))) if bounds else F.lit(0)
     dealt = rows.withColumn("__range", place)
+    if group:
+        sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__size"))  # one row for each group and range
+        upto = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = sizes.select(group, "__range", F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"))
+        within = F.row_number().over(Window.partitionBy(group, "__range").orderBy(by))
+        return dealt.withColumn(name, within).join(shifts, [group, "__range"]).withColumn(name, F.col(name) + F.col("__before") - 1).drop("__range", "__before")
     sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}  # one row for each range
     before = [sum(n for k, n in sizes.items() if k < i) for i in range(len(bounds) + 1)]
     within = F.row_number().over(Window.partitionBy("__range").orderBy(by))
@@ -156,7 +218,7 @@ def bootstrap_interval(values: DataFrame, replicates: int, alpha: float = 0.05)
     return out.select("mean", "lower", "upper", F.get("v", F.lit(low)).alias("lower_order"), F.get("v", F.lit(high)).alias("upper_order"))
 
 
-def decision(delta: Column, challenger_low: Column, baseline_high: Column) -> Column:
-    """GO, MARGINAL or NO-GO from the gain and the two interval bounds."""
+def decision(delta: Column, challenger_low: Column, baseline_high: Column, mock: Column | None = None) -> Column:
+    """GO, MARGINAL or NO-GO from the gain and the two interval bounds; NO-GO for mock scores."""
     go = (delta >= 0.05) & (challenger_low > baseline_high)
-    return F.when(go, "GO").when((delta >= 0.02) & (delta < 0.05), "MARGINAL").otherwise("NO-GO")
+    return F.when(F.lit(False) if mock is None else mock, "NO-GO").when(go, "GO").when((delta >= 0.02) & (delta < 0.05), "MARGINAL").otherwise("NO-GO")

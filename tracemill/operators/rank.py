@@ -39,6 +39,15 @@ def under_budget(traces: DataFrame, by: list[str], order: list[str], cost: Colum
     return spent.withColumn("peak", F.max("spent").over(upto)).where((F.col("peak") <= budget) & F.lit(budget > 0)).drop("peak")
 
 
+def best_under_budget(traces: DataFrame, by: list[str], order: list[str], cost: Column, budget: float | None, score: str, tie: list[str], keep: list[str]) -> DataFrame:
+    """The best of the traces that fit the budget in their order, one of each group; no budget: the best of all.
+
+    Groups whose first trace is too dear, and all groups for a budget of 0 or less, give no row.
+    """
+    fits = traces if budget is None else under_budget(traces, by, order, cost, budget)
+    return best(fits, by, score, tie, keep)
+
+
 def best(traces: DataFrame, by: list[str], score: str, tie: list[str], keep: list[str]) -> DataFrame:
     """The first of each group by falling score, without a sort."""
     key = F.struct((-F.col(score)).alias("s"), *tie)

@@ -618,11 +618,12 @@ def q_pointwise(spark, sf_dir):
     )
 
 
-@query(f"SELECT 'pair::' || split_part(trace_id, '__', 1) || '::' || trace_id AS pair_id, family AS corruption_family, target_step_id AS t_star FROM ({_d_corrupted('main')})")
+@query(f"""SELECT 'pair::' || split_part(trace_id, '__', 1) || '::' || trace_id AS pair_id, 'clean_vs_corrupted' AS pair_type, family AS corruption_family, target_step_id AS t_star,
+    CAST(p AS BOOLEAN) AS preferred_answer_correct FROM ({_d_corrupted('main')}) JOIN (SELECT 't' || o_orderkey AS tid, lower(trim({frames.PREDICTED})) = lower(trim(o_orderpriority)) AS p FROM orders) ON tid = split_part(trace_id, '__', 1)""")
 def q_pairwise(spark, sf_dir):
     clean = frames.traces(spark, sf_dir)
     pairs = training.pairwise(clean, corrupt.corrupt(clean, "docvqa", "main"), "o_orderkey")
-    return pairs.select("pair_id", "corruption_family", corrupt.first_difference(F.col("preferred_steps"), F.col("rejected_steps")).alias("t_star"))
+    return pairs.select("pair_id", "pair_type", "corruption_family", "preferred_answer_correct", corrupt.first_difference(F.col("preferred_steps"), F.col("rejected_steps")).alias("t_star"))
 
 
 @query(f"SELECT count(*) AS n, min(target_step_id) AS min_t_star, max(target_step_id) AS max_t_star, count(*) AS with_wrong_step FROM ({_d_corrupted('main')})")
@@ -789,7 +790,7 @@ def q_best_worst(spark, sf_dir):
     return metrics.best_and_worst(metrics.by_family(_pairs(spark, sf_dir))).withColumns({c: F.round(c, 9) for c in ("best_value", "worst_value")})
 
 
-_REPLICATES = 100
+_REPLICATES = 1000
 _D_BOOT = f"""WITH {_SCORED_SQL}, numbered AS (SELECT score, label, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM scored),
     draws AS (SELECT r.range AS replicate, {d_draw("'bootstrap'", 'r.range', 'i.k')} % i.n AS k FROM range({_REPLICATES}) r, numbered i),
     ties AS (SELECT replicate, score, count(*) AS n, sum(label) AS p FROM draws JOIN numbered USING (k) GROUP BY ALL),
@@ -807,7 +808,7 @@ def _bootstrap(spark, sf_dir) -> DataFrame:
     return metrics.bootstrap_interval(metrics.weighted_auc(drawn, ["replicate"]), _REPLICATES)
 
 
-@query(_D_BOOT + " SELECT round(mean, 9) AS mean, round(lower, 9) AS lower, round(upper, 9) AS upper, round(s[2], 9) AS lower_order, round(s[98], 9) AS upper_order FROM boot")
+@query(_D_BOOT + " SELECT round(mean, 9) AS mean, round(lower, 9) AS lower, round(upper, 9) AS upper, round(s[25], 9) AS lower_order, round(s[975], 9) AS upper_order FROM boot")
 def q_bootstrap_ci(spark, sf_dir):
     out = _bootstrap(spark, sf_dir)
     return out.withColumns({c: F.round(c, 9) for c in out.columns})
@@ -824,6 +825,93 @@ def q_ci_overlap_decision(spark, sf_dir):
     return _bootstrap(spark, sf_dir).select(decided.alias("decision"), ((F.col("lower") > high) | (F.col("upper") < low)).alias("significant"))
 
 
+def _customers(spark, sf_dir) -> DataFrame:
+    """Customers as pairs of scores, each the mean of a digit over the customer's orders."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        (F.sum(F.col("o_orderkey") % 10).cast("double") / (F.count("*") * 10)).alias("pos_score"),
+        (F.sum((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 9).cast("double") / (F.count("*") * 10)).alias("neg_score"), F.count("*").alias("n"),
+    )
+    return orders.select(F.col("o_custkey").alias("pair_id"), "pos_score", "neg_score", F.when(F.col("n") % 2 == 0, "even").otherwise("odd").alias("family"))
+
+
+_D_CUSTOMERS = """customers AS (SELECT o_custkey AS pair_id, CAST(sum(o_orderkey % 10) AS DOUBLE) / (count(*) * 10) AS pos_score,
+    CAST(sum((o_orderkey * 7 + o_custkey) % 9) AS DOUBLE) / (count(*) * 10) AS neg_score, CASE WHEN count(*) % 2 = 0 THEN 'even' ELSE 'odd' END AS family FROM orders GROUP BY o_custkey)"""
+
+
+@query(
+    f"""WITH {_D_CUSTOMERS} SELECT count(*) AS n, sum(pos_score > neg_score) AS ahead, round(avg(pos_score - neg_score), 9) AS gain FROM customers JOIN customer ON c_custkey = pair_id WHERE c_acctbal > 0"""
+)
+def q_pair_scores(spark, sf_dir):
+    """Pairs (customers in credit) meet their scores by key."""
+    pairs = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("pair_id"))
+    both = metrics.with_scores(pairs, _customers(spark, sf_dir))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("pos_score") > F.col("neg_score")).alias("ahead"), F.round(F.avg(F.col("pos_score") - F.col("neg_score")), 9).alias("gain"))
+
+
+def _d_drawn(group: str) -> str:
+    """Replicates of the customers of each group: 1000 times as many draws as pairs, their AUROC as v."""
+    return f"""WITH {_D_CUSTOMERS}, numbered AS (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY pair_id) - 1 AS k, count(*) OVER (PARTITION BY {group}) AS n FROM customers),
+    draws AS (SELECT d.g, r, {d_draw("'bootstrap'", 'd.g', 'r', 'd.k')} % n AS k FROM numbered d, range(1000) t(r)),
+    times AS (SELECT g, r, k, count(*) AS times FROM draws GROUP BY ALL),
+    halves AS (SELECT g, r, times, unnest([pos_score, neg_score]) AS score, unnest([1, 0]) AS label FROM times JOIN numbered USING (g, k)),
+    ties AS (SELECT g, r, score, sum(times) AS n, sum(times * label) AS p FROM halves GROUP BY ALL),
+    mids AS (SELECT *, sum(n) OVER (PARTITION BY g, r ORDER BY score ROWS UNBOUNDED PRECEDING) - (n - 1) / 2.0 AS mid FROM ties),
+    vals AS (SELECT g, r, coalesce((sum(mid * p) - sum(p) * (sum(p) + 1) / 2.0) / nullif(sum(p) * (sum(n) - sum(p)), 0), 0) AS v FROM mids GROUP BY g, r),
+    boot AS (SELECT g, round(avg(v), 9) AS auroc, round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper FROM vals GROUP BY g)"""
+
+
+@query(
+    _d_drawn("'all'") + """, sides AS (SELECT unnest([pos_score, neg_score]) > 0.5 AS said, unnest([1, 0]) = 1 AS truth FROM customers),
+    hits AS (SELECT CAST(sum(CAST(said AND truth AS INTEGER)) AS DOUBLE) AS tp, sum(CAST(said AS INTEGER)) AS said, sum(CAST(truth AS INTEGER)) AS truth, sum(CAST(said = truth AS INTEGER)) AS agreed, count(*) AS n FROM sides)
+    SELECT auroc, lower, upper, round(agreed / n, 9) AS accuracy, round(coalesce(tp / nullif(said, 0), 0), 9) AS precision, round(coalesce(tp / nullif(truth, 0), 0), 9) AS recall,
+    round(coalesce(2 * tp / nullif(said + truth, 0), 0), 9) AS f1, n // 2 AS num_positive, n // 2 AS num_negative FROM boot, hits"""
+)
+def q_evaluate_auroc(spark, sf_dir):
+    out = metrics.evaluate_auroc(_customers(spark, sf_dir), "pair_id")
+    return out.withColumns({c: F.round(c, 9) for c in ("auroc", "lower", "upper", "accuracy", "precision", "recall", "f1")})
+
+
+@query(_d_drawn("family") + " SELECT g AS family, n, auroc, lower, upper FROM boot JOIN (SELECT family AS g, count(*) AS n FROM customers GROUP BY family) USING (g)")
+def q_family_intervals(spark, sf_dir):
+    out = metrics.family_intervals(_customers(spark, sf_dir), "pair_id")
+    return out.select("family", "n", *(F.round(c, 9).alias(c) for c in ("auroc", "lower", "upper")))
+
+
+@query("SELECT round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS top1_accuracy FROM labels")
+def q_top1_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select((F.col("toxic") == 0).cast("int").alias("label"))
+    return metrics.top1_accuracy(rows).select(F.round("top1_accuracy", 9).alias("top1_accuracy"))
+
+
+@query(
+    """WITH asked AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS question, arg_max(o_orderpriority, o_orderkey) AS gold_answer FROM orders WHERE o_orderkey % 3 > 0 GROUP BY o_custkey),
+    said AS (SELECT o_custkey AS k, max(o_orderkey) AS request_id, arg_max(o_orderpriority, o_orderkey) AS generated_text FROM orders GROUP BY o_custkey)
+    SELECT k AS example_id, request_id, CASE WHEN question IS NULL THEN 'docvqa' ELSE 'gqa' END AS benchmark, coalesce(question, '') AS question, coalesce(gold_answer, '') AS gold_answer,
+    generated_text, CASE WHEN request_id % 2 = 0 THEN 0.7 ELSE 0.2 END AS temperature FROM said LEFT JOIN asked USING (k)"""
+)
+def q_request_outputs(spark, sf_dir):
+    """Orders as outputs, two thirds of them as requests, of their customers; the last one of each counts."""
+    orders = table(spark, sf_dir, "orders").withColumn("example_id", F.col("o_custkey"))
+    asked = orders.where("o_orderkey % 3 > 0").select(
+        "example_id", "o_orderkey", F.lit("gqa").alias("benchmark"), F.lit("/i").alias("image_path"), F.col("o_orderstatus").alias("question"), F.col("o_orderpriority").alias("gold_answer")
+    )
+    said = orders.select(
+        "example_id", "o_orderkey", F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("generated_text"), F.lit("stop").alias("finish_reason"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.7)).alias("temperature"),
+    )
+    return lookup.with_outputs(asked, said, "o_orderkey").drop("image_path", "finish_reason")
+
+
+@query(
+    f"""WITH steps AS ({STEPS_SQL}), s AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY step_id) AS spent FROM steps)
+    SELECT l_orderkey, arg_min(step_id, (-l_discount, step_id)) AS step_id, max(l_discount) AS l_discount FROM s WHERE spent <= 60 GROUP BY l_orderkey"""
+)
+def q_best_under_budget(spark, sf_dir):
+    """The line with the highest discount among the first ones of an order that fit a quantity of 60."""
+    rows = frames.steps(spark, sf_dir)
+    return rank.best_under_budget(rows, ["l_orderkey"], ["step_id"], F.col("l_quantity"), 60, "l_discount", ["step_id"], ["step_id"])
+
+
 # --- merges and retention ---
 @query("SELECT source, count(*) AS n FROM (SELECT 'documents' AS source FROM documents UNION ALL SELECT 'benchmark' FROM benchmark UNION ALL SELECT 'conversations' FROM conversations) GROUP BY source")
 def q_union_all(spark, sf_dir):
