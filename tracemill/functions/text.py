@@ -86,13 +86,15 @@ def split_clauses(text: Column) -> Column:
 def segment(text: Column, mode: Column | str) -> Column:
     """Steps of a text: by lines (canonical), by sentences within lines (light) or by clauses (free); null for other modes."""
     mode = F.lit(mode) if isinstance(mode, str) else mode
-    lines, sentences = split_lines(text), split_sentences(text)
-    many = F.size(lines) >= 2
-    return (
-        F.when(mode == "canonical", F.when(many, lines).otherwise(sentences))
-        .when(mode == "light", F.when(many, F.flatten(F.transform(lines, split_sentences))).otherwise(sentences))
-        .when(mode == "free", split_clauses(text))
-    )
+    sentences = split_sentences(text)
+
+    def by_lines(lines: Column) -> Column:
+        fine = F.when(mode == "light", F.flatten(F.transform(lines, split_sentences))).otherwise(lines)
+        return F.when(F.size(lines) >= 2, fine).otherwise(sentences)
+
+    # the lines are a variable of a lambda, so that they are split once
+    lined = F.get(F.transform(F.array(split_lines(text)), by_lines), F.lit(0))
+    return F.when(mode.isin("canonical", "light"), lined).when(mode == "free", split_clauses(text))
 
 
 def step_type(text: Column, benchmark: Column) -> Column:

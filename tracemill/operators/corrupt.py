@@ -17,6 +17,15 @@ from tracemill.functions import text as T
 from tracemill.functions.picks import pick, take
 
 Edit = Callable[[Column, Column], dict[str, Column]]
+#: an edit's ``choose(step, seed)`` gives the other item; its edit is then called with that item in the place of the seed
+
+
+def _with_choice(choose: Callable[[Column, Column], Column]):
+    def add(edit: Edit) -> Edit:
+        edit.choose = choose
+        return edit
+
+    return add
 
 
 @dataclass(frozen=True)
@@ -41,31 +50,23 @@ def _says(step: Column, more: str) -> Column:
     return F.concat(_dotless(step["step_text"]), F.lit(" " + more))
 
 
-def _other(items: str, key: str, salt: str, resolve: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    """Another item (span or element) whose normalised text differs from that of the item the step refers to."""
+def _other(salt: str) -> Callable[[Column, Column], Column]:
+    """Another item (span or element) whose normalised text differs from that of the item the step refers to.
+
+    Reads the column ``__items`` that :func:`corrupt` adds: each item with its normalised text and its id.
+    """
 
     def choose(step: Column, seed: Column) -> Column:
         ref = step["grounding_ref"]
-        current = F.get(F.filter(F.col(items), lambda s: resolve(ref)(s)), F.lit(0))
-        now = T.normalize_text(current["text"])
-        others = F.filter(F.col(items), lambda s: (F.coalesce(T.strip(s[key]), F.lit("")) != "") & (T.normalize_text(s["text"]) != now))
-        return pick(others, seed, F.col("example_id"), F.coalesce(ref, F.lit("")), F.lit(salt))
+        named = lambda i: (F.coalesce(ref, F.lit("")) != "") & i["id"].isin(ref, T.last_part(ref))
+        now = F.coalesce(F.get(F.filter("__items", named), F.lit(0))["norm"], F.lit(""))
+        others = F.filter("__items", lambda i: (i["id"] != "") & (i["norm"] != now))
+        return pick(others, seed, F.col("example_id"), F.coalesce(ref, F.lit("")), F.lit(salt))["item"]
 
     return choose
 
 
-def _span(salt: str):
-    def names(ref: Column):
-        return lambda s: (F.coalesce(ref, F.lit("")) != "") & T.strip(s["span_id"]).isin(ref, T.last_part(ref))
-
-    return _other("spans", "span_id", salt, names)
-
-
-def _element(salt: str):
-    def names(ref: Column):
-        return lambda e: (F.coalesce(ref, F.lit("")) != "") & T.strip(e["element_id"]).isin(ref, T.last_part(ref))
-
-    return _other("elements", "element_id", salt, names)
+_span = _element = _other
 
 
 def _objects(salt: str):
@@ -86,8 +87,8 @@ def _kind(step: Column) -> Column:
 def _swap_item(choose, ref: Callable[[Column], Column] | None = None, value: Callable[[Column, Column], Column] | None = None, text: str | None = None, need_ref: bool = False, need_other: bool = True) -> Edit:
     """Fields from another item: its reference, its text, or both."""
 
-    def edit(step: Column, seed: Column) -> dict[str, Column]:
-        other = choose(step, seed)
+    @_with_choice(choose)
+    def edit(step: Column, other: Column) -> dict[str, Column]:
         ok = other.isNotNull() if need_other else F.lit(True)
         if need_ref:
             ok = ok & (F.coalesce(step["grounding_ref"], F.lit("")) != "")
@@ -136,8 +137,9 @@ def _not(value: Column) -> Column:
 def _scene_value(salt: str, cross: bool = False) -> Edit:
     """A value of other objects, a changed relation, or a negation, by the kind of the reference."""
 
-    def edit(step: Column, seed: Column) -> dict[str, Column]:
-        kind, ids = _kind(step), _objects(salt)(step, seed)
+    @_with_choice(_objects(salt))
+    def edit(step: Column, ids: Column) -> dict[str, Column]:
+        kind = _kind(step)
         summary = T.attribute_summary(F.col("objects"), ids)
         other = F.coalesce(F.nullif(summary, F.lit("")), step["evidence_value"] if cross else F.size(ids).cast("string"))
         ok = (kind != "objects") | ids.isNotNull()
@@ -170,8 +172,8 @@ def _scene_intermediate(step: Column, seed: Column) -> dict[str, Column]:
 def _value_says(choose, value) -> Edit:
     """Another item's text as the evidence, and a sentence that reads it out."""
 
-    def edit(step: Column, seed: Column) -> dict[str, Column]:
-        other = choose(step, seed)
+    @_with_choice(choose)
+    def edit(step: Column, other: Column) -> dict[str, Column]:
         wrong = value(step, other)
         text = F.concat(_dotless(step["step_text"]), F.lit(" The evidence may read as "), wrong, F.lit("."))
         return {"ok": other.isNotNull(), "evidence_value": wrong, "step_text": text}
@@ -295,25 +297,35 @@ def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int =
         raise ValueError(f"unknown families {sorted(unknown)}")
     name = "cross" if suite == "cross" else "main"
     fields = ("step_text", "grounding_ref", "evidence_value")
-    # targets first, as columns, so that edits refer to a step and do not choose it anew
-    rows = traces.withColumns({f"__t{k}": target_step(r, seed + r.seed_shift) for k, r in enumerate(chosen)})
-    options = []
+    rows = traces
+    if items := {"docvqa": ("spans", "span_id"), "visualwebbench": ("elements", "element_id")}.get(benchmark):
+        listed, key = items
+        item = lambda i: F.struct(i.alias("item"), T.normalize_text(i["text"]).alias("norm"), F.coalesce(T.strip(i[key]), F.lit("")).alias("id"))
+        rows = rows.withColumn("__items", F.transform(listed, item))
+    # targets, other items and changes as columns of their own, one after the other, so that nothing is evaluated anew where it is used twice
+    rows = rows.withColumns({f"__t{k}": target_step(r, seed + r.seed_shift) for k, r in enumerate(chosen)})
+    picks = {f"__a{k}": r.edit.choose(F.col(f"__t{k}"), F.lit(seed + r.seed_shift)) for k, r in enumerate(chosen) if hasattr(r.edit, "choose")}
+    rows = rows.withColumns(picks) if picks else rows
+    changes = {}
     for k, r in enumerate(chosen):
         step = F.col(f"__t{k}")
-        change = r.edit(step, F.lit(seed + r.seed_shift))
-        edited = step
-        for f in fields:
-            if f in change:
-                edited = edited.withField(f, change[f])
-        noop = F.lit(True)
+        change = r.edit(step, F.col(f"__a{k}") if f"__a{k}" in picks else F.lit(seed + r.seed_shift))
+        ok = step.isNotNull() & F.coalesce(change["ok"], F.lit(False))
+        changes[f"__c{k}"] = F.when(ok, F.struct(*(change.get(f, step[f]).cast("string").alias(f) for f in fields)))
+    rows = rows.withColumns(changes)
+    options = []
+    for k, r in enumerate(chosen):
+        step, change = F.col(f"__t{k}"), F.col(f"__c{k}")
+        noop, edited = F.lit(True), step
         for f in fields:
-            noop = noop & edited[f].eqNullSafe(step[f])
+            noop = noop & change[f].eqNullSafe(step[f])
+            edited = edited.withField(f, change[f])
         edited = edited.withField("label", F.lit(0)).withField("error_type", F.lit(r.family))
         option = F.struct(
             F.lit(r.family).alias("family"), F.lit(r.wrong_use).cast("string").alias("wrong_use_type"),
             step["step_id"].alias("target_step_id"), noop.alias("noop_corruption"), edited.alias("edited"),
         )
-        options.append(F.when(step.isNotNull() & F.coalesce(change["ok"], F.lit(False)), option))
+        options.append(F.when(change.isNotNull(), option))
     rows = rows.withColumn("__o", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())))
     o = F.col("__o")
     steps = F.transform("steps", lambda s: F.when(s["step_id"] == o["target_step_id"], o["edited"]).otherwise(s))
