@@ -327,6 +327,41 @@ def test_near_duplicates_against_brute_force(spark, tile_rows):
     assert got == {i: (sum(i in p for p in pairs), want[i], want[i] == i) for i in range(len(rows))}
 
 
+def test_near_duplicates_of_tiny_and_huge_vectors(spark):
+    rows = [[1e-200, 2e-200], [2e-200, 4e-200], [1e200, 2e200], [1e300, -1e300], [3.0, 6.1], [5e-324, 0.0], [7.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0), 5: (1, 5), 6: (1, 5)}
+
+
+def test_cells_that_cannot_link_do_not_meet():
+    rng = np.random.default_rng(2)
+    centres = np.eye(12)[:8] * 3
+    rows = (centres[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 12)) * 0.1)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    front = embedding_dedup.principal_axes(rows)[:, :8]
+    nodes = embedding_dedup.halvings(rows @ front, 32)
+    cell = embedding_dedup.cells_of(rows @ front, nodes)
+    assert set(cell) <= set(range(32)) and np.bincount(cell).max() < 1000
+    low, high = (np.stack([f((rows @ front)[cell == c], 0) for c in np.unique(cell)]) for f in (np.min, np.max))
+    near = embedding_dedup.near_cells(low, high, np.sqrt(0.1))
+    number = np.searchsorted(np.unique(cell), cell)
+    i, j = np.nonzero(rows @ rows.T >= 0.95)
+    assert near[number[i], number[j]].all() and near.mean() < 0.8
+
+
+def test_blocks_below_the_kth_score_are_skipped():
+    """Clustered rows: most blocks are never scored, and the result is that of all products."""
+    rng = np.random.default_rng(4)
+    docs = (rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)] * 1000 + rng.normal(size=(3000, 16)) * 20).astype(int)
+    work: dict = {}
+    where, best = topk.tile_top(docs[:50].astype(float), np.arange(50), docs.astype(float), np.arange(3000), np.arange(3000), 10, work=work)
+    assert 0 < work["scored"] < 0.5 * work["all"]
+    scores = docs[:50] @ docs.T
+    scores[np.arange(50), np.arange(50)] = np.iinfo(np.int64).min
+    assert (np.sort(scores, 1)[:, :-11:-1] == best).all()
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (9, None)], "vec_id long, embedding array<float>")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()), key=str)

@@ -1,7 +1,7 @@
 """Exact top-k inner products of integer vectors by block-at-a-time pruning.
 
 Documents lie in tiles of bounded size, each tile in small range blocks of rows
-with like sign patterns. A block's summed term maxima bound what any of its rows
+that were halved along their widest components. A block's summed term maxima bound what any of its rows
 can score for a query (a term is a component; a negative query weight takes the
 block's minimum). Each query visits the blocks of a tile by falling bound,
 scores a block's rows through its forward index, and stops when the bounds fall
@@ -20,18 +20,31 @@ from tracemill.llm.staging import released, stage
 from tracemill.llm.vectors import is_finite, packed, unpack
 
 
-def block_order(docs: np.ndarray) -> np.ndarray:
-    """Rows by the signs of their first components, so that neighbours share narrow ranges."""
-    bits = (docs[:, :16] > 0).astype(np.int64)
-    return np.argsort(bits @ (1 << np.arange(bits.shape[1])[::-1]), kind="stable")
+def block_order(docs: np.ndarray, block: int = 64) -> np.ndarray:
+    """Rows halved again and again along their widest component, so that neighbours share narrow ranges."""
+    out, todo = [], [np.arange(len(docs))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        values = docs[rows][:, docs[rows].var(0).argmax()]
+        half = len(rows) // block // 2 * block or block  # whole blocks on the left
+        order = np.argpartition(values, half)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, int)
 
 
-def tile_top(queries: np.ndarray, query_uid: np.ndarray, docs: np.ndarray, doc_uid: np.ndarray, doc_id: np.ndarray, k: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the rows of its k best documents (-1: none) and their scores; ties go to the smaller id."""
+def tile_top(queries: np.ndarray, query_uid: np.ndarray, docs: np.ndarray, doc_uid: np.ndarray, doc_id: np.ndarray, k: int, block: int = 64, work: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the rows of its k best documents (-1: none) and their scores; ties go to the smaller id.
+
+    ``work`` gets how many (query, block) pairs there were, as ``all``, and how
+    many were scored, as ``scored``.
+    """
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(docs).max(initial=0)) * docs.shape[1] < 2**53
     kind = np.float64 if exact else np.int64
     queries, docs = queries.astype(kind), docs.astype(kind)
-    order = block_order(docs)
+    order = block_order(docs, block)
     blocks = [order[s : s + block] for s in range(0, len(docs), block)]
     high = np.stack([docs[b].max(0) for b in blocks])
     low = np.stack([docs[b].min(0) for b in blocks])
@@ -43,6 +56,8 @@ def tile_top(queries: np.ndarray, query_uid: np.ndarray, docs: np.ndarray, doc_u
     for turn in range(len(blocks)):
         at = visit[:, turn]
         live = np.flatnonzero((bounds[np.arange(len(queries)), at] >= best[:, -1]) | (where[:, -1] < 0))
+        if work is not None:
+            work["all"], work["scored"] = bounds.size, work.get("scored", 0) + len(live)
         if not len(live):
             break
         for b in np.unique(at[live]):
@@ -95,7 +110,7 @@ def top_k(
 
     Components x become floor(scale * x). Queries are the rows whose id is
     divisible by ``query_every``; every other row is a candidate. Ties go to the
-    smaller id. Vectors that are null, empty or hold null or non-finite
+    smaller id. Scores are 64-bit integers: products whose sums pass 2^63 wrap. Vectors that are null, empty or hold null or non-finite
     components, and rows without an id, take no part; vectors of unlike lengths
     do not meet. Rows that repeat an id are candidates, and queries, each. An
     empty table gives no rows; other columns are ignored.
