@@ -82,6 +82,8 @@ class Lines:
             spread = mixed(self.plain)
             total[some] = np.add.reduceat(spread, self.first[some])
         self.key = mixed(total + self.size.astype(np.uint64))  # of the set, whatever the order
+        if counts is None:
+            return
         #: each word flips one of 128 bits (two halves); two sets differ in at least as many words as their maps do in bits
         self.maps = np.zeros((2, self.total), np.uint64)
         if some.any():
@@ -245,7 +247,7 @@ def _first_places(docs: DataFrame, counts, p: LineParams, parts: int) -> tuple[D
             part = pa.array(-1 - table.column(0).to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([none, none, none, part, table.column(1)], names=["uid", "doc_id", "line", "part", "prefixes"])
 
-    both = stage(docs.mapInArrow(released(cut), "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets")
+    both = stage(docs.mapInArrow(released(cut), "uid long, doc_id long, line long, part long, prefixes binary"), "line-sets", hashes=True)
     firsts = both.where("uid is not null").groupBy("uid").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("uid", "at.doc_id", "at.line")
     firsts = stage(firsts, "line-firsts")
     tables = both.where("part < 0").select((-1 - F.col("part")).cast("int").alias("slice"), F.col("prefixes").alias("cells"))

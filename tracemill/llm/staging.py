@@ -42,11 +42,11 @@ def _stages(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/tracemill-stages/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and returns a reader of it."""
+def stage(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet under the shared folder and returns a reader of it; for columns of ``hashes`` dictionaries are not tried."""
     spark = df.sparkSession
     path = f"{_stages(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.stage_path = path
     return staged
