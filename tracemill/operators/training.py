@@ -35,9 +35,16 @@ def pointwise(clean: DataFrame, corrupted: DataFrame, threshold: float = 0.5, pe
 
 
 def pairwise(clean: DataFrame, corrupted: DataFrame, order: str) -> DataFrame:
-    """Each corrupted trace beside its source, or beside the first clean trace (by ``order``) of its example; else dropped."""
-    correct = answer_correct(F.col("predicted_answer"), F.col("gold_answer"))
-    mine = F.struct("trace_id", "steps", correct.alias("answer_correct"))
+    """Each corrupted trace beside its source, or beside the first clean trace (by ``order``) of its example; else dropped.
+
+    Whether the two answers are right is null where the tables hold no answers.
+    """
+
+    def correct(rows: DataFrame) -> Column:
+        known = {"predicted_answer", "gold_answer"} <= set(rows.columns)
+        return answer_correct(F.col("predicted_answer"), F.col("gold_answer")) if known else F.lit(None).cast("boolean")
+
+    mine = F.struct("trace_id", "steps", correct(clean).alias("answer_correct"))
     by_id = clean.select(F.col("trace_id").alias("source_trace_id"), mine.alias("__own"))
     first = clean.groupBy("example_id").agg(F.min_by(mine, order).alias("__first"))
     generator = F.col("generator_name") if "generator_name" in corrupted.columns else F.lit(None).cast("string")
@@ -48,7 +55,7 @@ def pairwise(clean: DataFrame, corrupted: DataFrame, order: str) -> DataFrame:
         F.concat(F.lit("pair::"), F.col("__better.trace_id"), F.lit("::"), "trace_id").alias("pair_id"), "example_id", "benchmark", F.lit("clean_vs_corrupted").alias("pair_type"),
         F.col("__better.trace_id").alias("preferred_trace_id"), F.col("trace_id").alias("rejected_trace_id"),
         F.col("family").alias("corruption_family"), "wrong_use_type", "source_trace_id",
-        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), correct.alias("rejected_answer_correct"),
+        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), correct(corrupted).alias("rejected_answer_correct"),
         F.col("__better.steps").alias("preferred_steps"), F.col("steps").alias("rejected_steps"),
     )
 
