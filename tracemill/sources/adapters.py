@@ -274,3 +274,20 @@ def strict(manifest: DataFrame, rejected: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"{bad['example_id']}: {bad['problem']}")
     return manifest
+
+
+def build_manifests(splits: dict[str, tuple[DataFrame, DataFrame]], limits: dict[str, int] | None = None, optional: tuple[str, ...] = ("val",)) -> dict[str, DataFrame]:
+    """Manifests by split from (manifest, rejected) pairs.
+
+    A rejected row is an error, but leaves an ``optional`` split empty: test sets
+    often have no answers. A limit keeps a split's first rows in the order of its file.
+    """
+    out = {}
+    for split, (manifest, rejected) in splits.items():
+        if split in optional and rejected.first():
+            manifest = manifest.limit(0)
+        else:
+            manifest = strict(manifest, rejected)
+        limit = (limits or {}).get(split)
+        out[split] = manifest.orderBy("pos").limit(limit) if limit else manifest
+    return out
