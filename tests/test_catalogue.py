@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tracemill.plans import catalogue, generation, manifests  # noqa: F401 (their queries join the catalogue)
+from tracemill.plans import catalogue, corruptions, generation, manifests  # noqa: F401 (their queries join the catalogue)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
