@@ -71,7 +71,7 @@ _span = _element = _other
 
 def _objects(salt: str):
     def choose(step: Column, seed: Column) -> Column:
-        ref = T.scene_ref(step["grounding_ref"])
+        ref = step["scene"]
         known = F.filter(F.transform("objects", lambda o: T.strip(o["object_id"])), lambda i: F.coalesce(i, F.lit("")) != "")
         free = F.filter(known, lambda i: ~F.array_contains(ref["ids"], i))
         ids = take(free, F.size(ref["ids"]), seed, F.col("example_id"), F.array_join(ref["ids"], ","), F.lit(salt))
@@ -81,7 +81,7 @@ def _objects(salt: str):
 
 
 def _kind(step: Column) -> Column:
-    return T.scene_ref(step["grounding_ref"])["kind"]
+    return step["scene"]["kind"]
 
 
 def _swap_item(choose, ref: Callable[[Column], Column] | None = None, value: Callable[[Column, Column], Column] | None = None, text: str | None = None, need_ref: bool = False, need_other: bool = True) -> Edit:
@@ -152,10 +152,10 @@ def _scene_value(salt: str, cross: bool = False) -> Edit:
     return edit
 
 
-def _scene_relation(step: Column, seed: Column) -> dict[str, Column]:
+@_with_choice(lambda step, seed: F.get(F.split(T.mutate_relation(step["scene"]["relation"]), r"\s+"), F.lit(0)))
+def _scene_relation(step: Column, name: Column) -> dict[str, Column]:
     """The opposite relation in the text, and in the reference where the source has an edge of that name."""
-    ref = T.scene_ref(step["grounding_ref"])
-    name = F.get(F.split(T.mutate_relation(ref["relation"]), r"\s+"), F.lit(0))
+    ref = step["scene"]
     source = F.get(F.filter("objects", lambda o: T.strip(o["object_id"]) == ref["source"]), F.lit(0))
     edge = F.coalesce(F.exists(source["relations"], lambda r: T.strip(r["name"]) == name), F.lit(False))
     swapped = F.concat_ws(":", F.lit("relation"), name, ref["source"], ref["target"])
@@ -163,7 +163,7 @@ def _scene_relation(step: Column, seed: Column) -> dict[str, Column]:
 
 
 def _scene_intermediate(step: Column, seed: Column) -> dict[str, Column]:
-    ids = T.scene_ref(step["grounding_ref"])["ids"]
+    ids = step["scene"]["ids"]
     wrong = F.when(step["step_type"] == "count", F.greatest(F.lit(0), F.size(ids) - 1).cast("string")).otherwise("different object set")
     value = F.when(_kind(step) == "objects", wrong).otherwise(step["evidence_value"])
     return {"ok": F.lit(True), "evidence_value": value, "step_text": T.mutate_inference(step["step_text"])}
@@ -304,6 +304,8 @@ def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int =
         rows = rows.withColumn("__items", F.transform(listed, item))
     # targets, other items and changes as columns of their own, one after the other, so that nothing is evaluated anew where it is used twice
     rows = rows.withColumns({f"__t{k}": target_step(r, seed + r.seed_shift) for k, r in enumerate(chosen)})
+    if benchmark == "gqa":  # the parts of the target's reference, which edits read as its field ``scene``
+        rows = rows.withColumns({f"__t{k}": F.col(f"__t{k}").withField("scene", T.scene_ref(F.col(f"__t{k}")["grounding_ref"])) for k in range(len(chosen))})
     picks = {f"__a{k}": r.edit.choose(F.col(f"__t{k}"), F.lit(seed + r.seed_shift)) for k, r in enumerate(chosen) if hasattr(r.edit, "choose")}
     rows = rows.withColumns(picks) if picks else rows
     changes = {}
@@ -316,7 +318,7 @@ def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int =
     options = []
     for k, r in enumerate(chosen):
         step, change = F.col(f"__t{k}"), F.col(f"__c{k}")
-        noop, edited = F.lit(True), step
+        noop, edited = F.lit(True), step.dropFields("scene") if benchmark == "gqa" else step
         for f in fields:
             noop = noop & change[f].eqNullSafe(step[f])
             edited = edited.withField(f, change[f])
