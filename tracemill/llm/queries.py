@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, chat, embedding_dedup, line_dedup, ngram_join, packing, token_counts, topk, toxicity, url_filter
+from tracemill.llm import bpe, byte_bpe, chat, embedding_dedup, line_dedup, ngram_join, packing, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +114,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
