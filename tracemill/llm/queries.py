@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, byte_bpe, chat, embedding_dedup, line_dedup, ngram_join, packing, token_counts, topk, toxicity, url_filter
+from tracemill.llm import bpe, byte_bpe, chat, collocations, embedding_dedup, line_dedup, ngram_join, packing, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -115,6 +119,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +152,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
         FROM least LEFT JOIN counted USING (vec_id)
     """,
+    "op13_collocations": collocations.DUCKDB_SQL,
 }
