@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, byte_bpe, chat, collocations, embedding_dedup, line_dedup, ngram_join, packing, token_counts, topk, toxicity, url_filter
+from tracemill.llm import bpe, byte_bpe, chat, collocations, embedding_dedup, line_dedup, ngram_join, packing, repair, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations")
+    repairs, turns = repair.repair_conversations(repair.damage(said), said.select("conv_id"))
+    digests = repair.turns_sha256(turns).withColumnRenamed("conv_id", "id")
+    out = repairs.join(digests, repairs["conv_id"].eqNullSafe(digests["id"]), "left")
+    nothing = F.sha2(F.lit(""), 256)
+    return out.select(*repairs.columns, F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -118,6 +127,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_repair": op11_repair,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_collocations": op13_collocations,
 }
