@@ -386,6 +386,31 @@ def test_top_k_against_brute_force(spark, tile_rows, shard_rows, dims):
     assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
 
 
+@pytest.mark.parametrize("size", [1e4, 1e5, 1e6, 3e9, 1e200, 1.7e308])
+def test_top_k_of_large_components(spark, size):
+    """Sums beyond 2^53, beyond 2^63 (clamped, ties by id) and components beyond the doubles once scaled."""
+    rng = np.random.default_rng(8)
+    rows = rng.uniform(-1, 1, (130, 6)) * size
+    rows[::7] /= 1e3
+    df = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(x)) for x in np.clip(v * 1024.0, -np.finfo(float).max, np.finfo(float).max)] for v in rows]
+    most = (1 << 63) - 1
+    want = set()
+    for q in range(0, 130, 10):
+        scores = sorted((-max(-most, min(most, sum(x * y for x, y in zip(whole[q], v)))), i * 10) for i, v in enumerate(whole) if i != q)
+        want |= {(q * 10, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])}
+    for tile_rows in (8192, 16):
+        assert {tuple(r) for r in topk.top_k(df, tile_rows=tile_rows, shard_rows=5).collect()} == want
+
+
+@pytest.mark.parametrize("most", [10**4, 10**8, 1.2 * 10**16, 10**30])
+def test_tiles_lose_no_row_however_large_the_scores(most):
+    rng = np.random.default_rng(9)
+    docs = np.floor(rng.uniform(-1, 1, (200, 4)) * np.sqrt(most / 4))
+    where, best = topk.tile_top(docs[:3], np.arange(3), docs, np.arange(200), np.arange(200), 10, block=16)
+    assert (where >= 0).sum() == 30 and best.shape == (3, 10)
+
+
 def test_top_k_of_odd_tables(spark):
     df = spark.createDataFrame([(100, [1.0]), (100, [1.0]), (None, [9.0]), (7, [0.5])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())

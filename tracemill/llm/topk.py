@@ -35,27 +35,46 @@ def block_order(docs: np.ndarray, block: int = 64) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
+#: scores beyond are given as this, or as its negative: both can be negated
+MOST = (1 << 63) - 1
+
+
+class Products:
+    """Exact inner products of whole numbers: as doubles while no sum can reach 2^53, as 64-bit integers below 2^63, else as Python's, clamped to :data:`MOST`."""
+
+    def __init__(self, queries: np.ndarray, docs: np.ndarray):
+        most = int(np.abs(queries).max(initial=0)) * int(np.abs(docs).max(initial=0)) * docs.shape[1]
+        self.large = most > MOST
+        self.kind = np.float64 if most < 1 << 53 else object if self.large else np.int64
+
+    def cast(self, values: np.ndarray) -> np.ndarray:
+        return np.array([[int(x) for x in row] for row in values], object).reshape(values.shape) if self.large else values.astype(self.kind)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a @ b.T
+        return np.clip(out, -MOST, MOST).astype(np.int64) if self.large else out
+
+
 def tile_top(queries: np.ndarray, query_uid: np.ndarray, docs: np.ndarray, doc_uid: np.ndarray, doc_id: np.ndarray, k: int, block: int = 64, work: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each query the rows of its k best documents (-1: none) and their scores; ties go to the smaller id.
 
-    ``work`` gets how many (query, block) pairs there were, as ``all``, and how
-    many were scored, as ``scored``.
+    Vectors are doubles that hold whole numbers. ``work`` gets how many (query,
+    block) pairs there were, as ``all``, and how many were scored, as ``scored``.
     """
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(docs).max(initial=0)) * docs.shape[1] < 2**53
-    kind = np.float64 if exact else np.int64
-    queries, docs = queries.astype(kind), docs.astype(kind)
     order = block_order(docs, block)
+    product = Products(queries, docs)
+    queries, docs = product.cast(queries), product.cast(docs)
     blocks = [order[s : s + block] for s in range(0, len(docs), block)]
     high = np.stack([docs[b].max(0) for b in blocks])
     low = np.stack([docs[b].min(0) for b in blocks])
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    zero = queries * 0
+    bounds = product(np.concatenate([np.maximum(queries, zero), np.minimum(queries, zero)], 1), np.concatenate([high, low], 1))
     visit = np.argsort(-bounds, axis=1, kind="stable")
-    none = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-    best = np.full((len(queries), k), none, kind)
+    best = np.zeros((len(queries), k), bounds.dtype)
     where = np.full((len(queries), k), -1)
     for turn in range(len(blocks)):
         at = visit[:, turn]
-        live = np.flatnonzero((bounds[np.arange(len(queries)), at] >= best[:, -1]) | (where[:, -1] < 0))
+        live = np.flatnonzero((where[:, -1] < 0) | (bounds[np.arange(len(queries)), at] >= best[:, -1]))
         if work is not None:
             work["all"], work["scored"] = bounds.size, work.get("scored", 0) + len(live)
         if not len(live):
@@ -63,22 +82,26 @@ def tile_top(queries: np.ndarray, query_uid: np.ndarray, docs: np.ndarray, doc_u
         for b in np.unique(at[live]):
             q = live[at[live] == b]
             rows = blocks[b]
-            scores = queries[q] @ docs[rows].T
-            scores[query_uid[q][:, None] == doc_uid[rows]] = none
-            some = ((scores >= best[q, -1:]) & (scores > none)).any(1)
-            q, scores = q[some], scores[some]
+            scores = product(queries[q], docs[rows])
+            others = query_uid[q][:, None] != doc_uid[rows]
+            some = (others & ((scores >= best[q, -1:]) | (where[q, -1:] < 0))).any(1)
+            q, scores, others = q[some], scores[some], others[some]
             if not len(q):
                 continue
             all_scores = np.concatenate([best[q], scores], 1)
-            all_rows = np.concatenate([where[q], np.broadcast_to(rows, scores.shape)], 1)
-            all_rows[all_scores == none] = -1
-            ids = np.where(all_rows < 0, np.iinfo(np.int64).max, doc_id[all_rows])
-            top = np.lexsort((ids, -all_scores), axis=1)[:, :k]
+            all_rows = np.concatenate([where[q], np.where(others, rows, -1)], 1)
+            empty = all_rows < 0
+            top = np.lexsort((doc_id[all_rows], -all_scores, empty), axis=1)[:, :k]
             best[q] = np.take_along_axis(all_scores, top, 1)
             where[q] = np.take_along_axis(all_rows, top, 1)
     return where, best
 
 
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Floors; what scaling took beyond the doubles is the largest one."""
+    return np.clip(np.floor(values), -np.finfo(float).max, np.finfo(float).max)
+
+
 def _score(k: int):
     def score(key: tuple, table: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_uid": [], "query_id": [], "vec_id": [], "score": []}
@@ -87,10 +110,9 @@ def _score(k: int):
             q, d = (cols["is_query"].index(x) for x in (True, False))
             (q_uid, q_v), (d_uid, d_v) = (unpack(cols["uid"][i], cols["v"][i]) for i in (q, d))
             q_id, d_id = (np.frombuffer(cols["vec_id"][i], "<i8") for i in (q, d))
-            if q_v.shape[1] == d_v.shape[1]:
-                where, best = tile_top(q_v, q_uid, d_v, d_uid, d_id, k)
-                i, j = np.nonzero(where >= 0)
-                found = {"query_uid": q_uid[i], "query_id": q_id[i], "vec_id": d_id[where[i, j]], "score": best[i, j].astype(np.int64)}
+            where, best = tile_top(_whole(q_v), q_uid, _whole(d_v), d_uid, d_id, k)
+            i, j = np.nonzero(where >= 0)
+            found = {"query_uid": q_uid[i], "query_id": q_id[i], "vec_id": d_id[where[i, j]], "score": best[i, j].astype(np.int64)}
         return pa.table({c: pa.array(v, pa.int64()) for c, v in found.items()})
 
     return score
@@ -108,16 +130,18 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` best rows of each query, all rows if fewer.
 
-    Components x become floor(scale * x). Queries are the rows whose id is
-    divisible by ``query_every``; every other row is a candidate. Ties go to the
-    smaller id. Scores are 64-bit integers: products whose sums pass 2^63 wrap. Vectors that are null, empty or hold null or non-finite
+    Components x become floor(scale * x), of any size; what passes the doubles
+    counts as the largest one. Queries are the rows whose id is divisible by
+    ``query_every``; every other row is a candidate. Ties go to the smaller id.
+    Scores are exact; those beyond 2^63 - 1, or below its negative, are given as
+    it and tie there. Vectors that are null, empty or hold null or non-finite
     components, and rows without an id, take no part; vectors of unlike lengths
     do not meet. Rows that repeat an id are candidates, and queries, each. An
     empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(is_finite(F.col("v")) & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))).withColumn("size", F.size("v"))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x * float(scale))).withColumn("size", F.size("v"))
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "topk")
     is_query = F.col("vec_id") % query_every == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
