@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.picks import draw
+from tracemill.operators import scan
 
 
 def safe_mean(values: Column) -> Column:
@@ -21,26 +22,28 @@ def bad_labels(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.agg(F.count_if(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("bad_labels"))
 
 
-def roc_auc(rows: DataFrame, by: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
+def roc_auc(rows: DataFrame, by: list[str] | None = None, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
     """Tie-aware AUROC per group, 0 where a class is missing: (by, n, positives, auroc).
 
-    Scores are grouped before the running sum, so a window holds distinct scores, not rows.
+    Equal scores are counted first; running sums go over ranges of the scores
+    (:mod:`tracemill.operators.scan`), so that no task holds all of a group.
     """
     by = by or []
     ties = rows.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("p"))
-    upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("mid", F.sum("n").over(upto) - (F.col("n") - 1) / 2.0)
+    ranked = scan.running(ties, {"upto": F.col("n")}, [score], by, ranges).withColumn("mid", F.col("upto") - (F.col("n") - 1) / 2.0)
     sums = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("positives"), F.sum(F.col("mid") * F.col("p")).alias("ranks"))
     p, q = F.col("positives"), F.col("n") - F.col("positives")
     return sums.select(*by, "n", "positives", ratio(F.col("ranks") - p * (p + 1) / 2.0, p * q).alias("auroc"))
 
 
-def average_precision(rows: DataFrame, tie: list[str], by: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
-    """Mean precision at the positives, in order of falling score; ``tie`` orders equal scores."""
+def average_precision(rows: DataFrame, tie: list[str], by: list[str] | None = None, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
+    """Mean precision at the positives, in order of falling score (nulls last); ``tie`` orders equal scores. Running counts go over ranges of that order."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc(score), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    at = rows.select(*by, label, F.sum(label).over(order).alias("hits"), F.count("*").over(order).alias("place"))
-    return at.groupBy(*by).agg(safe_mean(F.when(F.col(label) == 1, F.col("hits") / F.col("place"))).alias("average_precision"))
+    keys = [F.col(score).isNull().alias("__last"), (-F.col(score)).alias("__down")]
+    order = ["__last", "__down", *tie]
+    rows = rows.select(*by, F.col(label).alias("label"), *keys, *(c for c in tie if c not in by))
+    at = scan.running(rows, {"hits": F.col("label"), "place": F.lit(1)}, order, by, ranges)
+    return at.groupBy(*by).agg(safe_mean(F.when(F.col("label") == 1, F.col("hits") / F.col("place"))).alias("average_precision"))
 
 
 def pair_accuracy(pairs: DataFrame, by: list[str] | None = None, better: str = "pos_score", worse: str = "neg_score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators import scan
 from tracemill.schemas import GROUNDED_STEPS
 
 
@@ -31,12 +32,22 @@ def rank(traces: DataFrame, by: list[str], score: str, tie: list[str]) -> DataFr
     return traces.withColumn("rank", F.row_number().over(order))
 
 
-def under_budget(traces: DataFrame, by: list[str], order: list[str], cost: Column, budget: float) -> DataFrame:
-    """The longest prefix of each group whose running cost stays within the budget; a missing cost is 1."""
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = traces.withColumn("spent", F.sum(F.coalesce(cost, F.lit(1.0))).over(upto))
+def under_budget(traces: DataFrame, by: list[str], order: list[str], cost: Column, budget: float, ranges: int | None = None) -> DataFrame:
+    """The longest prefix of each group whose running cost stays within the budget; a missing cost is 1.
+
+    A group is one task, unless ``ranges`` says over how many ranges of the order
+    the running costs of large groups are to be spread.
+    """
+    price = F.coalesce(cost, F.lit(1.0))
+    if ranges:
+        dealt = scan.ranged(traces, order, by, ranges)
+        spent = scan.running(dealt, {"spent": price}, order, by, keep_range=True)
+        peak = scan.running(spent, {"peak": F.col("spent")}, order, by, kind="max")
+    else:
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        peak = traces.withColumn("spent", F.sum(price).over(upto)).withColumn("peak", F.max("spent").over(upto))
     # with negative costs a later sum may fall again, but the prefix has ended
-    return spent.withColumn("peak", F.max("spent").over(upto)).where((F.col("peak") <= budget) & F.lit(budget > 0)).drop("peak")
+    return peak.where((F.col("peak") <= budget) & F.lit(budget > 0)).drop("peak")
 
 
 def best_under_budget(traces: DataFrame, by: list[str], order: list[str], cost: Column, budget: float | None, score: str, tie: list[str], keep: list[str]) -> DataFrame:
