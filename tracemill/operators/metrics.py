@@ -110,11 +110,19 @@ def sides(pairs: DataFrame, *keep: str) -> DataFrame:
     return pairs.select(*keep, F.inline(F.array(*[F.struct(F.col(c).alias("score"), F.lit(l).alias("label")) for c, l in (("pos_score", 1), ("neg_score", 0))])))
 
 
-def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1000, alpha: float = 0.05, method: str = "exact") -> DataFrame:
     """(group, auroc, lower, upper): mean and percentiles of the AUROC of resampled pairs, whose two scores stay together.
 
-    ``order`` is a number that orders the pairs of a group.
+    ``order`` is a number that orders the pairs of a group and tells them apart.
+    ``exact`` draws as many pairs as there are, with replacement, a row a draw;
+    ``poisson`` counts each pair Poisson(1) times instead and makes no rows for
+    that (:mod:`tracemill.operators.bootstrap`).
     """
+    if method == "poisson":
+        from tracemill.operators.bootstrap import poisson_auc  # it builds on this module
+
+        values = poisson_auc(sides(pairs, group, order), order, replicates, group)
+        return _interval(values, group, alpha)
     ranges = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = ordinals(pairs.select(group, order, "pos_score", "neg_score"), order, "ordinal", ranges, group)
     sizes = numbered.groupBy(group).agg(F.count("*").alias("n"))
@@ -125,15 +133,18 @@ def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1
     draws = draws.select(group, "n", "replicate", F.explode(F.sequence("begin", F.least(F.col("begin") + 99_999, F.col("n") - 1))).alias("i"))
     drawn = draws.select(group, "replicate", F.pmod(draw(F.lit("bootstrap"), F.col(group), F.col("replicate"), F.col("i")), F.col("n")).alias("ordinal"))
     times = drawn.groupBy(group, "replicate", "ordinal").agg(F.count("*").alias("times")).join(numbered, [group, "ordinal"])
-    values = weighted_auc(sides(times, group, "replicate", "times"), [group, "replicate"])
+    return _interval(weighted_auc(sides(times, group, "replicate", "times"), [group, "replicate"]), group, alpha)
+
+
+def _interval(values: DataFrame, group: str, alpha: float) -> DataFrame:
     return values.groupBy(group).agg(
         F.avg("value").alias("auroc"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper")
     )
 
 
-def evaluate_auroc(pairs: DataFrame, order: str, replicates: int = 1000, threshold: float = 0.5) -> DataFrame:
+def evaluate_auroc(pairs: DataFrame, order: str, replicates: int = 1000, threshold: float = 0.5, method: str = "exact") -> DataFrame:
     """One row: AUROC over resampled pairs with its interval (0.5, 0, 1 without pairs), and detection of scores above the threshold."""
-    boot = pair_intervals(pairs.withColumn("all", F.lit("all")), "all", order, replicates).drop("all")
+    boot = pair_intervals(pairs.withColumn("all", F.lit("all")), "all", order, replicates, method=method).drop("all")
     found = detection(sides(pairs), (F.col("score") > threshold).cast("int"), F.col("label"))
     counts = pairs.agg(F.count("*").alias("num_positive"), F.count("*").alias("num_negative"))
     out = found.drop("n").crossJoin(counts)  # one row each
@@ -141,9 +152,9 @@ def evaluate_auroc(pairs: DataFrame, order: str, replicates: int = 1000, thresho
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("auroc", 0.5), ("lower", 0.0), ("upper", 1.0))})
 
 
-def family_intervals(pairs: DataFrame, order: str, replicates: int = 1000, family: str = "family") -> DataFrame:
+def family_intervals(pairs: DataFrame, order: str, replicates: int = 1000, family: str = "family", method: str = "exact") -> DataFrame:
     """:func:`by_family` with the mean AUROC of resampled pairs and its interval; null for a single pair."""
-    boot = pair_intervals(pairs, family, order, replicates)
+    boot = pair_intervals(pairs, family, order, replicates, method=method)
     out = by_family(pairs, family).drop("auroc").join(boot, family)
     return out.withColumns({c: F.when(F.col("n") > 1, F.col(c)) for c in ("auroc", "lower", "upper")})
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import picks, text as T
-from tracemill.operators import corrupt, lookup, metrics, rank, training, verify
+from tracemill.operators import bootstrap, corrupt, lookup, metrics, rank, scan, training, verify
 from tracemill.operators.traces import TEMPLATES, build_requests, parse_outputs
 from tracemill.plans import frames
 from tracemill.plans.frames import ANSWER, CHUNK, REF, SPANS_SQL, STEPS_SQL, TEXT, table
@@ -668,6 +668,17 @@ def q_budget_select(spark, sf_dir):
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("observed"), F.max("spent").alias("spent"))
 
 
+@query(
+    """WITH s AS (SELECT o_orderstatus, o_orderkey, o_totalprice, sum(o_custkey % 100) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS spent FROM orders)
+    SELECT o_orderstatus, count(*) AS observed, CAST(max(spent) AS DOUBLE) AS spent, max_by(o_orderkey, (spent, o_totalprice, o_orderkey)) AS last_order FROM s WHERE spent <= 30000 GROUP BY o_orderstatus"""
+)
+def q_budget_large_groups(spark, sf_dir):
+    """The cheapest orders of each status that fit a budget: three groups, each spread over ranges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey", (F.col("o_custkey") % 100).alias("cost"))
+    kept = rank.under_budget(rows, ["o_orderstatus"], ["o_totalprice", "o_orderkey"], F.col("cost").cast("double"), 30000, scan.default_ranges(rows))
+    return kept.groupBy("o_orderstatus").agg(F.count("*").alias("observed"), F.max("spent").alias("spent"), F.max_by("o_orderkey", F.struct("spent", "o_totalprice", "o_orderkey")).alias("last_order"))
+
+
 @query("SELECT o_custkey, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) AS o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY o_custkey")
 def q_rerank_top1(spark, sf_dir):
     return rank.best(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", ["o_orderkey"], ["o_orderkey"])
@@ -825,6 +836,27 @@ def q_ci_overlap_decision(spark, sf_dir):
     return _bootstrap(spark, sf_dir).select(decided.alias("decision"), ((F.col("lower") > high) | (F.col("upper") < low)).alias("significant"))
 
 
+def _d_poisson(rows: str, key: str) -> str:
+    """CTEs up to (g, replicate, v) for rows (g, score, label, key): how often each counts by two hashes of its key, with all numbers spelt out."""
+    number = lambda *s: f"CAST('0x' || substr(md5(concat_ws('|', 'poisson', {', '.join(s)})), 1, 8) AS BIGINT) % 2147483647"
+    steps = "[790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637, 2147481230, 2147483407]"
+    return f"""hashed AS (SELECT g, score, label, {number("'x'", key)} AS x, {number("'y'", key)} AS y FROM {rows}),
+    factors AS (SELECT r AS replicate, {number("'a'", 'r')} AS a, {number("'c'", 'r')} AS c, {number("'b'", 'r')} AS b FROM range(1000) t(r)),
+    counted AS (SELECT g, replicate, score, label, len(list_filter({steps}, lambda u: u <= (x * a + y * c + b) % 2147483647)) AS w FROM hashed, factors),
+    ties AS (SELECT g, replicate, score, sum(w) AS n, sum(w * label) AS p FROM counted GROUP BY ALL),
+    mids AS (SELECT *, sum(n) OVER (PARTITION BY g, replicate ORDER BY score ROWS UNBOUNDED PRECEDING) - (n - 1) / 2.0 AS mid FROM ties),
+    vals AS (SELECT g, replicate, coalesce((sum(mid * p) - sum(p) * (sum(p) + 1) / 2.0) / nullif(sum(p) * (sum(n) - sum(p)), 0), 0) AS v FROM mids GROUP BY g, replicate)"""
+
+
+@query(
+    f"WITH {_SCORED_SQL}, r AS (SELECT 'x' AS g, * FROM scored), {_d_poisson('r', 'doc_id')}, boot AS (SELECT avg(v) AS mean, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper, list_sort(list(v)) AS s FROM vals)"
+    " SELECT round(mean, 9) AS mean, round(lower, 9) AS lower, round(upper, 9) AS upper, round(s[25], 9) AS lower_order, round(s[975], 9) AS upper_order FROM boot"
+)
+def q_bootstrap_poisson(spark, sf_dir):
+    out = metrics.bootstrap_interval(bootstrap.poisson_auc(_scored(spark, sf_dir), "doc_id", _REPLICATES), _REPLICATES)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns})
+
+
 def _customers(spark, sf_dir) -> DataFrame:
     """Customers as pairs of scores, each the mean of a digit over the customer's orders."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
@@ -877,6 +909,16 @@ def q_family_intervals(spark, sf_dir):
     return out.select("family", "n", *(F.round(c, 9).alias(c) for c in ("auroc", "lower", "upper")))
 
 
+@query(
+    f"""WITH {_D_CUSTOMERS}, r AS (SELECT family AS g, pair_id, unnest([pos_score, neg_score]) AS score, unnest([1, 0]) AS label FROM customers), {_d_poisson('r', 'pair_id')}
+    SELECT g AS family, n, round(avg(v), 9) AS auroc, round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper
+    FROM vals JOIN (SELECT family AS g, count(*) AS n FROM customers GROUP BY family) USING (g) GROUP BY g, n"""
+)
+def q_family_poisson(spark, sf_dir):
+    out = metrics.family_intervals(_customers(spark, sf_dir), "pair_id", method="poisson")
+    return out.select("family", "n", *(F.round(c, 9).alias(c) for c in ("auroc", "lower", "upper")))
+
+
 @query("SELECT round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS top1_accuracy FROM labels")
 def q_top1_accuracy(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select((F.col("toxic") == 0).cast("int").alias("label"))
