@@ -12,82 +12,137 @@ rest, first within parts of a language, so that no language meets in one task.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.staging import released, small_batches, stage
 
 NO_LANG = "und"
-#: pieces of a text; words within them lie between spaces and tabs, the only space that bytes.split() then finds
-_pieces = re.compile(rb"[^.,;:!?\x0A-\x0D]+").findall
+#: ends of pieces become full stops, which then stand alone as tokens; bytes.split() finds no other space than this and tabs
+_ENDS = bytes.maketrans(b",;:!?\n\x0b\f\r", b"." * 9)
 _COUNTS = "lang string, words int, phrase string, a long"
 
 
-def _ngrams(text: bytes, max_n: int, step: int = 50_000) -> Iterator[tuple[int, int, Iterator[bytes]]]:
-    """(n, words begun, n-grams) for n from 0, piece by piece and at most ``step`` words at once; ASCII capitals become small."""
-    for piece in _pieces(text.lower()):
-        words = piece.split()
-        for at in range(0, len(words), step):
-            part = words[at : at + step + max_n - 1]
-            begun = min(step, len(words) - at)
-            yield 0, begun, iter(())
-            yield 1, begun, islice(part, step)
-            for n in range(2, min(max_n, len(part)) + 1):
-                yield n, begun, islice(map(b" ".join, zip(*(islice(part, k, None) for k in range(n)))), step)
+def _tokens(text: bytes, step: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Words and full stops of a text, which ends with one, some ``step`` bytes at a time; ASCII capitals become small."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + step) if at + step < len(text) else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end].lower().translate(_ENDS).replace(b".", b" . ").split()
+        at = end
+    yield [b"."]
+
+
+class _Counter:
+    """n-grams of a stream of tokens, summed whenever ``held`` tokens have come; those that end in a later sum keep the tokens before it."""
+
+    def __init__(self, max_n: int, held: int):
+        self.max_n, self.held = max_n, held
+        self.langs: dict[str, int] = {}
+        self.parts: list[pa.Array] = []
+        self.sizes: list[tuple[int, int]] = []  # lang, tokens
+        self.waiting: list[bytes] = []
+        self.size = self.carried = 0
+
+    def feed(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        code = self.langs.setdefault(lang, len(self.langs))
+        for tokens in _tokens(text):
+            self.waiting += tokens
+            self.sizes.append((code, len(tokens)))
+            self.size += len(tokens)
+            if len(self.waiting) > 100_000:
+                self._pack()
+            if self.size >= self.held:
+                yield from self.flush()
+
+    def _pack(self) -> None:
+        self.parts.append(pa.array(self.waiting, pa.binary()))
+        self.waiting = []
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._pack()
+        tokens = pa.chunked_array(self.parts, pa.binary()).combine_chunks()
+        lang = np.repeat(*(np.array(x, np.int64) for x in (zip(*self.sizes) if self.sizes else ([], []))))
+        begin, keep = self.carried, min(self.max_n - 1, len(tokens))
+        last = tokens.slice(len(tokens) - keep)
+        rest = [(int(c), 1) for c in lang[len(lang) - keep :]]
+        names = pa.array(list(self.langs), pa.string())
+        self.parts, self.sizes, self.size, self.carried = [last], rest, keep, keep
+        yield from _sums(tokens, lang, begin, self.max_n, names)
+
+
+def _sums(tokens: pa.Array, lang: np.ndarray, begin: int, max_n: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams that end at ``begin`` or later, in order of their words, so that neighbours compress well.
+
+    A phrase is numbered by its first n - 1 words, a phrase too, and its last
+    word; only the distinct ones are ever joined to strings.
+    """
+    coded = tokens.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    words = coded.dictionary.take(order)
+    place = np.empty(len(words), np.int64)
+    place[order.to_numpy()] = np.arange(len(words))
+    word = place[coded.indices.to_numpy()]
+    stop = pc.index(words, pa.scalar(b".", pa.binary())).as_py()
+    ends = np.flatnonzero(word != stop)  # places of the last words of the phrases in hand
+    ids, langs, phrases = lang, np.arange(len(names)), None
+    for n in range(max_n + 1):
+        if n == 0:
+            keys, ids_at = np.arange(len(names)), lang[ends]
+        else:
+            if n > 1:
+                ends = ends[(ends > 0) & before[ends - 1]]
+            keys, ids_at = np.unique(ids[ends - (n > 1)] * len(words) + word[ends], return_inverse=True)
+            first, final = keys // len(words), pa.array(keys % len(words))
+            langs = langs[first]
+            phrases = words.take(final) if n == 1 else pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(final), b" ")
+        a = np.bincount(ids_at[ends >= begin], minlength=len(keys))
+        seen = np.flatnonzero(a)
+        for at in range(0, len(seen), 20_000):
+            rows = seen[at : at + 20_000]
+            text = phrases.take(pa.array(rows)).cast(pa.string(), safe=False) if n else pa.array([""] * len(rows), pa.string())
+            columns = [names.take(pa.array(langs[rows])), pa.array(np.full(len(rows), n, np.int32)), text, pa.array(a[rows].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "a"])
+        if n:
+            ids = np.zeros(len(word), np.int64)
+            ids[ends] = ids_at
+            before = np.zeros(len(word), bool)
+            before[ends] = True
 
 
 def _count(max_n: int, held: int):
-    """Rows of n-grams with their counts since the last flush, which comes after ``held`` different ones."""
-
-    def flush(found: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
-        for (lang, n), counts in found.items():
-            items = iter(counts.items())
-            while part := list(islice(items, 20_000)):
-                phrases = pa.array([p for p, _ in part], pa.binary()).cast(pa.string(), safe=False)
-                same = pa.array([0] * len(part), pa.int8())
-                columns = [pa.array([lang], pa.string()).take(same), pa.array([n], pa.int32()).take(same), phrases, pa.array([c for _, c in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "a"])
-        found.clear()
-
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        begun_since = 0
+        counter = _Counter(max_n, held)
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for n, begun, grams in _ngrams(text or b"", max_n):
-                        if n:
-                            found[lang, n].update(grams)
-                            continue
-                        if begun_since * max_n >= held:  # also within one long text
-                            if sum(map(len, found.values())) >= held:
-                                yield from flush(found)
-                            begun_since = held // max_n - 20_000
-                        found[lang, 0][b""] += begun
-                        begun_since += begun
-        yield from flush(found)
+                    yield from counter.feed(lang, text or b"")
+        yield from counter.flush()
 
     return count
 
 
-def phrase_counts(docs: DataFrame, max_n: int = 3, text_col: str = "text", lang_col: str = "lang", held: int = 400_000) -> DataFrame:
+def phrase_counts(docs: DataFrame, max_n: int = 3, text_col: str = "text", lang_col: str = "lang", held: int = 1_500_000, spread: int = 4) -> DataFrame:
     """lang, words, phrase (space-joined), a: how often each n-gram of up to ``max_n`` words occurs within the pieces of all whole texts.
 
-    The phrase of no words, one a language, counts its words. At most ``held``
-    phrases, and those of one step, are summed at once in a worker.
+    The phrase of no words, one a language, counts its words. A worker sums some
+    ``held`` words at once. The sums are shuffled as they are: another hash
+    aggregation before the shuffle found little to add up, and spilled. ``spread``
+    times as many partitions as shuffles have hold their phrases in memory.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     grams = texts.mapInArrow(_count(max_n, held), _COUNTS)
-    return grams.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    parts = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grams.repartition(parts, "lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
 
 
 def _part(phrase: str, start: Column | int, size: Column) -> Column:
