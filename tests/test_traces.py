@@ -159,3 +159,48 @@ def test_requests(spark):
     with pytest.raises(Exception, match="targets gqa"):
         traces.build_requests(manifest, "gqa_free_v1").collect()
     assert traces.templates(spark, "gqa").count() == 3
+
+
+def scene_rows(spark, steps, scene):
+    rows = trace_rows(spark, steps, benchmark="gqa").drop("objects")
+    return rows.crossJoin(spark.createDataFrame([(scene,)], f"objects {OBJECTS}"))
+
+
+@pytest.mark.parametrize(("edges", "expected"), [(["on", "below"], "relation:below:1:2"), (["below", "on"], "relation:above:1:2")])
+def test_relation_of_the_last_object_of_an_id(spark, edges, expected):
+    """``above`` becomes ``below`` only where the last object of the source's id has such an edge."""
+    scene = [("1", "cup", [], [(e, "2")]) for e in edges] + [("2", "table", [], [])]
+    rows = scene_rows(spark, [step(1, "relate", "relation:above:1:2", text="The cup is above the table.")], scene)
+    hit = corrupt.corrupt(rows, "gqa", families=["wrong_relation"]).first()["steps"][0]
+    assert hit["grounding_ref"] == expected and "below" in hit["step_text"]
+
+
+@pytest.mark.parametrize("suite", ["main", "cross"])
+def test_references_without_ids(spark, suite):
+    """An empty set of objects is swapped for an empty set: the reference stays, its value is 0 (main) or the evidence."""
+    rows = scene_rows(spark, [step(1, "count", "objects:", "3")], SCENE)
+    got = {r["family"]: r["steps"][0] for r in corrupt.corrupt(rows, "gqa", suite).collect()}
+    assert got["wrong_region"]["grounding_ref"] == got["irrelevant_evidence"]["grounding_ref"] == "objects:"
+    assert got["wrong_value"]["evidence_value"] == ("0" if suite == "main" else "3")
+    assert got["irrelevant_evidence"]["evidence_value"] == "3"
+
+
+def test_attribute_summaries_are_stripped(spark):
+    from tracemill.functions.text import attribute_summary
+
+    scene = [("1", " cup ", [" ", "red", "big"], []), (" 2 ", "table", [" oak "], []), ("3", " ", [" "], []), ("", "ghost", ["x"], []), ("2", "desk", None, [])]
+    rows = scene_rows(spark, [step(1, "count")], scene)
+    say = lambda *ids: rows.select(attribute_summary(F.col("objects"), F.array(*map(F.lit, ids)))).first()[0]
+    assert say("1") == "red cup" and say("2", "3", "9", "1") == "desk, red cup" and say("") == "" and say("3") == ""
+
+
+def test_datasets_take_the_verdict_of_the_validation(spark):
+    """``INV 7`` equals ``inv-7!`` for the validation, which reads words, but not letter by letter."""
+    clean = trace_rows(spark, [step(1, "derive")], gold_answer="INV 7", predicted_answer="inv-7!")
+    judged = clean.withColumns({"m_example_id": F.col("example_id"), "m_benchmark": F.col("benchmark"), "m_answer": F.col("gold_answer")})
+    judged = verify.validate(judged, lambda s: verify.span_issues(s, F.col("spans")))
+    for rows, expected in ((clean, False), (judged, True)):
+        bad = corrupt.corrupt(rows, "docvqa", families=["wrong_relation"])
+        assert {r["answer_correct"] for r in training.pointwise(rows, bad).collect()} == {expected}
+        pair = training.pairwise(rows, bad, "trace_id").first()
+        assert (pair["preferred_answer_correct"], pair["rejected_answer_correct"]) == (expected, expected)

@@ -22,9 +22,9 @@ def pick(values: Column, *salts: Column) -> Column:
 
 
 def take(values: Column, k: Column, *salts: Column) -> Column:
-    """``k`` distinct elements in ascending order; null where the array holds fewer."""
+    """``k`` distinct elements in ascending order, none for 0; null where the array holds fewer."""
     keyed = F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(draw(*salts, v).alias("d"), v.alias("v"))))
-    return F.when((k > 0) & (F.size(F.array_distinct(values)) >= k), F.array_sort(F.slice(F.transform(keyed, lambda s: s["v"]), 1, k)))
+    return F.when((k >= 0) & (F.size(F.array_distinct(values)) >= k), F.array_sort(F.slice(F.transform(keyed, lambda s: s["v"]), 1, k)))
 
 
 def in_share(percent: int, *salts: Column) -> Column:

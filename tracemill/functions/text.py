@@ -192,12 +192,13 @@ def format_ref(ids: Column, singular: str) -> Column:
 
 
 def attribute_summary(objects: Column, ids: Column) -> Column:
-    """First two attributes and name of each object, in the order of ``ids``; unknown ids and blank parts are skipped, the last object of an id counts."""
+    """First two attributes and name of each object, stripped, in the order of ``ids``; unknown ids and blank parts are skipped, the last object of an id counts."""
 
     def one(object_id: Column) -> Column:
-        of_id = F.filter(objects, lambda o: strip(o["object_id"]) == object_id)
+        of_id = F.filter(objects, lambda o: (strip(o["object_id"]) == object_id) & (object_id != ""))
         found = F.get(of_id, F.size(of_id) - 1)
-        return F.concat_ws(" ", F.slice(F.coalesce(found["attributes"], F.array().cast("array<string>")), 1, 2), F.nullif(found["name"], F.lit("")))
+        parts = F.transform(F.slice(F.coalesce(found["attributes"], F.array().cast("array<string>")), 1, 2), strip)
+        return F.concat_ws(" ", F.filter(parts, lambda p: p != ""), F.nullif(strip(found["name"]), F.lit("")))
 
     return F.array_join(F.filter(F.transform(ids, one), lambda s: s != ""), ", ")
 

@@ -156,7 +156,8 @@ def _scene_value(salt: str, cross: bool = False) -> Edit:
 def _scene_relation(step: Column, name: Column) -> dict[str, Column]:
     """The opposite relation in the text, and in the reference where the source has an edge of that name."""
     ref = step["scene"]
-    source = F.get(F.filter("objects", lambda o: T.strip(o["object_id"]) == ref["source"]), F.lit(0))
+    of_id = F.filter("objects", lambda o: T.strip(o["object_id"]) == ref["source"])
+    source = F.get(of_id, F.size(of_id) - 1)  # the last object of an id counts
     edge = F.coalesce(F.exists(source["relations"], lambda r: T.strip(r["name"]) == name), F.lit(False))
     swapped = F.concat_ws(":", F.lit("relation"), name, ref["source"], ref["target"])
     return {"ok": F.lit(True), "step_text": T.mutate_relation(step["step_text"]), "grounding_ref": F.when(edge, swapped).otherwise(step["grounding_ref"])}

@@ -16,6 +16,15 @@ def answer_correct(predicted: Column, gold: Column, validated: Column | None = N
     return own if validated is None else F.coalesce(validated, own)
 
 
+def _verdict(rows: DataFrame) -> Column:
+    """:func:`answer_correct` of ``rows``; the validation's column of that name is its verdict, null without answers."""
+    known = {"predicted_answer", "gold_answer"} <= set(rows.columns)
+    validated = F.col("answer_correct") if "answer_correct" in rows.columns else None
+    if not known:
+        return F.lit(None).cast("boolean") if validated is None else validated
+    return answer_correct(F.col("predicted_answer"), F.col("gold_answer"), validated)
+
+
 def pointwise(clean: DataFrame, corrupted: DataFrame, threshold: float = 0.5, penalty: float = 0.5) -> DataFrame:
     """One row per trace, clean ones first in role only: labels, critical mask, score target and trace label."""
     traces = clean.unionByName(corrupted, allowMissingColumns=True)
@@ -27,7 +36,7 @@ def pointwise(clean: DataFrame, corrupted: DataFrame, threshold: float = 0.5, pe
         F.when(F.col("family").isNotNull(), "corrupted").otherwise("clean").alias("dataset_role"),
         F.forall("step_labels", lambda x: x == 1).cast("int").alias("trace_label"),
         aggregate_scores(scores, F.col("critical"), threshold, penalty).alias("trace_score_target"),
-        answer_correct(F.col("predicted_answer"), F.col("gold_answer")).alias("answer_correct"),
+        _verdict(traces).alias("answer_correct"),
         F.col("family").alias("corruption_family"), "wrong_use_type", "source_trace_id", "step_labels",
         F.transform("steps", lambda s: F.coalesce(s["error_type"], F.lit("none"))).alias("step_error_types"),
         F.transform("critical", lambda c: c.cast("int")).alias("critical_step_mask"), "trace_mode", F.size("steps").alias("num_steps"), "steps",
@@ -37,14 +46,10 @@ def pointwise(clean: DataFrame, corrupted: DataFrame, threshold: float = 0.5, pe
 def pairwise(clean: DataFrame, corrupted: DataFrame, order: str) -> DataFrame:
     """Each corrupted trace beside its source, or beside the first clean trace (by ``order``) of its example; else dropped.
 
-    Whether the two answers are right is null where the tables hold no answers.
+    Whether the two answers are right is the validation's verdict, where the
+    tables have one, and null where they hold no answers.
     """
-
-    def correct(rows: DataFrame) -> Column:
-        known = {"predicted_answer", "gold_answer"} <= set(rows.columns)
-        return answer_correct(F.col("predicted_answer"), F.col("gold_answer")) if known else F.lit(None).cast("boolean")
-
-    mine = F.struct("trace_id", "steps", correct(clean).alias("answer_correct"))
+    mine = F.struct("trace_id", "steps", _verdict(clean).alias("answer_correct"))
     by_id = clean.select(F.col("trace_id").alias("source_trace_id"), mine.alias("__own"))
     first = clean.groupBy("example_id").agg(F.min_by(mine, order).alias("__first"))
     generator = F.col("generator_name") if "generator_name" in corrupted.columns else F.lit(None).cast("string")
@@ -55,7 +60,7 @@ def pairwise(clean: DataFrame, corrupted: DataFrame, order: str) -> DataFrame:
         F.concat(F.lit("pair::"), F.col("__better.trace_id"), F.lit("::"), "trace_id").alias("pair_id"), "example_id", "benchmark", F.lit("clean_vs_corrupted").alias("pair_type"),
         F.col("__better.trace_id").alias("preferred_trace_id"), F.col("trace_id").alias("rejected_trace_id"),
         F.col("family").alias("corruption_family"), "wrong_use_type", "source_trace_id",
-        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), correct(corrupted).alias("rejected_answer_correct"),
+        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), _verdict(corrupted).alias("rejected_answer_correct"),
         F.col("__better.steps").alias("preferred_steps"), F.col("steps").alias("rejected_steps"),
     )
 

@@ -20,7 +20,7 @@ from tracemill.schemas import STEP
 _TYPE = {"gqa": "CASE step_type WHEN 'locate' THEN 'count' WHEN 'read' THEN 'identify' WHEN 'derive' THEN 'relate' ELSE step_type END", "visualwebbench": "step_type"}
 _REF = {
     "gqa": "CASE WHEN grounding_ref = '' THEN '' WHEN grounding_ref = 'ocr_span:99' THEN 'objects:1,9' WHEN grounding_ref = 'ocr_span:2' THEN 'relation:left of:2:1' "
-    "WHEN grounding_ref = 'ocr_span:3' THEN 'relation:above:3:1' WHEN grounding_ref = 'ocr_span:6' THEN 'scene:6' WHEN grounding_ref = 'ocr_span:5' THEN 'objects:5,1' "
+    "WHEN grounding_ref = 'ocr_span:3' THEN 'relation:above:3:1' WHEN grounding_ref = 'ocr_span:6' THEN 'scene:6' WHEN grounding_ref = 'ocr_span:5' THEN 'objects:5,1' WHEN grounding_ref = 'ocr_span:4' THEN 'objects:' "
     "ELSE replace(grounding_ref, 'ocr_span:', 'object:') END",
     "visualwebbench": "replace(grounding_ref, 'ocr_span:', 'element:b')",
 }
@@ -32,7 +32,8 @@ def _traces(spark, sf_dir, benchmark: str) -> DataFrame:
     step = f"""named_struct('step_id', s.step_id, 'step_text', s.step_text, 'step_type', {_TYPE[benchmark].replace('step_type', 's.step_type')},
         'grounding_ref', {_REF[benchmark].replace('grounding_ref', 's.grounding_ref')}, 'evidence_value', s.evidence_value, 'label', s.label, 'error_type', s.error_type)"""
     items = {
-        "gqa": f"""transform(spans, i -> named_struct('object_id', i.span_id, 'name', split(i.text, ' ')[0], 'attributes', slice(split(i.text, ' '), 2, 9),
+        "gqa": f"""transform(spans, i -> named_struct('object_id', i.span_id, 'name', concat(' ', split(i.text, ' ')[0], ' '),
+            'attributes', if(i.span_id = '1', array(' ', concat(split(i.text, ' ')[1], ' '), 'unread'), slice(split(i.text, ' '), 2, 9)),
             'relations', array(named_struct('name', {_EDGE.replace('p_name', 'i.text')}, 'target_object_id', '1'))))""",
         "visualwebbench": f"transform(spans, i -> named_struct('element_id', 'b' || i.span_id, 'text', {_SHOWN.replace('p_name', 'i.text')}))",
     }[benchmark]
@@ -123,7 +124,7 @@ _PARTS = "string_split(grounding_ref, ':')"
 _NAME = f"string_split({d_relation(f'{_PARTS}[2]')}, ' ')[1]"
 _O_RELATION = _Hit(
     "wrong_relation", ("relate", "reason", "derive"), "wrong_relation", "", True, text=_REL, ok="true", wrong_use=_COMPOSITION,
-    ref=f"CASE WHEN {_IS_REL} AND coalesce(list_filter(items, lambda o: o.id = {_PARTS}[3])[1].edge = {_NAME}, false) THEN 'relation:' || {_NAME} || ':' || {_PARTS}[3] || ':' || {_PARTS}[4] ELSE grounding_ref END",
+    ref=f"CASE WHEN {_IS_REL} AND coalesce(list_filter(items, lambda o: o.id = {_PARTS}[3])[-1].edge = {_NAME}, false) THEN 'relation:' || {_NAME} || ':' || {_PARTS}[3] || ':' || {_PARTS}[4] ELSE grounding_ref END",
 )
 _SCENE = {
     "main": [
@@ -146,9 +147,9 @@ _SCENE = {
     "wrong_use": [_O_VALUE._replace(seed=11, wrong_use=_READOUT), _O_RELATION._replace(seed=23), _LAST],
 }
 
-_IDS = "CASE WHEN starts_with(grounding_ref, 'object:') THEN [substr(grounding_ref, 8)] WHEN starts_with(grounding_ref, 'objects:') THEN string_split(substr(grounding_ref, 9), ',') END"
+_IDS = "CASE WHEN starts_with(grounding_ref, 'object:') THEN [substr(grounding_ref, 8)] WHEN starts_with(grounding_ref, 'objects:') THEN list_filter(string_split(substr(grounding_ref, 9), ','), lambda i: i <> '') END"
 _ITEM = {
-    "gqa": f"{{'id': CAST(l_linenumber AS VARCHAR), 'says': concat_ws(' ', string_split(p_name, ' ')[2], string_split(p_name, ' ')[3], string_split(p_name, ' ')[1]), 'edge': {_EDGE}}}",
+    "gqa": f"{{'id': CAST(l_linenumber AS VARCHAR), 'says': concat_ws(' ', string_split(p_name, ' ')[2], CASE WHEN l_linenumber <> 1 THEN string_split(p_name, ' ')[3] END, string_split(p_name, ' ')[1]), 'edge': {_EDGE}}}",
     "visualwebbench": f"{{'id': 'b' || l_linenumber, 'text': {_SHOWN}}}",
 }
 
