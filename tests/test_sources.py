@@ -61,7 +61,7 @@ def test_jsonl_round_trip_and_quarantine(spark, tmp_path):
     assert {tuple(r) for r in readers.read_jsonl(spark, out, "k string, v string").collect()} == {("a", None), ("b", "é")}
     (tmp_path / "bad.jsonl").write_text('{"k": "a"}\n\n[1]\n{oops\n')
     bad = f"file://{tmp_path}/bad.jsonl"
-    assert sorted(r["raw"] for r in readers.quarantine(spark, bad).collect()) == ["[1]", "{oops"]
+    assert sorted((r["line"], r["raw"]) for r in readers.quarantine(spark, bad).collect()) == [(3, "[1]"), (4, "{oops")]
     assert readers.read_jsonl(spark, bad, "k string", strict=False).where("k = 'a'").count() == 1
 
 
@@ -75,3 +75,53 @@ def test_question_shards(spark, tmp_path):
     path = f"file://{tmp_path}/q.parquet"
     spark.createDataFrame([(1, "q", "d", [" a ", "", None], b"x")], "questionId int, question string, docId string, answers array<string>, image binary").write.parquet(path)
     assert readers.read_question_shards(spark, path).first()["answers"] == ["a"]
+
+
+def test_question_shards_of_a_folder(spark, tmp_path):
+    for name, q in (("train-0", "t"), ("val-0", "v")):
+        row = spark.createDataFrame([(1, q, "d", ["a"])], "questionId int, question string, docId string, answers array<string>")
+        row.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    both = f"file://{tmp_path}"
+    assert [r["question"] for r in readers.read_question_shards(spark, both).collect()] == ["t"]
+    (tmp_path / "train-0.parquet").rename(tmp_path / "test-0.parquet")
+    assert sorted(r["question"] for r in readers.read_question_shards(spark, both).collect()) == ["t", "v"]
+
+
+def test_ascii_lines(spark, tmp_path):
+    rows = [("plain \\ \"q\"", None), ("é中\u2028😀\n\x7f", "x")]
+    out = f"file://{tmp_path}/rows"
+    readers.write_jsonl(spark.createDataFrame(rows, "k string, v string"), out, ascii=True)
+    lines = [line for f in (tmp_path / "rows").glob("part-*") for line in f.read_bytes().decode("ascii").splitlines()]
+    assert sorted((json.loads(x)["k"], json.loads(x)["v"]) for x in lines) == sorted(rows)
+
+
+def test_first_rows_of_numbered_lines(spark, tmp_path):
+    from tracemill.operators import traces
+
+    rows = [{"example_id": f"e{9 - i}", "benchmark": "docvqa", "question": "q", "image_path": "/i"} for i in range(9)]
+    (tmp_path / "m.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
+    numbered = readers.read_numbered_jsonl(spark, f"file://{tmp_path}/m.jsonl", "example_id string, benchmark string, question string, image_path string")
+    asked = traces.build_requests(numbered, "docvqa_canonical_v1", limit=2, order=["path", "line"])
+    assert sorted((r["line"], r["example_id"]) for r in asked.collect()) == [(1, "e9"), (3, "e8")]
+
+
+def test_manifests_of_split_files_equal_those_of_whole_files(spark, tmp_path):
+    from tracemill.sources import splitting
+
+    questions = {"data": [{"questionId": i, "image": f"d{i}.png", "question": "no?", "answers": ["x"] if i % 9 else []} for i in range(300)]}
+    scenes = {"1": {"width": 1, "objects": {"9": {"name": "cup", "x": 1, "y": 2, "w": 3, "h": 4}}}, "2": {"width": 2, "objects": {}}}
+    whole, scene_files = files(spark, tmp_path, questions), files(spark, tmp_path, scenes, "scenes.json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = splitting.read_records(spark, f"file://{tmp_path}/train.json", "data")
+        assert split.rdd.getNumPartitions() > 5
+        keyed = splitting.read_records(spark, f"file://{tmp_path}/scenes.json", keyed=True)
+        nothing = adapters.ocr_lookup(files(spark, tmp_path, [], "ocr.json"))
+        for a, b in zip(adapters.docvqa_manifest(whole, nothing, "/img"), adapters.docvqa_manifest(split, nothing, "/img")):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        a, b = (adapters.scene_lookup(x) for x in (scene_files, keyed))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

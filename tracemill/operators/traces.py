@@ -82,12 +82,12 @@ def fill(template: Column, **values: Column) -> Column:
     return out
 
 
-def build_requests(manifest: DataFrame, prompt_id: str, model_name: str = "teacher", seed: int = 0, limit: int | None = None, order: str | None = None) -> DataFrame:
-    """One request per manifest row: prompt texts and configuration. Raises if the template is for another benchmark."""
+def build_requests(manifest: DataFrame, prompt_id: str, model_name: str = "teacher", seed: int = 0, limit: int | None = None, order: str | list[str] | None = None) -> DataFrame:
+    """One request per manifest row (of the first ``limit`` in an order, such as path and line): prompt texts and configuration. Raises if the template is for another benchmark."""
     found = [t for t in TEMPLATES if t[0] == prompt_id]
     if not found:
         raise KeyError(f"unknown prompt template {prompt_id}")
-    rows = manifest if limit is None else manifest.orderBy(order or "example_id").limit(limit)
+    rows = manifest if limit is None else manifest.orderBy(*([order] if isinstance(order, str) else order or ["example_id"])).limit(limit)
     _, benchmark, mode, expects_json, system, user = found[0]
     checked = F.when(F.col("benchmark") == benchmark, F.lit(user)).otherwise(F.raise_error(F.lit(f"prompt {prompt_id} targets {benchmark}")))
     fields = {c: F.col(c) for c in ("question", "image_path", "example_id", "benchmark")}

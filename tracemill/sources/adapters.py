@@ -45,7 +45,10 @@ def records(files: DataFrame, list_keys: tuple[str, ...], grouped: bool = False)
 
     ``grouped`` also opens dictionaries of lists: each element carries its list's
     key. ``raw`` is the record's own text, which keeps the order of its keys.
+    Records that :func:`tracemill.sources.splitting.read_records` read are taken as they are.
     """
+    if "record" in files.columns:
+        return files
     named = [F.get_json_object("raw", f"$.{k}") for k in list_keys]
     lists = F.coalesce(F.when(_is_list(F.col("raw")), F.col("raw")), *(F.when(_is_list(n), n) for n in named))
     plain = F.transform(_items(lists), lambda r: _fields(key=F.lit(None).cast("string"), raw=r))

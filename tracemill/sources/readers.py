@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.lookup import keep_last
 from tracemill.schemas import MANIFEST, TRACE
+from tracemill.sources.splitting import read_elements, read_lines
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -24,20 +25,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """(path, raw) of the lines that are not JSON objects."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")).where("trim(raw) <> ''")
+    """(path, line, raw) of the lines that are not JSON objects; lines are numbered from 1 in each file."""
+    lines = read_lines(spark, path).withColumnRenamed("value", "raw").where("trim(raw) <> ''")
     kind = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")), F.lit(""))
     return lines.where(~kind.startswith("OBJECT"))
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """JSON lines under a folder, overwriting it; nulls are written."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line, ...) of JSON lines in the order of the files; blank lines are skipped but counted, lines that do not parse give nulls."""
+    lines = read_lines(spark, path).where("trim(value) <> ''")
+    return lines.select("path", "line", F.from_json("value", schema).alias("row")).select("path", "line", "row.*")
+
+
+def write_jsonl(rows: DataFrame, path: str, ascii: bool = False) -> None:
+    """JSON lines under a folder, overwriting it; nulls are written. ``ascii`` writes other characters as escapes of UTF-16 units."""
+    if not ascii:
+        return rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = lambda c: F.when(F.ascii(c) < 128, c).otherwise(units(c))
+    plain = line.rlike(r"^[\x00-\x7f]*$")
+    rows.select(F.when(plain, line).otherwise(F.array_join(F.transform(F.split(line, ""), escaped), "")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_question_shards(spark: SparkSession, path: str) -> DataFrame:
-    """questionId, question, docId and answers (stripped, blanks dropped) of Parquet shards; only those columns are scanned."""
-    rows = spark.read.parquet(path).select(F.col("questionId").cast("string"), "question", F.col("docId").cast("string"), "answers")
+    """questionId, question, docId and answers (stripped, blanks dropped) of Parquet shards; only those columns are scanned.
+
+    Of a folder its ``train*`` shards are read, or all if there are none.
+    """
+    files = (path,) if path.endswith(".parquet") else (f"{path}/train*.parquet", f"{path}/*.parquet")
+    rows = _first_found(spark.read.parquet, *files).select(F.col("questionId").cast("string"), "question", F.col("docId").cast("string"), "answers")
     return rows.withColumn("answers", F.filter(F.transform("answers", lambda a: F.trim(a)), lambda a: a != ""))
 
 
@@ -68,17 +85,20 @@ _SCENE = "struct<image_filename string, objects array<struct<size string, color
 
 
 def read_scenes(spark: SparkSession, root: str) -> DataFrame:
-    """(image_filename, objects) of ``scenes.json`` or of the split files under ``scenes``; the last scene of a file name wins, nameless ones go."""
-    reader = spark.read.schema(f"scenes array<{_SCENE}>").option("multiLine", True)
-    files = _first_found(reader.json, f"{root}/scenes.json", f"{root}/scenes/CLEVR_*_scenes.json", f"{root}/scenes/*_scenes.json")
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode("scenes").alias("pos", "scene")).select("path", "pos", "scene.*")
+    """(image_filename, objects) of ``scenes.json`` or of the split files under ``scenes``; the last scene of a file name wins, nameless ones go.
+
+    Many tasks read a large file (:mod:`tracemill.sources.splitting`).
+    """
+    load = lambda path: read_elements(spark, path, "scenes")
+    found = _first_found(load, f"{root}/scenes.json", f"{root}/scenes/CLEVR_*_scenes.json", f"{root}/scenes/*_scenes.json")
+    rows = found.select("path", "pos", F.from_json("raw", _SCENE).alias("scene")).select("path", "pos", "scene.*")
     return keep_last(rows.where("image_filename <> ''"), ["image_filename"], ["path", "pos"]).drop("path", "pos")
 
 
 def read_photo_questions(spark: SparkSession, path: str) -> DataFrame:
     """question_id, image_id, question and answers of a JSON file with its rows under ``data``; a missing image_id is empty."""
     row = "struct<question_id string, image_id string, question string, answers array<string>>"
-    rows = spark.read.schema(f"data array<{row}>").json(path, multiLine=True).select(F.inline("data"))
+    rows = read_elements(spark, path, "data").select(F.from_json("raw", row).alias("row")).select("row.*")
     return rows.withColumn("image_id", F.coalesce("image_id", F.lit("")))
 
 
