@@ -12,6 +12,7 @@ rest, first within parts of a language, so that no language meets in one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,6 @@ from tracemill.llm.staging import released, small_batches, stage
 NO_LANG = "und"
 #: ends of pieces become full stops, which then stand alone as tokens; bytes.split() finds no other space than this and tabs
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\f\r", b"." * 9)
-_COUNTS = "lang string, words int, phrase string, a long"
 
 
 def _tokens(text: bytes, step: int = 1 << 22) -> Iterator[list[bytes]]:
@@ -42,8 +42,8 @@ def _tokens(text: bytes, step: int = 1 << 22) -> Iterator[list[bytes]]:
 class _Counter:
     """n-grams of a stream of tokens, summed whenever ``held`` tokens have come; those that end in a later sum keep the tokens before it."""
 
-    def __init__(self, max_n: int, held: int):
-        self.max_n, self.held = max_n, held
+    def __init__(self, max_n: int, held: int, bounds: list[tuple[bytes, ...]]):
+        self.max_n, self.held, self.bounds = max_n, held, bounds
         self.langs: dict[str, int] = {}
         self.parts: list[pa.Array] = []
         self.sizes: list[tuple[int, int]] = []  # lang, tokens
@@ -72,16 +72,16 @@ class _Counter:
         begin, keep = self.carried, min(self.max_n - 1, len(tokens))
         last = tokens.slice(len(tokens) - keep)
         rest = [(int(c), 1) for c in lang[len(lang) - keep :]]
-        names = pa.array(list(self.langs), pa.string())
         self.parts, self.sizes, self.size, self.carried = [last], rest, keep, keep
-        yield from _sums(tokens, lang, begin, self.max_n, names)
+        yield from _sums(tokens, lang, begin, self.max_n, list(self.langs), self.bounds)
 
 
-def _sums(tokens: pa.Array, lang: np.ndarray, begin: int, max_n: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams that end at ``begin`` or later, in order of their words, so that neighbours compress well.
+def _sums(tokens: pa.Array, lang: np.ndarray, begin: int, max_n: int, names: list[str], bounds: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams that end at ``begin`` or later, one row for each language, n and zone.
 
     A phrase is numbered by its first n - 1 words, a phrase too, and its last
-    word; only the distinct ones are ever joined to strings.
+    word; only the distinct ones are ever joined to strings, in order of their
+    words. ``bounds`` part that order into zones.
     """
     coded = tokens.dictionary_encode()
     order = pc.sort_indices(coded.dictionary)
@@ -91,7 +91,7 @@ def _sums(tokens: pa.Array, lang: np.ndarray, begin: int, max_n: int, names: pa.
     word = place[coded.indices.to_numpy()]
     stop = pc.index(words, pa.scalar(b".", pa.binary())).as_py()
     ends = np.flatnonzero(word != stop)  # places of the last words of the phrases in hand
-    ids, langs, phrases = lang, np.arange(len(names)), None
+    ids, langs, phrases, before = lang, np.arange(len(names)), pa.array([b""] * len(names), pa.binary()), None
     for n in range(max_n + 1):
         if n == 0:
             keys, ids_at = np.arange(len(names)), lang[ends]
@@ -102,24 +102,34 @@ def _sums(tokens: pa.Array, lang: np.ndarray, begin: int, max_n: int, names: pa.
             first, final = keys // len(words), pa.array(keys % len(words))
             langs = langs[first]
             phrases = words.take(final) if n == 1 else pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(final), b" ")
-        a = np.bincount(ids_at[ends >= begin], minlength=len(keys))
-        seen = np.flatnonzero(a)
-        for at in range(0, len(seen), 20_000):
-            rows = seen[at : at + 20_000]
-            text = phrases.take(pa.array(rows)).cast(pa.string(), safe=False) if n else pa.array([""] * len(rows), pa.string())
-            columns = [names.take(pa.array(langs[rows])), pa.array(np.full(len(rows), n, np.int32)), text, pa.array(a[rows].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "a"])
-        if n:
             ids = np.zeros(len(word), np.int64)
             ids[ends] = ids_at
             before = np.zeros(len(word), bool)
             before[ends] = True
-
-
-def _count(max_n: int, held: int):
+        counts = np.bincount(ids_at[ends >= begin], minlength=len(keys))
+        seen = np.flatnonzero(counts)
+        counts, said, of_lang = pa.array(counts[seen].astype(np.int64)), phrases.take(pa.array(seen)), langs[seen]
+        rows: dict[str, list] = {"zone": [], "lang": [], "begin": []}
+        for code in np.unique(of_lang):
+            low, high = (int(np.searchsorted(of_lang, code, side)) for side in ("left", "right"))
+            key = lambda i: tuple(said[i].as_py().split(b" ")) if n else ()
+            cuts = [low]
+            for bound in bounds:
+                cuts.append(bisect_left(range(high), bound, lo=cuts[-1], key=key))
+            for zone, (at, end) in enumerate(zip(cuts, [*cuts[1:], high])):
+                if at < end:
+                    for k, v in zip(rows, (zone, names[code], at)):
+                        rows[k].append(v)
+        starts = pa.array([*rows["begin"], len(seen)], pa.int32())
+        text = pc.binary_join(pa.ListArray.from_arrays(starts, said), b"\n").cast(pa.string(), safe=False)
+        columns = [pa.array(rows["zone"], pa.int32()), pa.array(rows["lang"], pa.string()), pa.array([n] * len(text), pa.int32()), text, pa.ListArray.from_arrays(starts, counts)]
+        yield pa.RecordBatch.from_arrays(columns, ["zone", "lang", "words", "phrases", "counts"])
+
+
+def _count(max_n: int, held: int, bounds: list[tuple[bytes, ...]]):
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(max_n, held)
+        counter = _Counter(max_n, held, bounds)
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
@@ -130,19 +140,41 @@ def _count(max_n: int, held: int):
     return count
 
 
-def phrase_counts(docs: DataFrame, max_n: int = 3, text_col: str = "text", lang_col: str = "lang", held: int = 1_500_000, spread: int = 4) -> DataFrame:
+def _starts(max_n: int, each: int):
+    """Up to ``each`` phrases of ``max_n`` words from evenly spread places of every text."""
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                tokens = [t for part in _tokens(text or b"") for t in part]
+                found += [b" ".join(tokens[i : i + max_n]) for i in range(0, len(tokens), max(1, -(-len(tokens) // each))) if tokens[i] != b"."]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["phrase"])
+
+    return starts
+
+
+def phrase_counts(docs: DataFrame, max_n: int = 3, text_col: str = "text", lang_col: str = "lang", held: int = 1_000_000, spread: int = 4) -> DataFrame:
     """lang, words, phrase (space-joined), a: how often each n-gram of up to ``max_n`` words occurs within the pieces of all whole texts.
 
     The phrase of no words, one a language, counts its words. A worker sums some
-    ``held`` words at once. The sums are shuffled as they are: another hash
-    aggregation before the shuffle found little to add up, and spilled. ``spread``
-    times as many partitions as shuffles have hold their phrases in memory.
+    ``held`` words at once. Its phrases travel in order of their words, those of
+    a language, n and zone as one row, and become rows of their own after the
+    shuffle, where zones, ``spread`` times as many as shuffles have partitions,
+    hold them for the hash aggregation. Phrases of some 2000 texts, 50 of each,
+    come to the driver as bounds between zones: they balance the work and do not
+    touch the result.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    grams = texts.mapInArrow(_count(max_n, held), _COUNTS)
-    parts = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grams.repartition(parts, "lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    zones = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = texts.sample(min(1.0, 2000 / max(1, docs.count())), seed=1).mapInArrow(_starts(max_n, 50), "phrase binary").limit(200_000)
+    taken = sorted({tuple(bytes(r["phrase"]).split(b" ")) for r in sample.collect()})
+    bounds = sorted({taken[i * len(taken) // zones] for i in range(1, zones)}) if taken else []
+    packed = texts.mapInArrow(_count(max_n, held, bounds), "zone int, lang string, words int, phrases string, counts array<long>")
+    packed = packed.repartitionById(zones, "zone")
+    phrases = packed.select("zone", "lang", "words", F.inline(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("a"))))
+    return phrases.groupBy("zone", "lang", "words", "phrase").agg(F.sum("a").alias("a")).drop("zone")
 
 
 def _part(phrase: str, start: Column | int, size: Column) -> Column:
