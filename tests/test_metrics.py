@@ -101,3 +101,19 @@ def test_same_on_any_number_of_partitions(spark):
     rows = scored(spark, [rng.randint(0, 1) for _ in range(300)], [rng.random() for _ in range(300)])
     got = {round(metrics.roc_auc(rows.repartition(n)).first()["auroc"], 12) for n in (1, 3, 16)}
     assert len(got) == 1 and not math.isnan(got.pop())
+
+
+def test_any_metric_with_its_estimate(spark):
+    """The estimate is that of the rows as they are, and replicates are those of :func:`metrics.resamples`."""
+    rows = scored(spark, [1, 0, 1, 1, 0, 1], [0.9, 0.8, 0.4, 0.7, 0.2, 0.6])
+    spread = lambda labels, scores: float(scores[labels == 1].sum() - scores[labels == 0].sum())
+    out = metrics.metric_interval(rows, spread, "k", 40)
+    row = out.first()
+    numbered = metrics.ordinals(rows, "k", "o", 2)
+    values = {}
+    for r in metrics.resamples(numbered, "o", 6, 40).collect():
+        values[r["replicate"]] = values.get(r["replicate"], 0.0) + r["times"] * r["score"] * (1 if r["label"] else -1)
+    values = sorted(values.values())
+    assert row["estimate"] == pytest.approx(1.6) and row["mean"] == pytest.approx(sum(values) / 40)
+    assert (row["lower_order"], row["upper_order"]) == (pytest.approx(values[0]), pytest.approx(values[38]))
+    assert metrics.metric_interval(rows.where("false"), spread, "k", 5).count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,14 +226,47 @@ def weighted_auc(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * (F.col("n") - F.col("p"))).alias("value"))
 
 
-def bootstrap_interval(values: DataFrame, replicates: int, alpha: float = 0.05) -> DataFrame:
-    """Mean of the replicates' values with percentile bounds, and the bounds by order statistics."""
+def metric_values(rows: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], by: list[str], score: str = "score", label: str = "label", times: str = "times") -> DataFrame:
+    """(``by``, value): any metric of labels and scores, by group; a row counts ``times`` often. The rows of a group must fit one task."""
+
+    def value(key: tuple, table: pa.Table) -> pa.Table:
+        n = table.column("times").to_numpy()
+        got = float(metric(np.repeat(table.column("label").to_numpy(), n), np.repeat(table.column("score").to_numpy(), n)))
+        return pa.table({c: pa.array([k.as_py()], k.type) for c, k in zip(by, key)} | {"value": pa.array([got])})
+
+    kinds = dict(rows.dtypes)
+    slim = rows.select(*by, F.col(label).cast("int").alias("label"), F.col(score).cast("double").alias("score"), F.col(times).cast("long").alias("times"))
+    return slim.groupBy(*by).applyInArrow(value, ", ".join([*(f"{c} {kinds[c]}" for c in by), "value double"]))
+
+
+def metric_interval(
+    rows: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], order: str, replicates: int = 1000, alpha: float = 0.05, score: str = "score", label: str = "label", salt: str = "bootstrap"
+) -> DataFrame:
+    """One row: the ``estimate`` of a metric on the rows as they are, and :func:`bootstrap_interval` of its values on resampled rows.
+
+    ``metric`` gets arrays of labels and of scores; ``order`` is a number that
+    tells the rows apart. No rows give none.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = ordinals(rows.select(order, score, label), order, "__ordinal", ranges).drop(order)
+    n = numbered.count()
+    drawn = resamples(numbered, "__ordinal", n, replicates, salt).select("replicate", score, label, "times")
+    own = numbered.select(F.lit(-1).cast("long").alias("replicate"), score, label, F.lit(1).cast("long").alias("times"))
+    values = metric_values(drawn.unionByName(own), metric, ["replicate"], score, label)
+    # the estimate rides along as a value of its own, so that the metric is computed once
+    split = values.select(F.when(F.col("replicate") >= 0, F.col("value")).alias("value"), F.when(F.col("replicate") < 0, F.col("value")).alias("own"))
+    return bootstrap_interval(split, replicates, alpha, estimate=F.max("own")).where(F.lit(n > 0))
+
+
+def bootstrap_interval(values: DataFrame, replicates: int, alpha: float = 0.05, estimate: Column | None = None) -> DataFrame:
+    """Mean of the replicates' values with percentile bounds, and the bounds by order statistics; ``estimate`` is an aggregate to stand first."""
     low, high = max(0, int(alpha / 2 * replicates) - 1), min(replicates - 1, -int(-(1 - alpha / 2) * replicates // 1) - 1)
     sorted_values = F.array_sort(F.collect_list("value"))  # one number per replicate
     out = values.agg(
-        F.avg("value").alias("mean"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper"), sorted_values.alias("v")
-    )
-    return out.select("mean", "lower", "upper", F.get("v", F.lit(low)).alias("lower_order"), F.get("v", F.lit(high)).alias("upper_order"))
+        F.avg("value").alias("mean"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper"), sorted_values.alias("v"),
+        *([] if estimate is None else [estimate.alias("estimate")]),
+    )
+    return out.select(*([] if estimate is None else ["estimate"]), "mean", "lower", "upper", F.get("v", F.lit(low)).alias("lower_order"), F.get("v", F.lit(high)).alias("upper_order"))
 
 
 def decision(delta: Column, challenger_low: Column, baseline_high: Column, mock: Column | None = None) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.schemas import BENCHMARKS
+
 
 def stage_counts(stages: dict[str, DataFrame], by: str = "benchmark") -> DataFrame:
     """(stage, ``by``, n) of the tables that each stage left."""
@@ -14,6 +16,37 @@ def stage_counts(stages: dict[str, DataFrame], by: str = "benchmark") -> DataFra
     return reduce(DataFrame.unionByName, counted)
 
 
+class StageCounts:
+    """Counts of rows by stage and group, taken while the rows pass: no stage is scanned for them.
+
+    Groups are the few values of ``by`` that are counted apart; rows of others,
+    and nulls, count as ``other``.
+    """
+
+    def __init__(self, by: str = "benchmark", groups: tuple[str, ...] = BENCHMARKS):
+        self.by, self.groups = by, groups
+        self.seen: list[tuple[tuple[str, ...], Observation]] = []
+
+    def watch(self, rows: DataFrame, **stages: Column) -> DataFrame:
+        """``rows``; the next action on them also counts, for each stage, the rows that meet its condition."""
+        seen = Observation()
+        among = F.coalesce(F.col(self.by).isin(*self.groups), F.lit(False))
+        of = {str(i): F.coalesce(F.col(self.by) == g, F.lit(False)) for i, g in enumerate(self.groups)} | {"other": ~among}
+        self.seen.append((tuple(stages), seen))
+        return rows.observe(seen, *(F.count_if(c & mine).alias(f"{k}_{g}") for k, c in enumerate(stages.values()) for g, mine in of.items()))
+
+    def counts(self) -> list[tuple[str, str, int]]:
+        """(stage, group, n) of what was watched, once its actions have run; groups without rows are left out."""
+        out = []
+        for stages, seen in self.seen:
+            got = seen.get
+            out += [(s, g, got[f"{k}_{i}"]) for k, s in enumerate(stages) for i, g in [*((str(i), g) for i, g in enumerate(self.groups)), ("other", "other")] if got[f"{k}_{i}"]]
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.counts(), f"stage string, {self.by} string, n long")
+
+
 def training_gate(stages: DataFrame) -> DataFrame:
     """One row (status, ready, pending) from one row per benchmark: benchmark, status, include_in_training, verified, corrupted (paths).
 

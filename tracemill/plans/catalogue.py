@@ -825,6 +825,28 @@ def q_bootstrap_ci(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in out.columns})
 
 
+def _f1(labels, scores) -> float:
+    hits, said, true = ((scores > 0.5) & (labels == 1)).sum(), (scores > 0.5).sum(), (labels == 1).sum()
+    return 2 * hits / (said + true) if said + true else 0.0
+
+
+_D_HALF = "2 * sum(w * CAST(score > 0.5 AND label = 1 AS INTEGER)) / nullif(sum(w * CAST(score > 0.5 AS INTEGER)) + sum(w * label), 0)"
+
+
+@query(
+    f"""WITH {_SCORED_SQL}, numbered AS (SELECT score, label, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM scored),
+    draws AS (SELECT r.range AS replicate, {d_draw("'bootstrap'", 'r.range', 'i.k')} % i.n AS k FROM range(200) r, numbered i),
+    vals AS (SELECT replicate, coalesce({_D_HALF.replace('w *', '1 *')}, 0) AS v FROM draws JOIN numbered USING (k) GROUP BY replicate),
+    own AS (SELECT coalesce({_D_HALF.replace('w *', '1 *')}, 0) AS estimate FROM scored)
+    SELECT round(any_value(estimate), 9) AS estimate, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper,
+    round(list_sort(list(v))[5], 9) AS lower_order, round(list_sort(list(v))[195], 9) AS upper_order FROM vals, own"""
+)
+def q_metric_interval(spark, sf_dir):
+    """F1 at 0.5, a function of the user's, with its estimate and interval of 200 replicates."""
+    out = metrics.metric_interval(_scored(spark, sf_dir), _f1, "doc_id", 200)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns})
+
+
 @query(
     _D_BOOT + """ SELECT CASE WHEN mean - 0.45 >= 0.05 AND lower > 0.48 THEN 'GO' WHEN mean - 0.45 >= 0.02 AND mean - 0.45 < 0.05 THEN 'MARGINAL' ELSE 'NO-GO' END AS decision,
     lower > 0.48 OR upper < 0.42 AS significant FROM boot"""
