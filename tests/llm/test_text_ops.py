@@ -205,6 +205,15 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.where("false"), known).count() == 0
 
 
+def test_labels_that_contradict_each_other(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    known = [(0, 1), (1, 0), (1, 1), (1, 0), (2, 0), (2, 0), (3, 2), (4, None)]
+    want = {"text 0": 1, "text 1": 1, "text 2": 0}
+    for order in (known, known[::-1]):
+        labels = spark.createDataFrame(order, "doc_id long, toxic int").repartition(3)
+        assert dict(zip(*toxicity.labelled_sample(docs, labels, toxicity.ToxicityParams()))) == want
+
+
 def test_digests_of_queries_match_the_library(spark, tmp_path):
     from tracemill.llm import queries
     from tokenizers import Tokenizer

@@ -247,10 +247,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams,
     """A bounded sample of labelled texts: of each class the ``max_rows`` ids that come first by a hash, while their texts hold ``max_chars``.
 
     Ids and lengths are chosen first, then only the chosen texts are fetched. Of
-    rows that repeat an id one counts, the shortest.
+    rows that repeat an id one counts, the shortest; an id with both labels has 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("y") == c).orderBy("h", "doc_id").limit(params.max_rows) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most twice max_rows short rows, so it may be broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"size": F.length("text"), "key": F.xxhash64("text")})
