@@ -204,3 +204,49 @@ def test_datasets_take_the_verdict_of_the_validation(spark):
         assert {r["answer_correct"] for r in training.pointwise(rows, bad).collect()} == {expected}
         pair = training.pairwise(rows, bad, "trace_id").first()
         assert (pair["preferred_answer_correct"], pair["rejected_answer_correct"]) == (expected, expected)
+
+
+def python_choice(items, *salts):
+    import random
+
+    return items[random.Random("|".join(map(str, salts))).randrange(len(items))]
+
+
+@pytest.mark.parametrize("benchmark", ["docvqa", "gqa", "visualwebbench"])
+def test_choices_of_pythons_generator(spark, benchmark):
+    """Steps and items are those that ``random.Random`` picks from the same strings; md5 stays the default."""
+    import random
+
+    ref = {"docvqa": "ocr_span:17", "gqa": "object:1", "visualwebbench": "element:a"}[benchmark]
+    steps = [step(k, kind, ref, "x") for k, kind in enumerate(("read", "locate", "extract", "identify", "count", "answer"), 1)]
+    rows = trace_rows(spark, steps, benchmark=benchmark)
+    got = {}
+    for seed in range(6):
+        for r in corrupt.corrupt(rows, benchmark, seed=seed, families=["wrong_region"], rng="python").collect():
+            liked = ("identify", "count", "relate", "extract") if benchmark == "gqa" else ("locate", "read", "extract")
+            hit = python_choice([s for s in steps if s[2] in liked], seed, "t", "wrong_region", "step")
+            if benchmark == "gqa":
+                free = ["2", "3"]
+                random.Random(f"{seed}|e|1|wrong_region").shuffle(free)
+                new = f"object:{free[0]}"
+            else:
+                others = {"docvqa": ["ocr_span:18", "ocr_span:19"], "visualwebbench": ["element:b"]}[benchmark]
+                new = python_choice(others, seed, "e", ref, "wrong_region")
+            assert r["target_step_id"] == hit[0] and r["steps"][hit[0] - 1]["grounding_ref"] == new
+            got[seed] = new, hit[0]
+    assert len(got) == 6 and len(set(got.values())) > 1
+    with pytest.raises(ValueError):
+        corrupt.corrupt(rows, benchmark, rng="dice")
+
+
+def test_python_takes(spark):
+    import random
+
+    from tracemill.functions import picks
+
+    rows = spark.createDataFrame([(["c", "a", "b", "a"], 2), (["a"], 2), ([], 0), (None, 1)], "v array<string>, k int")
+    with picks.generator("python"):
+        chosen = picks.take(F.col("v"), F.col("k"), F.lit(7), F.lit("s"))
+    items = ["c", "a", "b", "a"]
+    random.Random("7|s").shuffle(items)
+    assert [r[0] for r in rows.select(chosen).collect()] == [sorted(items[:2]), None, [], None]

@@ -1,10 +1,64 @@
-"""Deterministic choices by md5, equal on every engine and for every partitioning."""
+"""Deterministic choices, the same for every partitioning: by md5, equal on every engine, or by Python's own generator.
+
+Within ``generator("python")`` choices are those of ``random.Random`` seeded
+with the salts joined by ``|``, in Arrow batches; columns keep the generator
+under which they were made.
+"""
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_generator: ContextVar[str] = ContextVar("generator", default="md5")
+
+
+@contextmanager
+def generator(name: str) -> Iterator[None]:
+    """Choices made inside come from ``md5`` or from ``python``."""
+    if name not in ("md5", "python"):
+        raise ValueError(f"unknown generator {name}")
+    token = _generator.set(name)
+    try:
+        yield
+    finally:
+        _generator.reset(token)
+
+
+def _seed(salts: tuple[Column, ...]) -> Column:
+    return F.concat_ws("|", *(F.coalesce(s.cast("string"), F.lit("None")) for s in salts))
+
+
+def _python_index(size: Column, salts: tuple[Column, ...]) -> Column:
+    @F.arrow_udf("int")
+    def below(seeds: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([random.Random(s).randrange(n) if n and n > 0 else None for s, n in zip(seeds.to_pylist(), sizes.to_pylist())], pa.int32())
+
+    return below(_seed(salts), size)
+
+
+def _python_take(values: Column, k: Column, salts: tuple[Column, ...]) -> Column:
+    """The first ``k`` of the shuffled strings, sorted; repeated ones count each."""
+
+    @F.arrow_udf("array<string>")
+    def first(seeds: pa.Array, lists: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for seed, items, n in zip(seeds.to_pylist(), lists.to_pylist(), counts.to_pylist()):
+            if items is None or n is None or not 0 <= n <= len(items):
+                out.append(None)
+                continue
+            random.Random(seed).shuffle(items)
+            out.append(sorted(items[:n]))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return first(_seed(salts), values, k)
+
 
 def draw(*salts: Column) -> Column:
     """A 32-bit number from the salts."""
@@ -13,6 +67,8 @@ def draw(*salts: Column) -> Column:
 
 def index(size: Column, *salts: Column) -> Column:
     """A position below ``size``; null where there is none."""
+    if _generator.get() == "python":
+        return _python_index(size, salts)
     return F.when(size > 0, F.pmod(draw(*salts), size)).cast("int")
 
 
@@ -23,6 +79,8 @@ def pick(values: Column, *salts: Column) -> Column:
 
 def take(values: Column, k: Column, *salts: Column) -> Column:
     """``k`` distinct elements in ascending order, none for 0; null where the array holds fewer."""
+    if _generator.get() == "python":
+        return _python_take(values, k, salts)
     keyed = F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(draw(*salts, v).alias("d"), v.alias("v"))))
     return F.when((k >= 0) & (F.size(F.array_distinct(values)) >= k), F.array_sort(F.slice(F.transform(keyed, lambda s: s["v"]), 1, k)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.functions.picks import pick, take
+from tracemill.functions.picks import generator, pick, take
 
 Edit = Callable[[Column, Column], dict[str, Column]]
 #: an edit's ``choose(step, seed)`` gives the other item; its edit is then called with that item in the place of the seed
@@ -286,13 +286,19 @@ def target_step(recipe: Recipe, seed: int) -> Column:
     return pick(steps, F.lit(seed), F.col("trace_id"), F.lit(recipe.salt or recipe.family), F.lit("step"))
 
 
-def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int = 0, families: list[str] | None = None) -> DataFrame:
+def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int = 0, families: list[str] | None = None, rng: str = "md5") -> DataFrame:
     """Up to one corrupted trace per recipe, for rows with steps and the evidence columns spans, objects or elements.
 
     Adds suite, family, source_trace_id, target_step_id, wrong_use_type and
     noop_corruption (the step reads as before); trace_id, label and error_type of
-    the hit step change. Ids are unique within a suite only.
+    the hit step change. Ids are unique within a suite only. ``rng`` chooses by
+    md5, or by Python's generator in Arrow batches (:func:`tracemill.functions.picks.generator`).
     """
+    with generator(rng):
+        return _corrupt(traces, benchmark, suite, seed, families)
+
+
+def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families: list[str] | None) -> DataFrame:
     chosen = [r for r in recipes(suite, benchmark) if families is None or r.family in families]
     if unknown := set(families or ()) - {r.family for r in recipes(suite, benchmark)}:
         raise ValueError(f"unknown families {sorted(unknown)}")
