@@ -250,3 +250,25 @@ def test_python_takes(spark):
     items = ["c", "a", "b", "a"]
     random.Random("7|s").shuffle(items)
     assert [r[0] for r in rows.select(chosen).collect()] == [sorted(items[:2]), None, [], None]
+
+
+def test_pointwise_texts_of_both_tables(spark):
+    clean = trace_rows(spark, [step(1, "derive"), step(2, "answer")])
+    bad = corrupt.corrupt(clean, "docvqa", families=["wrong_relation"])
+    points = training.pointwise(clean, bad).join(clean.select("image_path", "question"))
+    pairs = training.pairwise(clean, bad, "trace_id").join(clean.select("image_path", "question"))
+    of_points = {r["record_id"]: r for r in training.pointwise_texts(points).collect()}
+    pair = training.pointwise_texts(pairs).first()
+    assert pair["record_id"] == "t" and pair["target"] == '{"step_labels": [1, 1], "final_score": 1.0, "trace_label": 1}'
+    assert of_points["pointwise::t"]["prompt"] == pair["prompt"] and of_points["pointwise::t"]["target"] == pair["target"]
+
+
+def test_profile_with_images(spark, tmp_path):
+    from tracemill.sources import readers
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.png").write_bytes(b"x")
+    rows = [(f"{tmp_path}/a/1.png", 1, [step(1, "read")[:5] + (0, "x")]), (f"{tmp_path}/a/2.png", 3, [step(1, "read")]), (None, 2, [step(1, "read")])]
+    pairs = spark.createDataFrame(rows, f"image_path string, t_star int, rejected_steps array<{schemas.STEP}>")
+    got = training.quality_profile(pairs, readers.existing_files(spark, f"file://{tmp_path}", "*.png")).first().asDict()
+    assert got == {"n": 3, "min_t_star": 1, "max_t_star": 3, "with_wrong_step": 1, "with_image": 1, "image_share": pytest.approx(1 / 3)}

@@ -99,9 +99,28 @@ def pointwise_target(labels: Column, score: Column, label: Column) -> Column:
     return F.concat(F.lit('{"step_labels": ['), items, F.lit('], "final_score": '), score.cast("string"), F.lit(', "trace_label": '), label.cast("string"), F.lit("}"))
 
 
-def quality_profile(pairs: DataFrame) -> DataFrame:
-    """Row count, range of t_star, and negatives that hold a wrong step."""
-    return pairs.agg(
-        F.count("*").alias("n"), F.min("t_star").alias("min_t_star"), F.max("t_star").alias("max_t_star"),
-        F.count_if(F.exists("rejected_steps", lambda s: s["label"] == 0)).alias("with_wrong_step"),
-    )
+def pointwise_texts(rows: DataFrame) -> DataFrame:
+    """(record_id, image_path, prompt, target) of pointwise rows, or of pairs.
+
+    Pointwise rows have record_id, steps, step_labels, trace_score_target and
+    trace_label. Of a pair (preferred_trace_id, preferred_steps) the better trace
+    is supervised: its own labels (1 where missing), score and label 1.
+    """
+    if "step_labels" in rows.columns:
+        rows = rows.withColumns({"__id": F.col("record_id"), "__steps": F.col("steps"), "__labels": F.col("step_labels"), "__score": F.col("trace_score_target"), "__label": F.col("trace_label")})
+    else:
+        labels = F.transform("preferred_steps", lambda s: F.coalesce(s["label"], F.lit(1)))
+        rows = rows.withColumns({"__id": F.col("preferred_trace_id"), "__steps": F.col("preferred_steps"), "__labels": labels, "__score": F.lit(1.0), "__label": F.lit(1)})
+    prompt = pointwise_prompt(F.col("image_path"), F.col("question"), F.col("__steps"))
+    return rows.select(F.col("__id").alias("record_id"), "image_path", prompt.alias("prompt"), pointwise_target(F.col("__labels"), F.col("__score"), F.col("__label")).alias("target"))
+
+
+def quality_profile(pairs: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Row count, range of t_star, and negatives that hold a wrong step; with ``images`` (a table of path) also how many pairs' image_path it holds, and their share."""
+    checks = [F.count("*").alias("n"), F.min("t_star").alias("min_t_star"), F.max("t_star").alias("max_t_star"), F.count_if(F.exists("rejected_steps", lambda s: s["label"] == 0)).alias("with_wrong_step")]
+    if images is None:
+        return pairs.agg(*checks)
+    there = images.select(F.col("path").alias("__path")).distinct()
+    met = pairs.join(there, F.col("image_path") == F.col("__path"), "left")
+    out = met.agg(*checks, F.count("__path").alias("with_image"))
+    return out.withColumn("image_share", F.coalesce(F.try_divide("with_image", "n"), F.lit(0.0)))

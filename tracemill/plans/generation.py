@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import generate, requests, summary
+from tracemill.operators.traces import parse_outputs
 from tracemill.plans import catalogue, frames
 from tracemill.plans.catalogue import d_draw, query
 from tracemill.plans.frames import STEPS_SQL, table
@@ -237,6 +238,29 @@ def q_batch_requests(spark, sf_dir):
 
 
 # --- stages, gate, summary ---
+_FENCE = "CASE o_orderkey % 4 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || {p} || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN '  ' || {p} WHEN 2 THEN '```' || {p} || '```' ELSE '{{\"steps\": []}}' END"
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'no_steps' ELSE 'json' END AS outcome, CASE WHEN o_orderkey % 4 < 3 THEN o_orderpriority END AS predicted_answer,
+    CASE WHEN o_orderkey % 4 < 3 THEN '1|Read "' || o_orderpriority || '".|read|element:' || o_custkey || '|' || o_orderstatus || '|1|none' || chr(10) || '2|So it is done.|answer||x|0|wrong_answer' END AS steps FROM orders"""
+)
+def q_parse_structured(spark, sf_dir):
+    """Orders as structured answers: in fences with and without a language, bare, and without steps."""
+    first = "named_struct('step_id', 1, 'step_text', concat('Read \"', o_orderpriority, '\".'), 'step_type', 'read', 'grounding_ref', concat('element:', o_custkey), 'evidence_value', o_orderstatus, 'label', cast(null as int), 'error_type', cast(null as string))"
+    second = "named_struct('step_id', 2, 'step_text', 'So it is done.', 'step_type', 'answer', 'grounding_ref', '', 'evidence_value', 'x', 'label', 0, 'error_type', 'wrong_answer')"
+    payload = f"to_json(named_struct('steps', array({first}, {second}), 'predicted_answer', concat(' ', o_orderpriority, ' ')))"
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("request_id"), F.lit("e").alias("example_id"), F.lit("visualwebbench").alias("benchmark"), F.lit("/i").alias("image_path"),
+        F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("canonical").alias("trace_mode"), F.lit(True).alias("expects_json"), F.expr(_FENCE.format(p=payload)).alias("raw_text"),
+    )
+    found, failed = parse_outputs(rows)
+    line = lambda s: F.concat_ws("|", *(s[c].cast("string") for c in ("step_id", "step_text", "step_type", "grounding_ref", "evidence_value", "label", "error_type")))
+    parsed = found.select(F.col("trace_id").cast("long").alias("o_orderkey"), F.col("parsing_mode").alias("outcome"), "predicted_answer", F.array_join(F.transform("steps", line), "\n").alias("steps"))
+    lost = failed.select(F.col("request_id").cast("long").alias("o_orderkey"), F.col("reason").alias("outcome"))
+    return parsed.unionByName(lost, allowMissingColumns=True)
+
+
 @query(
     f"""WITH {catalogue._TRACE_JUDGED} SELECT 'manifest' AS stage, 'docvqa' AS benchmark, count(*) AS n FROM orders UNION ALL SELECT 'parsed', 'docvqa', count(*) FROM r
     UNION ALL SELECT 'verified', 'docvqa', count(*) FROM r WHERE passed UNION ALL SELECT 'rejected', 'docvqa', count(*) FROM r WHERE NOT passed"""

@@ -58,6 +58,12 @@ def read_question_shards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("answers", F.filter(F.transform("answers", lambda a: F.trim(a)), lambda a: a != ""))
 
 
+def existing_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path) of the files under a folder of any store, as paths without a scheme; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "").alias("path"))
+
+
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """step, loss, eval_loss and learning_rate of log lines that hold any of them; a plain loss may come from inside eval_loss."""
     line = spark.read.text(path)
