@@ -90,3 +90,12 @@ def test_budget_over_ranges(spark, ranges):
                 break
             want.add((r[2], float(spent)))
     assert {(r["tie"], r["spent"]) for r in fits.collect()} == want
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_sums_over_an_aggregate(spark, ranges, by):
+    """Both sides of the join come from one aggregate: no filter by the range's expression may end up where its columns are not."""
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(50)], "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
+    got = scan.running(rows, {"upto": F.col("n")}, ["v"], by, ranges)
+    assert [r["upto"] for r in got.orderBy("v").collect()] == [8, 15, 22, 29, 36, 43, 50]

@@ -65,12 +65,13 @@ def running(rows: DataFrame, totals: dict[str, Column], order: list[Column | str
     values = [f"__v{i}" for i in range(len(totals))]
     # all ranges of a group, a row each; without groups the key is true, which the planner cannot know
     whole = by or ["__whole"]
-    partial = dealt.groupBy(*by, "__range").agg(*(fold(v).alias(v) for v in values)).withColumn("__whole", F.col("__range") >= 0)
+    partial = dealt.groupBy(*by, "__range").agg(*(fold(v).alias(v) for v in values), (F.count("*") > 0).alias("__whole"))
     before = Window.partitionBy(*whole).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = partial.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col("__range").alias("__r"), *(fold(v).over(before).alias(f"__b{v}") for v in values))
     within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.withColumns({f"__w{v}": fold(v).over(within) for v in values})
-    same = F.col("__range") == F.col("__r")
+    # cast on both sides: of plain columns the planner infers filters by the range's expression, and puts them where its columns are not
+    same = F.col("__range").cast("string") == F.col("__r").cast("string")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
     out = out.join(shifts, same)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import picks, text as T
-from tracemill.operators import bootstrap, corrupt, lookup, metrics, rank, scan, training, verify
+from tracemill.operators import bootstrap, corrupt, gaps, lookup, metrics, rank, scan, training, verify
 from tracemill.operators.traces import TEMPLATES, build_requests, parse_outputs
 from tracemill.plans import frames
 from tracemill.plans.frames import ANSWER, CHUNK, REF, SPANS_SQL, STEPS_SQL, TEXT, table
@@ -976,6 +976,21 @@ def q_best_under_budget(spark, sf_dir):
     return rank.best_under_budget(rows, ["l_orderkey"], ["step_id"], F.col("l_quantity"), 60, "l_discount", ["step_id"], ["step_id"])
 
 
+@query(
+    """WITH v AS (SELECT lang, n_chars AS x, l.doc_id IS NOT NULL AS kept FROM documents d LEFT JOIN labels l USING (doc_id)),
+    t AS (SELECT lang, x, count(*) AS n, count(*) FILTER (kept) AS r FROM v GROUP BY ALL),
+    s AS (SELECT lang, sum(n) OVER w AS a, sum(r) OVER w AS b, sum(n) OVER (PARTITION BY lang) AS n, sum(r) OVER (PARTITION BY lang) AS r FROM t WINDOW w AS (PARTITION BY lang ORDER BY x ROWS UNBOUNDED PRECEDING))
+    SELECT lang, CAST(max(n) AS BIGINT) AS n, CAST(max(r) AS BIGINT) AS retained, round(max(abs(a / n - b / r)), 9) AS gap, true AS sketch_agrees FROM s GROUP BY lang"""
+)
+def q_retained_gap(spark, sf_dir):
+    """Lengths of labelled documents against those of all: the exact gap, and whether that of the sketches lies within their bound."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("kept")), "doc_id", "left")
+    exact = gaps.exact_gap(rows, "n_chars", F.col("kept"), ["lang"])
+    sketched = gaps.sketch_gap(rows, "n_chars", F.col("kept"), ["lang"]).select("lang", F.col("gap").alias("near"))
+    return exact.join(sketched, "lang").select("lang", "n", "retained", F.round("gap", 9).alias("gap"), (F.abs(F.col("gap") - F.col("near")) <= 0.02).alias("sketch_agrees"))
+
+
 # --- merges and retention ---
 @query("SELECT source, count(*) AS n FROM (SELECT 'documents' AS source FROM documents UNION ALL SELECT 'benchmark' FROM benchmark UNION ALL SELECT 'conversations' FROM conversations) GROUP BY source")
 def q_union_all(spark, sf_dir):
