@@ -460,3 +460,26 @@ def test_pipeline_drops_copies_with_blank_lines(spark):
     docs = spark.createDataFrame([(1, text, 9), (2, text, 9), (3, " \n..", 4), (4, text + "\nother words", 9)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in cp.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {1: text, 3: " \n..", 4: "\nother words"}
+
+
+def test_many_ties_of_a_group_become_a_star(spark):
+    """A group whose texts meet in every trie brings fewer edges into the joins than it has texts; tries that hold it in other orders tie it to one text."""
+    from tracemill.llm import components
+
+    pick = random.Random(3)
+    edges = {(max(e), min(e)) for e in ((pick.randrange(300), pick.randrange(300)) for _ in range(20_000)) if e[0] != e[1]}
+    df = spark.createDataFrame(sorted(edges), "hi long, lo long").repartition(8)
+    assert components._contracted(df, len(edges)).count() <= 2 * 299 < len(edges) / 10
+    p, uid = ngram_join.JoinParams(), np.array([5, 9, 2, 7])
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        ties = ngram_join.trie_ties(np.zeros(4, np.int32), np.zeros(4, np.uint64), uid[order], np.full(4, p.longest), p)
+        assert sorted(zip(*(x.tolist() for x in ties))) == [(5, 2), (7, 2), (9, 2)]
+
+
+def test_texts_travel_in_fewer_bytes_than_their_shingles():
+    texts = [" ".join(f"w{i * k % 997}" for i in range(400)) for k in range(1, 20)]
+    codec = pa.Codec("zstd")
+    raw = [t.encode() for t in texts]
+    packed = [codec.compress(r, asbytes=True) for r in raw]
+    sets = ngram_join._sets(packed, [len(r) for r in raw], 5)
+    assert all(len(a) == len(shingles(t)) for a, t in zip(sets, texts)) and sum(map(len, packed)) < sum(s.nbytes for s in sets) / 2

@@ -18,6 +18,8 @@ Texts with equal words in order are one text with a weight. Documents tied by
 shared prefixes form blocks, cut into tiles of bounded rows and shingles; two
 tiles of a block are compared by products of their shingle incidence matrices,
 so that a group of thousands of near copies costs products, not rows of pairs.
+Texts travel compressed, and become shingles where they are compared; the tiles
+of a large block travel in runs of a few, since each goes to all the others.
 Every pair of a block is verified on the whole shingle sets, and every one that
 passes is a link. Only link counts and a spanning forest leave a comparison.
 """
@@ -56,6 +58,9 @@ class JoinParams:
     trie_rows: int = 1 << 20
     tile_rows: int = 512
     tile_shingles: int = 1 << 20
+    #: tiles of one block that travel together, at most, and runs of them up to which each is a tile alone
+    tiles_of_run: int = 4
+    tile_runs: int = 8
     filter_bits: int = 1 << 26
     seed: int = 11
 
@@ -146,8 +151,9 @@ def trie_ties(tree: np.ndarray, path: np.ndarray, uid: np.ndarray, depth: np.nda
         first = np.repeat(start, size)
         rows = np.flatnonzero(np.repeat(matched, size) & (first != np.arange(len(uid))))
         forest.link(rows, first[rows])
-    moved = np.flatnonzero(forest.label != np.arange(len(uid)))
-    pairs = np.unique(np.stack([uid[moved], uid[forest.label[moved]]]), axis=1)
+    least = forest.least(uid)  # a group that is one component in many tries is tied to the same text in all
+    moved = np.flatnonzero(least != uid)
+    pairs = np.unique(np.stack([uid[moved], least[moved]]), axis=1)
     return pairs[0], pairs[1]
 
 
@@ -232,19 +238,29 @@ def forest_edges(reps: DataFrame, n_reps: int, p: JoinParams) -> DataFrame:
     return found.where("dst is not null").select("src", "dst").unionByName(borders.select("src", F.col("after.uid").alias("dst")))
 
 
-def _sets(docs: DataFrame, wanted, p: JoinParams) -> DataFrame:
-    """words and the sorted shingle set (bytes) of the documents whose id the filter lets pass."""
+def _packed(docs: DataFrame, wanted) -> DataFrame:
+    """doc_id, key, size and compressed bytes of the texts of the rows that the filter lets pass: less than a third of their shingles' hashes."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, codec = wanted.value, pa.Codec("zstd")
         for batch in batches:
-            batch = batch.filter(pa.array(has_bits(bits, hashed(batch.column(0).fill_null(NO_ID).to_numpy()))))
-            for a in range(0, batch.num_rows, 64):
-                values, counts, whole = shingle_hashes([t or "" for t in batch.column(1).slice(a, 64).to_pylist()], p.width)
-                sets = [np.unique(v).tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], names=["words", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(released(pick), "words long, shingles binary").dropDuplicates(["words"])
+            batch = batch.filter(pa.array(has_bits(bits, hashed(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
+            raw = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+            packed = [codec.compress(r, asbytes=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in raw], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "key", "bytes", "packed"])
+
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key", "text")
+    return rows.mapInArrow(released(pick), "doc_id long, key long, bytes long, packed binary").dropDuplicates(["doc_id", "key"])
+
+
+def _sets(packed: list[bytes], sizes: list[int], width: int) -> list[np.ndarray]:
+    """The sorted shingle sets of some compressed texts."""
+    codec, out = pa.Codec("zstd"), []
+    for a in range(0, len(packed), 64):
+        texts = [codec.decompress(t, n, asbytes=True).decode() for t, n in zip(packed[a : a + 64], sizes[a : a + 64])]
+        values, counts, _ = shingle_hashes(texts, width)
+        out += [np.unique(v) for v in np.split(values, np.cumsum(counts)[:-1])]
+    return out
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
@@ -278,29 +294,31 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], room: int = 1 << 22) -> n
 
 def _compare(p: JoinParams):
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        """Links within the small blocks that share a group, or between two tiles (one with itself) of a large block."""
-        block, uid, n, second = (table.column(c).to_numpy() for c in ("component", "uid", "n", "second"))
-        raw = table.column("shingles").to_pylist()
+        """Links within the small blocks that share a group, or between two runs of tiles (one with itself) of a large block."""
+        block, uid, n, tile, second = (table.column(c).to_numpy() for c in ("component", "uid", "n", "tile", "second"))
+        sets = _sets(table.column("packed").to_pylist(), table.column("bytes").to_pylist(), p.width)
+        size = np.array([len(s) for s in sets])
         same = key[1].as_py() == key[2].as_py()
         links, forest = np.zeros(len(uid)), Forest(len(uid))
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((tile, block))
         for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             left = rows if same else rows[~second[rows]]
             right = rows if same else rows[second[rows]]
-            if not len(left) or not len(right):
-                continue
-            a, b = ([np.frombuffer(raw[i], np.uint64) for i in side] for side in (left, right))
-            shared = overlaps(a, b)
-            sizes = [np.array([len(s) for s in side]) for side in (a, b)]
-            fits = shared >= p.threshold * (sizes[0][:, None] + sizes[1] - shared) - 1e-9
-            if same:
-                fits &= np.arange(len(right)) > np.arange(len(left))[:, None]
-            i, j = np.nonzero(fits)
-            i, j = left[i], right[j]
-            links += np.bincount(i, n[j], len(uid)) + np.bincount(j, n[i], len(uid))
-            forest.link(i, j)
+            lefts, rights = (np.split(side, np.flatnonzero(np.diff(tile[side])) + 1) for side in (left, right))
+            for x, a in enumerate(lefts):
+                for b in rights[x if same else 0 :]:
+                    if not len(a) or not len(b):
+                        continue
+                    shared = overlaps([sets[i] for i in a], [sets[i] for i in b])
+                    fits = shared >= p.threshold * (size[a][:, None] + size[b] - shared) - 1e-9
+                    if a[0] == b[0]:
+                        fits &= np.arange(len(b)) > np.arange(len(a))[:, None]
+                    i, j = np.nonzero(fits)
+                    i, j = a[i], b[j]
+                    links += np.bincount(i, n[j], len(uid)) + np.bincount(j, n[i], len(uid))
+                    forest.link(i, j)
         hit = links > 0
-        return pa.table({"uid": uid[hit], "links": links[hit].astype(np.int64), "root": uid[forest.label[hit]]})
+        return pa.table({"uid": uid[hit], "links": links[hit].astype(np.int64), "root": forest.least(uid)[hit]})
 
     return compare
 
@@ -323,19 +341,19 @@ def _classes(docs: DataFrame, p: JoinParams, id_col: str, text_col: str) -> Data
     load = F.greatest(F.count("*") / p.tile_rows, F.sum("size") / p.tile_shingles)
     sizes = members.groupBy("component").agg(F.ceil(load).cast("long").alias("tiles"))
     groups = max(1, int(members.agg(load).first()[0] or 1))
-    members = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
+    # runs of tiles travel together: a text goes to each run of its block, and up to tile_runs runs are one for each tile
+    width = F.greatest(F.lit(1), F.least(F.lit(p.tiles_of_run), F.ceil(F.col("tiles") / p.tile_runs))).cast("long")
+    members = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles"))).withColumn("width", width)
+    members = members.withColumn("run", F.floor(F.col("tile") / F.col("width"))).withColumn("last", F.floor((F.col("tiles") - 1) / F.col("width")))
     members = members.withColumn("grp", F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(groups))))
-    members = stage(members.select("uid", "words", F.col("least.doc_id").alias("doc_id"), "n", "component", "tiles", "tile", "grp"), "members")
-    # one document of each member is read again for its shingles; the filter of fixed size spares the others, the join is exact
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["doc_id"]], p.filter_bits))
-    sets = stage(_sets(source, wanted, p).join(members.drop("doc_id"), "words").drop("words"), "shingle-sets")
-
-    firsts = sets.withColumn("t2", F.explode(F.sequence("tile", F.col("tiles") - 1)))
-    firsts = firsts.select("*", F.col("tile").alias("t1"), F.lit(False).alias("second"))
-    seconds = sets.where("tile > 0").withColumn("t1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile") - 1)))
-    seconds = seconds.select("*", F.col("tile").alias("t2"), F.lit(True).alias("second"))
-    columns = ["grp", "t1", "t2", "component", "second", "uid", "n", "shingles"]
-    pairs = firsts.select(columns).unionByName(seconds.select(columns)).groupBy("grp", "t1", "t2")
+    least = [F.coalesce("least.doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("least.key").alias("key")]
+    members = stage(members.select("uid", *least, "n", "component", "tile", "run", "last", "grp"), "members")
+    # one document of each member is read again; the filter of fixed size spares the others, the join is exact
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(members, [["doc_id", "key"]], p.filter_bits))
+    texts = _packed(source, wanted).join(members.hint("merge"), ["doc_id", "key"])
+    met = lambda a, b, second: F.struct(a.alias("t1"), b.alias("t2"), F.lit(second).alias("second"))
+    to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda r: F.when(r < F.col("run"), met(r, F.col("run"), True)).otherwise(met(F.col("run"), r, False)))
+    pairs = texts.select("grp", "component", "tile", "uid", "n", "bytes", "packed", F.inline(to)).groupBy("grp", "t1", "t2")
     found = stage(pairs.applyInArrow(released(_compare(p)), "uid long, links long, root long"), "links")
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
