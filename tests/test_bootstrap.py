@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,36 @@ def test_no_row_for_a_draw(spark):
     slim = rows.select(F.lit("").alias("g"), F.lit(0).alias("zone"), "score", "label", F.col("k").alias("x"), F.col("k").alias("y"))
     folded = slim.mapInArrow(bootstrap._fold(bootstrap.factors(10, "s"), 64), "g string, zone int, score double, label int, x long, y long, n binary, p binary")
     assert folded.count() == 5 * 2  # a batch of 10,000 rows from each of two tasks
+
+
+def test_draws_are_those_of_single_digests():
+    for prefix in ("bootstrap|", "b" * 50 + "|", "b" * 61 + "|7|", "é" * 70 + "|"):
+        for begin, end in ((0, 1005), (99990, 100020), (5, 5)):
+            assert bootstrap.draws(prefix, begin, end).tolist() == [int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:8], 16) for i in range(begin, end)]
+
+
+def test_drawn_pairs_by_hand(spark):
+    """Two groups, one of two zones, a null and ties; draws travel as counts by zones, never as rows."""
+    pick = random.Random(8)
+    pairs = [(g, k, pick.choice([None, 0.1, 0.5, pick.random()]), pick.choice([0.5, pick.random()])) for g, n in (("a", 9000), ("b", 3)) for k in range(n)]
+    df = spark.createDataFrame(pairs, "family string, k long, pos_score double, neg_score double").repartition(5)
+    got = bootstrap.drawn_auc(metrics.sides(df, "family", "k"), "k", 3, "family")
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    found = {(r["family"], r["replicate"]): r["value"] for r in got.collect()}
+    for g, n in (("a", 9000), ("b", 3)):
+        scores = np.array([[-np.inf if s is None else s for s in r[2:]] for r in pairs if r[0] == g])
+        for r in range(3):
+            taken = scores[bootstrap.draws(f"bootstrap|{g}|{r}|", 0, n) % n]
+            pos, neg = taken[:, 0], np.sort(taken[:, 1])
+            ahead = np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")
+            assert found.pop((g, r)) == pytest.approx(ahead.sum() / 2 / n / n, abs=1e-12)
+    assert not found
+    assert bootstrap.drawn_auc(metrics.sides(df.where("false"), "family", "k"), "k", 3, "family").count() == 0
+    assert "FlatMapCoGroupsInArrow" in metrics.pair_intervals(df, "family", "k", 3)._jdf.queryExecution().toString()
+
+
+def test_common_scores_meet_whatever_the_batches():
+    """Batches of 1000 rows (the training-data operators ask for those) fold as one of 10,000 does."""
+    whole = pa.record_batch({"g": ["x"] * 10_000, "score": [0.5] * 10_000, "label": [1] * 10_000, "x": list(range(10_000)), "y": list(range(10_000))})
+    fold = bootstrap._fold(bootstrap.factors(4, "s"), 64)
+    assert [b.num_rows for b in fold(whole.slice(a, 1000) for a in range(0, 10_000, 1000))] == [1]

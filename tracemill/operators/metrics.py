@@ -118,9 +118,9 @@ def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1
     """(group, auroc, lower, upper): mean and percentiles of the AUROC of resampled pairs, whose two scores stay together.
 
     ``order`` is a number that orders the pairs of a group and tells them apart.
-    ``exact`` draws as many pairs as there are, with replacement, a row a draw;
-    ``poisson`` counts each pair Poisson(1) times instead and makes no rows for
-    that (:mod:`tracemill.operators.bootstrap`).
+    ``exact`` draws as many pairs as there are, with replacement; ``poisson``
+    counts each pair Poisson(1) times instead. Neither makes rows for that
+    (:mod:`tracemill.operators.bootstrap`).
     """
     if method == "poisson":
         from tracemill.operators.bootstrap import poisson_auc  # it builds on this module
@@ -129,15 +129,9 @@ def pair_intervals(pairs: DataFrame, group: str, order: str, replicates: int = 1
         return _interval(values, group, alpha)
     ranges = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = ordinals(pairs.select(group, order, "pos_score", "neg_score"), order, "ordinal", ranges, group)
-    sizes = numbered.groupBy(group).agg(F.count("*").alias("n"))
-    draws = sizes.select(group, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
-    # each replicate of a group draws its n pairs in slices, so that no row explodes into many millions
-    slices = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(100_000).cast("long"))
-    draws = draws.select("*", F.explode(slices).alias("begin")).repartition(group, "replicate", "begin")
-    draws = draws.select(group, "n", "replicate", F.explode(F.sequence("begin", F.least(F.col("begin") + 99_999, F.col("n") - 1))).alias("i"))
-    drawn = draws.select(group, "replicate", F.pmod(draw(F.lit("bootstrap"), F.col(group), F.col("replicate"), F.col("i")), F.col("n")).alias("ordinal"))
-    times = drawn.groupBy(group, "replicate", "ordinal").agg(F.count("*").alias("times")).join(numbered, [group, "ordinal"])
-    return _interval(weighted_auc(sides(times, group, "replicate", "times"), [group, "replicate"]), group, alpha)
+    from tracemill.operators.bootstrap import drawn_auc
+
+    return _interval(drawn_auc(sides(numbered, group, "ordinal"), "ordinal", replicates, group), group, alpha)
 
 
 def _interval(values: DataFrame, group: str, alpha: float) -> DataFrame:
@@ -195,21 +189,28 @@ def ordinals(rows: DataFrame, by: str, name: str, ranges: int, group: str | None
     if group:
         sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__size"))  # one row for each group and range
         upto = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        shifts = sizes.select(group, "__range", F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"))
+        shifts = sizes.select(F.col(group).alias("__g"), F.col("__range").alias("__r"), F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"))
         within = F.row_number().over(Window.partitionBy(group, "__range").orderBy(by))
-        return dealt.withColumn(name, within).join(shifts, [group, "__range"]).withColumn(name, F.col(name) + F.col("__before") - 1).drop("__range", "__before")
+        # cast on both sides, as in scan.running: the planner must not infer filters by the range's expression
+        same = (F.col(group) == F.col("__g")) & (F.col("__range").cast("string") == F.col("__r").cast("string"))
+        return dealt.withColumn(name, within).join(shifts, same).withColumn(name, F.col(name) + F.col("__before") - 1).drop("__range", "__before", "__g", "__r")
     sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}  # one row for each range
     before = [sum(n for k, n in sizes.items() if k < i) for i in range(len(bounds) + 1)]
     within = F.row_number().over(Window.partitionBy("__range").orderBy(by))
     return dealt.withColumn(name, F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("__range")) + within - 1).drop("__range")
 
 
-def resamples(rows: DataFrame, ordinal: str, n: int, replicates: int, salt: str = "bootstrap") -> DataFrame:
+def resamples(rows: DataFrame, ordinal: str, n: int, replicates: int, salt: str = "bootstrap", by_score: bool = False) -> DataFrame:
     """``replicates`` draws with replacement of ``n`` rows numbered 0..n-1 by ``ordinal``: adds replicate and times.
 
     Only draw counts are generated and joined by ordinal; the rows themselves are
-    never multiplied before a draw asks for them.
+    never multiplied before a draw asks for them. ``by_score`` gives only
+    (replicate, score, label, times), for 0/1 labels, in parts that add up, and makes no row for a draw.
     """
+    if by_score:
+        from tracemill.operators.bootstrap import drawn_by_score
+
+        return drawn_by_score(rows, ordinal, replicates, "score", "label", salt)
     draws = rows.sparkSession.range(replicates * n).select(
         F.floor(F.col("id") / n).alias("replicate"),
         F.pmod(draw(F.lit(salt), F.floor(F.col("id") / n), F.col("id") % n), F.lit(n)).alias(ordinal),
