@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.sources import adapters, readers
 
@@ -125,3 +126,22 @@ def test_manifests_of_split_files_equal_those_of_whole_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", ["q_docvqa_manifest", "q_gqa_manifest", "q_web_manifest"])
+def test_manifest_queries_read_their_files_once(spark, name):
+    """Accepted and rejected rows come from one pass; no filter on the exploded records evaluates the file's JSON once more."""
+    from tracemill.plans.catalogue import QUERIES
+    from tracemill.plans import manifests  # noqa: F401
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderkey#") and sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) == 1
+    assert not any("Filter" in line and "from_json" in line for line in plan.splitlines())
+
+
+def test_filled_evaluates_its_text_once(spark):
+    from tracemill.functions import text as T
+
+    df = spark.createDataFrame([(" a ",), (" \t",), (None,)], "t string").select(T.filled(F.col("t")).alias("f"))
+    assert [r["f"] for r in df.collect()] == ["a", None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1

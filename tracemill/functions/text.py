@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ ANSWERS = (r"(?idU)(?:final answer|answer)\s*[:\-]\s*(.+)$", r"(?idU)(?:therefor
 FENCED_JSON = r"(?sU)```(?:json)?\s*(\{.*\})\s*```"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it may use many times: as the variable of a lambda it is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends; ``trim`` knows spaces only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -42,7 +49,7 @@ def strip(text: Column) -> Column:
 
 def filled(text: Column) -> Column:
     """The stripped text, null where nothing is left."""
-    return F.nullif(strip(text.cast("string")), F.lit(""))
+    return F.get(F.array_remove(F.array(strip(text.cast("string"))), ""), F.lit(0))  # nullif would evaluate the text twice
 
 
 def first_filled(*columns: Column) -> Column:

@@ -15,9 +15,10 @@ def _files(rows: DataFrame, path: str, raw: str) -> DataFrame:
     return rows.select(F.expr(path).alias("path"), F.expr(raw).alias("raw")).withColumn("payload", F.try_parse_json("raw"))
 
 
-def _both(good: DataFrame, bad: DataFrame, detail) -> DataFrame:
-    kept = good.select("example_id", "image_path", "question", "answer", detail.alias("detail"))
-    return kept.unionByName(bad.select("example_id", F.col("problem").alias("detail")), allowMissingColumns=True)
+def _both(marked: DataFrame, detail) -> DataFrame:
+    """Accepted rows with their detail, the others with their problem; one pass, where a union would parse every file twice."""
+    kept = F.col("problem").isNull()
+    return marked.select("example_id", *(F.when(kept, F.col(c)).alias(c) for c in ("image_path", "question", "answer")), F.when(kept, detail).otherwise(F.col("problem")).alias("detail"))
 
 
 _QUESTIONS = """CASE o_orderkey % 4 WHEN 0 THEN '{"split":"dev","data":[{"questionId":' || o_orderkey || ',"image":"d' || o_custkey || '.png","question":"' || o_orderstatus || '","answers":["  ' || o_orderpriority || ' ","x"]}]}'
@@ -43,9 +44,9 @@ def q_docvqa_manifest(spark, sf_dir):
     """Orders as files of questions in four layouts, customers as files of text spans."""
     questions = _files(table(spark, sf_dir, "orders"), "'/f/train.json'", _QUESTIONS)
     lookup = adapters.ocr_lookup(_files(table(spark, sf_dir, "customer"), "'/o/' || c_custkey", _OCR))
-    good, bad = adapters.docvqa_manifest(questions, lookup, "/img")
+    marked = adapters.docvqa_rows(questions, lookup, "/img")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("=", s["span_id"], s["text"])), ",")
-    return _both(good, bad, F.coalesce(spans, F.lit("")))
+    return _both(marked, F.coalesce(spans, F.lit("")))
 
 
 _SCENES = """'{"' || c_custkey || '":{"objects":{"2":{"name":"cup","attributes":["red","n' || c_nationkey || '"," "],"x":1,"y":2,"w":3,"height":4,"relations":[{"name":"on","object":"1"},{"relation":"by","target_id":"1"},{"name":"","object":"1"}]},
@@ -61,12 +62,12 @@ def q_gqa_manifest(spark, sf_dir):
     """Orders as dictionaries of questions, customers as dictionaries of scenes."""
     asked = """'{"' || o_orderkey || '":{"imageId":"' || o_custkey || '","question":"' || o_orderstatus || '"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',"fullAnswer":" ' || o_orderpriority || '"' END || '}}'"""
     scenes = adapters.scene_lookup(_files(table(spark, sf_dir, "customer"), "'/s/' || c_custkey", _SCENES))
-    good, bad = adapters.gqa_manifest(_files(table(spark, sf_dir, "orders"), "'/f/val.json'", asked), scenes, "/img")
+    marked = adapters.gqa_rows(_files(table(spark, sf_dir, "orders"), "'/f/val.json'", asked), scenes, "/img")
     one = lambda o: F.concat_ws(
         ":", o["object_id"], o["name"], F.array_join(o["attributes"], "+"),
         F.array_join(F.transform(o["relations"], lambda r: F.concat_ws(">", r["name"], r["target_object_id"])), "+"), F.array_join(o["bbox"].cast("array<string>"), " "),
     )
-    return _both(good, bad, F.coalesce(F.array_join(F.transform("objects", one), ","), F.lit("")))
+    return _both(marked, F.coalesce(F.array_join(F.transform("objects", one), ","), F.lit("")))
 
 
 @query(
@@ -78,6 +79,6 @@ def q_web_manifest(spark, sf_dir):
     raw = """CASE o_orderkey % 3 WHEN 0 THEN '{"grp":[{"id":' || o_orderkey || ',"image":"' || o_orderkey || '.png","task_type":"tap","website":"site","target_action":"' || o_orderpriority || '","elements":["' || o_orderstatus || '"," ",{"label":"last","id":"e9"}],"targets":["t"]}]}'
         WHEN 1 THEN '[{"example_id":"' || o_orderkey || '","screenshot":"' || o_orderkey || '.png","query":"' || o_orderstatus || '","label":"' || o_orderpriority || '","bbox":[1,2,3,4]}]'
         ELSE '{"items":[{"sample_id":"' || o_orderkey || '","file_name":"' || o_orderkey || '.png","question":"' || o_orderstatus || '","answer":"' || o_orderpriority || '"}]}' END"""
-    good, bad = adapters.web_manifest(_files(table(spark, sf_dir, "orders"), "'/f/web.json'", raw), "/img")
+    marked = adapters.web_rows(_files(table(spark, sf_dir, "orders"), "'/f/web.json'", raw), "/img")
     listed = F.array_join(F.transform("elements", lambda e: F.concat_ws("=", e["element_id"], e["text"])), ",")
-    return _both(good, bad, F.concat_ws(" ", "verification_mode", listed))
+    return _both(marked, F.concat_ws(" ", "verification_mode", listed))
