@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill import schemas
+from tracemill.functions import text as T
 from tracemill.operators import corrupt, traces, training, verify
 
 SPANS = [("17", "INV-7", ""), ("18", "Total", ""), ("19", "12 EUR", "")]
@@ -272,3 +273,18 @@ def test_profile_with_images(spark, tmp_path):
     pairs = spark.createDataFrame(rows, f"image_path string, t_star int, rejected_steps array<{schemas.STEP}>")
     got = training.quality_profile(pairs, readers.existing_files(spark, f"file://{tmp_path}", "*.png")).first().asDict()
     assert got == {"n": 3, "min_t_star": 1, "max_t_star": 3, "with_wrong_step": 1, "with_image": 1, "image_share": pytest.approx(1 / 3)}
+
+
+def test_texts_and_references_are_evaluated_once(spark):
+    """A text, a reference and an object that rules read many times stand in the plan once, so expressions inside one another do not multiply."""
+    rows = spark.createDataFrame([("so it is left of x", "relation:on:1:2")], "text string, ref string")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    both = T.mutate_relation(T.mutate_inference(F.concat(F.lit("marked "), F.col("text"))))
+    assert plan(both).count("marked") == 1
+    assert rows.select(both.alias("x")).first().x == "marked still it is right of x"
+    objects = F.array(F.struct(F.lit("1").alias("object_id"), F.lit("a").alias("name"), F.array(F.lit("red")).alias("attributes"), F.array(F.struct(F.lit("on").alias("name"), F.lit("2").alias("target_object_id"))).alias("relations")))
+    step = F.struct(F.lit("relate").alias("step_type"), F.concat(F.col("ref"), F.lit("")).alias("grounding_ref"), F.lit("x").alias("evidence_value"))
+    issues = verify.object_issues(F.col("s"), F.col("o"))
+    rows = rows.withColumns({"s": step, "o": objects})
+    assert plan(issues).count("split(") == 2  # the parts of a relation, and a list of ids
+    assert rows.select(issues.alias("x")).first().x == []

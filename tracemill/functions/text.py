@@ -137,26 +137,37 @@ def extracted_answer(text: Column, last_step: Column | None = None) -> Column:
 
 def replace_words(text: Column, swaps: tuple[tuple[str, str], ...]) -> Column:
     """The first phrase of ``swaps`` that occurs as words is replaced where it occurs first."""
-    out = text
-    for source, target in reversed(swaps):
-        found = text.rlike(rf"(?iU)\b{source}\b")
-        out = F.when(found, F.regexp_replace(text, rf"(?isU)^(.*?)\b{source}\b", f"$1{target}")).otherwise(out)
-    return out
+
+    def replaced(text: Column) -> Column:
+        out = text
+        for source, target in reversed(swaps):
+            found = text.rlike(rf"(?iU)\b{source}\b")
+            out = F.when(found, F.regexp_replace(text, rf"(?isU)^(.*?)\b{source}\b", f"$1{target}")).otherwise(out)
+        return F.when(text.rlike(rf"(?iU)\b(?:{'|'.join(source for source, _ in swaps)})\b"), out).otherwise(text)
+
+    return once(text, replaced)  # a text may be an expression itself, and is read a dozen times
 
 
 def mutate_relation(text: Column) -> Column:
     """The opposite relation, or a note that another one is used."""
-    swapped = replace_words(text, RELATION_SWAPS)
-    return F.when(swapped != text, swapped).otherwise(F.concat(F.rtrim(text, F.lit(".")), F.lit(" using a different relation.")))
+
+    def mutated(text: Column) -> Column:
+        other = F.concat(F.rtrim(text, F.lit(".")), F.lit(" using a different relation."))
+        return once(replace_words(text, RELATION_SWAPS), lambda swapped: F.when(swapped != text, swapped).otherwise(other))
+
+    return once(text, mutated)
 
 
 def mutate_inference(text: Column) -> Column:
     """A conclusion turned around; a text that holds its letters only inside other words stays as it is."""
-    lowered = F.lower(text)
-    has = lowered.contains("therefore") | lowered.contains("thus") | lowered.contains("so")
-    return F.when(has, replace_words(text, INFERENCE_SWAPS)).otherwise(
-        F.concat(F.rtrim(text, F.lit(".")), F.lit(" This suggests a different conclusion."))
-    )
+
+    def mutated(text: Column) -> Column:
+        has = once(F.lower(text), lambda lowered: lowered.contains("therefore") | lowered.contains("thus") | lowered.contains("so"))
+        return F.when(has, replace_words(text, INFERENCE_SWAPS)).otherwise(
+            F.concat(F.rtrim(text, F.lit(".")), F.lit(" This suggests a different conclusion."))
+        )
+
+    return once(text, mutated)
 
 
 def last_part(ref: Column) -> Column:
@@ -167,21 +178,28 @@ def _id_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")
 
 
-def scene_ref(ref: Column) -> Column:
+def scene_ref(ref: Column, hold: Callable[[Column, Callable[[Column], Column]], Column] = once) -> Column:
     """struct<kind, ids, relation, source, target> of ``object:1``, ``objects:1,2`` or ``relation:on:1:2``; kinds empty and unknown for others.
 
     ``object:`` names one blank id; a relation with a blank part is unknown.
+    ``hold`` gives parts that are used many times; see :func:`tracemill.functions.picks.held`.
     """
-    text = strip(F.coalesce(ref, F.lit("")))
-    parts = F.split(text, ":", 4)
-    named = F.forall(F.slice(parts, 2, 3), lambda x: strip(x) != "")
-    is_relation = text.startswith("relation:") & (F.size(parts) == 4) & named
-    objects = F.when(text.startswith("object:"), F.array(strip(F.substring(text, 8, 1 << 20)))).when(
-        text.startswith("objects:"), _id_list(F.substring(text, 9, 1 << 20))
-    )
-    kind = F.when(text == "", "empty").when(objects.isNotNull(), "objects").when(is_relation, "relation").otherwise("unknown")
-    part = lambda i: F.when(is_relation, strip(F.get(parts, F.lit(i))))
-    return F.struct(kind.alias("kind"), objects.alias("ids"), part(1).alias("relation"), part(2).alias("source"), part(3).alias("target"))
+
+    def parsed(text: Column) -> Column:
+        objects = F.when(text.startswith("object:"), F.array(strip(F.substring(text, 8, 1 << 20)))).when(
+            text.startswith("objects:"), _id_list(F.substring(text, 9, 1 << 20))
+        )
+        # name, source and target; null unless the text is a whole relation
+        named = hold(F.transform(F.split(text, ":", 4), strip), lambda p: F.when((F.size(p) == 4) & F.forall(F.slice(p, 2, 3), lambda x: x != ""), p))
+        relation = F.when(text.startswith("relation:"), named)
+        return hold(F.struct(objects.alias("ids"), relation.alias("parts")), lambda found: of_kind(text, found))
+
+    def of_kind(text: Column, found: Column) -> Column:
+        kind = F.when(text == "", "empty").when(found["ids"].isNotNull(), "objects").when(found["parts"].isNotNull(), "relation").otherwise("unknown")
+        part = lambda i: F.get(found["parts"], F.lit(i))
+        return F.struct(kind.alias("kind"), found["ids"].alias("ids"), part(1).alias("relation"), part(2).alias("source"), part(3).alias("target"))
+
+    return hold(strip(F.coalesce(ref, F.lit(""))), parsed)
 
 
 def element_ref(ref: Column) -> Column:
@@ -198,16 +216,21 @@ def format_ref(ids: Column, singular: str) -> Column:
     return F.concat(F.when(F.size(ids) == 1, singular + ":").otherwise(singular + "s:"), F.array_join(ids, ","))
 
 
-def attribute_summary(objects: Column, ids: Column) -> Column:
-    """First two attributes and name of each object, stripped, in the order of ``ids``; unknown ids and blank parts are skipped, the last object of an id counts."""
+def last(items: Column) -> Column:
+    """The last item of an array that is costly to find; null where there is none."""
+    return once(items, lambda found: F.get(found, F.size(found) - 1))
+
 
-    def one(object_id: Column) -> Column:
-        of_id = F.filter(objects, lambda o: (strip(o["object_id"]) == object_id) & (object_id != ""))
-        found = F.get(of_id, F.size(of_id) - 1)
-        parts = F.transform(F.slice(F.coalesce(found["attributes"], F.array().cast("array<string>")), 1, 2), strip)
-        return F.concat_ws(" ", F.filter(parts, lambda p: p != ""), F.nullif(strip(found["name"]), F.lit("")))
+def described(item: Column) -> Column:
+    """First two attributes and name of an object, stripped, without blank parts."""
+    parts = F.transform(F.slice(F.coalesce(item["attributes"], F.array().cast("array<string>")), 1, 2), strip)
+    return F.concat_ws(" ", F.filter(parts, lambda p: p != ""), filled(item["name"]))
 
-    return F.array_join(F.filter(F.transform(ids, one), lambda s: s != ""), ", ")
+
+def attribute_summary(objects: Column, ids: Column) -> Column:
+    """:func:`described` of each object, in the order of ``ids``; unknown ids are skipped, the last object of an id counts."""
+    of_id = lambda i: last(F.filter(objects, lambda o: (strip(o["object_id"]) == i) & (i != "")))
+    return F.array_join(F.filter(F.transform(ids, lambda i: once(of_id(i), described)), lambda s: s != ""), ", ")
 
 
 def image_path(root: Column, name: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import element_ref, filled, last_part, normalize_text, scene_ref, strip
+from tracemill.functions.text import element_ref, filled, last, last_part, normalize_text, once, scene_ref, strip
 from tracemill.schemas import EVIDENCE_STEPS, GROUNDED_STEPS
 
 
@@ -37,8 +37,7 @@ def _neither_contains(a: Column, b: Column) -> Column:
 
 def _last_of(items: Column, key: str, wanted: Column) -> Column:
     """The last item of an id, as a dictionary keeps it; ids count without outer space, blank ones not at all."""
-    found = F.filter(items, lambda i: (wanted != "") & (strip(i[key]) == wanted))
-    return F.get(found, F.size(found) - 1)
+    return last(F.filter(items, lambda i: (wanted != "") & (strip(i[key]) == wanted)))
 
 
 def span_issues(step: Column, spans: Column) -> Column:
@@ -60,19 +59,27 @@ def span_issues(step: Column, spans: Column) -> Column:
 
 def object_issues(step: Column, objects: Column) -> Column:
     """Issues of a step grounded in scene objects or a relation between two."""
+
+    def look_up(ref: Column) -> Column:
+        unknown = (ref["kind"] == "objects") & F.exists(ref["ids"], lambda i: _last_of(objects, "object_id", i).isNull())
+        one, source = (_last_of(objects, "object_id", i) for i in (F.get(ref["ids"], F.lit(0)), ref["source"]))
+        return F.struct(unknown.alias("unknown"), one.alias("one"), source.alias("source"))
+
+    # references are parsed once, and objects looked up once
+    return once(scene_ref(step["grounding_ref"]), lambda ref: once(look_up(ref), lambda found: _object_issues(step, ref, found)))
+
+
+def _object_issues(step: Column, ref: Column, found: Column) -> Column:
     no_ref, no_value, has_ref, has_value = _missing(step)
-    ref = scene_ref(step["grounding_ref"])
     is_objects, is_relation = ref["kind"] == "objects", ref["kind"] == "relation"
-    unknown = is_objects & F.exists(ref["ids"], lambda i: _last_of(objects, "object_id", i).isNull())
+    unknown, one, source = found["unknown"], found["one"], found["source"]
     is_count = (step["step_type"] == "count") & has_value
     number = strip(step["evidence_value"]).try_cast("int")
     wrong_count = is_objects & ~unknown & is_count & ~_is_true(number == F.size(ref["ids"]))
-    one = _last_of(objects, "object_id", F.get(ref["ids"], F.lit(0)))
     names = F.concat(F.array(normalize_text(one["name"])), F.transform(F.coalesce(one["attributes"], F.array().cast("array<string>")), normalize_text))
     names = F.filter(names, lambda n: n != "")
     said = normalize_text(step["evidence_value"])
     wrong_name = is_objects & ~unknown & ~is_count & has_value & (F.size(ref["ids"]) == 1) & (said != "") & (F.size(names) > 0) & ~F.array_contains(names, said)
-    source = _last_of(objects, "object_id", ref["source"])
     edge = F.exists(source["relations"], lambda r: (strip(r["name"]) == ref["relation"]) & (strip(r["target_object_id"]) == ref["target"]))
     return _issues(
         (no_ref, "missing_grounding_ref"),
