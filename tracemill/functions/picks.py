@@ -8,7 +8,7 @@ under which they were made.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import once
+
 _generator: ContextVar[str] = ContextVar("generator", default="md5")
 
 
@@ -72,17 +74,26 @@ def index(size: Column, *salts: Column) -> Column:
     return F.when(size > 0, F.pmod(draw(*salts), size)).cast("int")
 
 
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value, evaluated once; Python's generator cannot choose inside of a lambda, so there it is evaluated where it is used."""
+    return body(value) if _generator.get() == "python" else once(value, body)
+
+
 def pick(values: Column, *salts: Column) -> Column:
     """One element of an array; null for empty and null arrays."""
-    return F.get(values, index(F.size(values), *salts))
+    return held(values, lambda v: F.get(v, index(F.size(v), *salts)))
 
 
 def take(values: Column, k: Column, *salts: Column) -> Column:
     """``k`` distinct elements in ascending order, none for 0; null where the array holds fewer."""
     if _generator.get() == "python":
         return _python_take(values, k, salts)
-    keyed = F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(draw(*salts, v).alias("d"), v.alias("v"))))
-    return F.when((k >= 0) & (F.size(F.array_distinct(values)) >= k), F.array_sort(F.slice(F.transform(keyed, lambda s: s["v"]), 1, k)))
+
+    def first(distinct: Column) -> Column:
+        keyed = F.sort_array(F.transform(distinct, lambda v: F.struct(draw(*salts, v).alias("d"), v.alias("v"))))
+        return F.when((k >= 0) & (F.size(distinct) >= k), F.array_sort(F.transform(F.slice(keyed, 1, k), lambda s: s["v"])))
+
+    return once(F.array_distinct(values), first)
 
 
 def in_share(percent: int, *salts: Column) -> Column:

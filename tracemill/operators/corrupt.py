@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.functions.picks import generator, pick, take
+from tracemill.functions.picks import generator, held, pick, take
 
 Edit = Callable[[Column, Column], dict[str, Column]]
 #: an edit's ``choose(step, seed)`` gives the other item; its edit is then called with that item in the place of the seed
 
 
-def _with_choice(choose: Callable[[Column, Column], Column]):
+def _with_choice(choose: Callable[[Column, Column], Column], seen: Callable[[Column], Column] | None = None):
+    """``seen`` makes of the choice, once it is a column, what the edit gets in its place."""
+
     def add(edit: Edit) -> Edit:
-        edit.choose = choose
+        edit.choose, edit.seen = choose, seen
         return edit
 
     return add
@@ -57,11 +59,11 @@ def _other(salt: str) -> Callable[[Column, Column], Column]:
     """
 
     def choose(step: Column, seed: Column) -> Column:
-        ref = step["grounding_ref"]
-        named = lambda i: (F.coalesce(ref, F.lit("")) != "") & i["id"].isin(ref, T.last_part(ref))
-        now = F.coalesce(F.get(F.filter("__items", named), F.lit(0))["norm"], F.lit(""))
-        others = F.filter("__items", lambda i: (i["id"] != "") & (i["norm"] != now))
-        return pick(others, seed, F.col("example_id"), F.coalesce(ref, F.lit("")), F.lit(salt))["item"]
+        ref = F.coalesce(step["grounding_ref"], F.lit(""))
+        named = lambda ids: F.filter("__items", lambda i: (ref != "") & F.array_contains(ids, i["id"]))
+        now = F.coalesce(held(F.array(ref, T.last_part(ref)), lambda ids: F.get(named(ids), F.lit(0)))["norm"], F.lit(""))
+        others = lambda now: F.filter("__items", lambda i: (i["id"] != "") & (i["norm"] != now))
+        return held(now, lambda now: pick(others(now), seed, F.col("example_id"), ref, F.lit(salt)))["item"]
 
     return choose
 
@@ -72,8 +74,7 @@ _span = _element = _other
 def _objects(salt: str):
     def choose(step: Column, seed: Column) -> Column:
         ref = step["scene"]
-        known = F.filter(F.transform("objects", lambda o: T.strip(o["object_id"])), lambda i: F.coalesce(i, F.lit("")) != "")
-        free = F.filter(known, lambda i: ~F.array_contains(ref["ids"], i))
+        free = F.filter(F.transform("__items", lambda i: i["id"]), lambda i: (i != "") & ~F.array_contains(ref["ids"], i))
         ids = take(free, F.size(ref["ids"]), seed, F.col("example_id"), F.array_join(ref["ids"], ","), F.lit(salt))
         return F.when(ref["kind"] == "objects", ids)
 
@@ -126,8 +127,19 @@ def _own_text_or(default: str):
     return lambda step, other: F.coalesce(T.filled(other["text"]), F.lit(default))
 
 
+def _item_of(object_id: Column) -> Column:
+    """The last object of an id."""
+    return T.last(F.filter("__items", lambda i: (i["id"] == object_id) & (object_id != "")))["item"]
+
+
+def _described(ids: Column) -> Column:
+    """What :func:`tracemill.functions.text.attribute_summary` says of the row's objects, null for nothing."""
+    says = F.array_join(F.filter(F.transform(ids, lambda i: T.once(_item_of(i), T.described)), lambda s: s != ""), ", ")
+    return F.get(F.array_remove(F.array(says), ""), F.lit(0))
+
+
 def _summary(step: Column, ids: Column) -> Column:
-    return F.coalesce(F.nullif(T.attribute_summary(F.col("objects"), ids), F.lit("")), step["evidence_value"])
+    return F.coalesce(_described(ids), step["evidence_value"])
 
 
 def _not(value: Column) -> Column:
@@ -137,12 +149,11 @@ def _not(value: Column) -> Column:
 def _scene_value(salt: str, cross: bool = False) -> Edit:
     """A value of other objects, a changed relation, or a negation, by the kind of the reference."""
 
-    @_with_choice(_objects(salt))
-    def edit(step: Column, ids: Column) -> dict[str, Column]:
+    @_with_choice(_objects(salt), lambda ids: F.struct(F.size(ids).alias("n"), _described(ids).alias("says")))
+    def edit(step: Column, chosen: Column) -> dict[str, Column]:
         kind = _kind(step)
-        summary = T.attribute_summary(F.col("objects"), ids)
-        other = F.coalesce(F.nullif(summary, F.lit("")), step["evidence_value"] if cross else F.size(ids).cast("string"))
-        ok = (kind != "objects") | ids.isNotNull()
+        other = F.coalesce(chosen["says"], step["evidence_value"] if cross else chosen["n"].cast("string"))
+        ok = (kind != "objects") | (chosen["n"] >= 0)
         if cross:
             wrong = F.when(kind == "objects", other).otherwise(_not(step["evidence_value"]))
             return {"ok": ok, "evidence_value": wrong, "step_text": F.concat(_dotless(step["step_text"]), F.lit(" The evidence may read as "), wrong, F.lit("."))}
@@ -156,9 +167,7 @@ def _scene_value(salt: str, cross: bool = False) -> Edit:
 def _scene_relation(step: Column, name: Column) -> dict[str, Column]:
     """The opposite relation in the text, and in the reference where the source has an edge of that name."""
     ref = step["scene"]
-    of_id = F.filter("objects", lambda o: T.strip(o["object_id"]) == ref["source"])
-    source = F.get(of_id, F.size(of_id) - 1)  # the last object of an id counts
-    edge = F.coalesce(F.exists(source["relations"], lambda r: T.strip(r["name"]) == name), F.lit(False))
+    edge = F.coalesce(F.exists(_item_of(ref["source"])["relations"], lambda r: T.strip(r["name"]) == name), F.lit(False))
     swapped = F.concat_ws(":", F.lit("relation"), name, ref["source"], ref["target"])
     return {"ok": F.lit(True), "step_text": T.mutate_relation(step["step_text"]), "grounding_ref": F.when(edge, swapped).otherwise(step["grounding_ref"])}
 
@@ -275,15 +284,20 @@ def recipes(suite: str, benchmark: str) -> list[Recipe]:
 
 def target_step(recipe: Recipe, seed: int) -> Column:
     """The step to hit: not an answer, grounded if asked, of a preferred type if there is one."""
-    steps = F.filter("steps", lambda s: F.coalesce(s["step_type"] != "answer", F.lit(True)))
-    if recipe.grounded:
-        steps = F.filter(steps, lambda s: F.coalesce(s["grounding_ref"], F.lit("")) != "")
-    if recipe.prefer:
+
+    def open_(s: Column) -> Column:
+        fits = F.coalesce(s["step_type"] != "answer", F.lit(True))
+        return fits & (F.coalesce(s["grounding_ref"], F.lit("")) != "") if recipe.grounded else fits
+
+    def one_of(steps: Column) -> Column:
+        return pick(F.reverse(steps) if recipe.backwards else steps, F.lit(seed), F.col("trace_id"), F.lit(recipe.salt or recipe.family), F.lit("step"))
+
+    def preferred(steps: Column) -> Column:
         liked = F.filter(steps, lambda s: s["step_type"].isin(*recipe.prefer))
-        steps = F.when(F.size(liked) > 0, liked).otherwise(steps)
-    if recipe.backwards:
-        steps = F.reverse(steps)
-    return pick(steps, F.lit(seed), F.col("trace_id"), F.lit(recipe.salt or recipe.family), F.lit("step"))
+        return held(liked, lambda liked: one_of(F.when(F.size(liked) > 0, liked).otherwise(steps)))
+
+    steps = F.filter("steps", open_)
+    return held(steps, preferred) if recipe.prefer else one_of(steps)
 
 
 def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int = 0, families: list[str] | None = None, rng: str = "md5") -> DataFrame:
@@ -305,16 +319,18 @@ def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families:
     name = "cross" if suite == "cross" else "main"
     fields = ("step_text", "grounding_ref", "evidence_value")
     rows = traces
-    if items := {"docvqa": ("spans", "span_id"), "visualwebbench": ("elements", "element_id")}.get(benchmark):
-        listed, key = items
-        item = lambda i: F.struct(i.alias("item"), T.normalize_text(i["text"]).alias("norm"), F.coalesce(T.strip(i[key]), F.lit("")).alias("id"))
-        rows = rows.withColumn("__items", F.transform(listed, item))
+    listed, key = {"docvqa": ("spans", "span_id"), "gqa": ("objects", "object_id"), "visualwebbench": ("elements", "element_id")}[benchmark]
+    norm = (lambda i: []) if benchmark == "gqa" else lambda i: [T.normalize_text(i["text"]).alias("norm")]
+    item = lambda i: F.struct(i.alias("item"), *norm(i), F.coalesce(T.strip(i[key]), F.lit("")).alias("id"))
+    rows = rows.withColumn("__items", F.transform(listed, item))
     # targets, other items and changes as columns of their own, one after the other, so that nothing is evaluated anew where it is used twice
     rows = rows.withColumns({f"__t{k}": target_step(r, seed + r.seed_shift) for k, r in enumerate(chosen)})
     if benchmark == "gqa":  # the parts of the target's reference, which edits read as its field ``scene``
-        rows = rows.withColumns({f"__t{k}": F.col(f"__t{k}").withField("scene", T.scene_ref(F.col(f"__t{k}")["grounding_ref"])) for k in range(len(chosen))})
+        rows = rows.withColumns({f"__t{k}": F.col(f"__t{k}").withField("scene", T.scene_ref(F.col(f"__t{k}")["grounding_ref"], held)) for k in range(len(chosen))})
     picks = {f"__a{k}": r.edit.choose(F.col(f"__t{k}"), F.lit(seed + r.seed_shift)) for k, r in enumerate(chosen) if hasattr(r.edit, "choose")}
     rows = rows.withColumns(picks) if picks else rows
+    if seen := {f"__a{k}": r.edit.seen(F.col(f"__a{k}")) for k, r in enumerate(chosen) if getattr(r.edit, "seen", None)}:
+        rows = rows.withColumns(seen)
     changes = {}
     for k, r in enumerate(chosen):
         step = F.col(f"__t{k}")
@@ -325,24 +341,21 @@ def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families:
     options = []
     for k, r in enumerate(chosen):
         step, change = F.col(f"__t{k}"), F.col(f"__c{k}")
-        noop, edited = F.lit(True), step.dropFields("scene") if benchmark == "gqa" else step
-        for f in fields:
-            noop = noop & change[f].eqNullSafe(step[f])
-            edited = edited.withField(f, change[f])
-        edited = edited.withField("label", F.lit(0)).withField("error_type", F.lit(r.family))
-        option = F.struct(
-            F.lit(r.family).alias("family"), F.lit(r.wrong_use).cast("string").alias("wrong_use_type"),
-            step["step_id"].alias("target_step_id"), noop.alias("noop_corruption"), edited.alias("edited"),
-        )
-        options.append(F.when(change.isNotNull(), option))
-    rows = rows.withColumn("__o", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())))
+        step = step.dropFields("scene") if benchmark == "gqa" else step
+        options.append(F.struct(F.lit(r.family).alias("family"), F.lit(r.wrong_use).cast("string").alias("wrong_use_type"), step.alias("step"), change.alias("change")))
+    rows = rows.withColumn("__o", F.explode(F.filter(F.array(*options), lambda o: o["change"].isNotNull())))
     o = F.col("__o")
-    steps = F.transform("steps", lambda s: F.when(s["step_id"] == o["target_step_id"], o["edited"]).otherwise(s))
+    step, change, noop, edited = o["step"], o["change"], F.lit(True), o["step"]
+    for f in fields:
+        noop = noop & change[f].eqNullSafe(step[f])
+        edited = edited.withField(f, change[f])
+    edited = edited.withField("label", F.lit(0)).withField("error_type", o["family"])
+    steps = F.transform("steps", lambda s: F.when(s["step_id"] == step["step_id"], edited).otherwise(s))
     keep = [c for c in traces.columns if c not in ("trace_id", "steps")]
     return rows.select(
-        F.concat_ws("__", "trace_id", F.lit(name), o["family"], F.concat(F.lit("s"), o["target_step_id"].cast("string"))).alias("trace_id"),
+        F.concat_ws("__", "trace_id", F.lit(name), o["family"], F.concat(F.lit("s"), step["step_id"].cast("string"))).alias("trace_id"),
         *keep, steps.alias("steps"), F.lit(suite).alias("suite"), o["family"].alias("family"), F.col("trace_id").alias("source_trace_id"),
-        o["target_step_id"].alias("target_step_id"), o["wrong_use_type"].alias("wrong_use_type"), o["noop_corruption"].alias("noop_corruption"),
+        step["step_id"].alias("target_step_id"), o["wrong_use_type"].alias("wrong_use_type"), noop.alias("noop_corruption"),
     )
 
 

@@ -69,7 +69,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with lines: steps, spans, and the answer fields."""
     step = F.struct("step_id", "step_text", "step_type", "grounding_ref", "evidence_value", F.lit(1).alias("label"), F.lit("none").alias("error_type"))
     span = F.struct(F.col("l_linenumber").cast("string").alias("span_id"), F.col("p_name").alias("text"), F.lit("").alias("normalized_text"))
-    grouped = steps(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("step_id", step.alias("s"), span.alias("p")))).alias("rows"))
+    grouped = steps(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("step_id", step.alias("s"), span.alias("p")))).alias("rows"))
     orders = table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"))
     return orders.select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("trace_id"), F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("example_id"),
