@@ -99,3 +99,11 @@ def test_sums_over_an_aggregate(spark, ranges, by):
     rows = spark.createDataFrame([("a", float(i % 7)) for i in range(50)], "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
     got = scan.running(rows, {"upto": F.col("n")}, ["v"], by, ranges)
     assert [r["upto"] for r in got.orderBy("v").collect()] == [8, 15, 22, 29, 36, 43, 50]
+
+
+def test_place_compares_in_two_steps(spark):
+    """Among 199 bounds a row's place is found by arrays of 16, not by comparing all of them."""
+    bounds = [F.lit(3 * i) for i in range(199)]
+    rows = spark.range(-2, 700).select("id", scan.place(F.col("id"), bounds).alias("p"))
+    assert all(r["p"] == min(199, max(0, r["id"] // 3 + 1)) for r in rows.collect())
+    assert spark.range(1).select(scan.place(F.col("id"), [])).first()[0] == 0

@@ -184,7 +184,7 @@ def ordinals(rows: DataFrame, by: str, name: str, ranges: int, group: str | None
     With a ``group`` the rows of each are numbered from 0; groups are few.
     """
     bounds = sorted(set(rows.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    place = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(by))) if bounds else F.lit(0)
+    place = scan.place(F.col(by), [F.lit(b) for b in bounds])
     dealt = rows.withColumn("__range", place)
     if group:
         sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__size"))  # one row for each group and range

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import once
+
 #: bounds compared at each of the two steps that find a row's range
 _FAN = 16
 
@@ -21,6 +23,16 @@ def _known(row: list, types: list[str]) -> Column:
     return F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types))))
 
 
+def place(key: Column, bounds: list[Column]) -> Column:
+    """How many of the ascending constants ``bounds`` are not above ``key``, in two steps of some :data:`_FAN` comparisons."""
+    if not bounds:
+        return F.lit(0)
+    upto = lambda known: F.size(F.filter(known, lambda b: b <= key))
+    parts = [F.array(*bounds[i : i + _FAN]) for i in range(0, len(bounds), _FAN)]
+    coarse = upto(F.array(*bounds[::_FAN]))
+    return once(coarse, lambda c: F.when(c == 0, 0).otherwise((c - 1) * _FAN + upto(F.get(F.array(*parts), c - 1))))
+
+
 def range_of(rows: DataFrame, keys: list[Column], ranges: int, per_range: int = 64) -> Column:
     """Which of ``ranges`` ranges of the ascending order of ``keys`` (nulls first) a row lies in; equal keys lie in one.
 
@@ -32,12 +44,7 @@ def range_of(rows: DataFrame, keys: list[Column], ranges: int, per_range: int =
     taken = sample.orderBy(F.rand(1)).limit(ranges * per_range).orderBy(*sample.columns).collect()
     bounds = list(dict.fromkeys(tuple(taken[i * len(taken) // ranges]) for i in range(1, ranges))) if taken else []
     key = F.struct(*named)
-    if not bounds:
-        return F.lit(0)
-    upto = lambda known: F.size(F.filter(known, lambda b: b <= key))
-    parts = [F.array(*(_known(b, types) for b in bounds[i : i + _FAN])) for i in range(0, len(bounds), _FAN)]
-    coarse = upto(F.array(*(_known(b, types) for b in bounds[::_FAN])))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * _FAN + upto(F.get(F.array(*parts), coarse - 1)))
+    return place(key, [_known(b, types) for b in bounds])
 
 
 def default_ranges(rows: DataFrame) -> int:
