@@ -2,6 +2,7 @@
 
 import decimal
 import os
+import re
 
 import duckdb
 import pytest
@@ -36,3 +37,18 @@ def test_equals_duckdb(spark, duck, name):
     twin = duck.sql(catalogue.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(twin.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(twin.columns, twin.fetchall())
+
+
+def moved(df):
+    """The columns of each exchange in the plan of ``df``."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [set(re.findall(r"(\w+)#", columns)) for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pairs_move_no_more_than_lines(spark):
+    """Pairs are made where their corruptions are: neither steps nor texts move, only the lines and orders that traces are made of."""
+    pairs = moved(catalogue.q_pairwise(spark, SF))
+    assert any({"l_orderkey", "p_name"} <= columns for columns in pairs)
+    assert len(pairs) == len(moved(catalogue.q_corrupt_main(spark, SF)))
+    assert not {"steps", "rows", "step_text", "evidence_value", "grounding_ref"} & set().union(*pairs)

@@ -129,6 +129,18 @@ def test_datasets(spark):
     assert clean.select(target).first()[0] == '{"step_labels": [1, 0], "final_score": 0.5, "trace_label": 0}'
 
 
+def test_pairs_of_corruptions_with_their_source(spark):
+    """As the joins make them, of many traces of an example, with and without a verdict of the validation."""
+    shorter = trace_rows(spark, STEPS[1:], trace_id="u", predicted_answer="8")
+    clean = trace_rows(spark, STEPS).unionByName(shorter).withColumn("o", F.length("predicted_answer"))
+    for rows in (clean, clean.withColumn("answer_correct", F.col("trace_id") == "u"), clean.drop("gold_answer")):
+        want = training.pairwise(rows, corrupt.corrupt(rows, "docvqa"), "o")
+        got = training.pairwise_of(corrupt.corrupt(rows, "docvqa", source_steps=True))
+        assert got.columns == want.columns and got.count() > 2
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "source_steps" not in corrupt.corrupt(clean, "docvqa").columns
+
+
 def test_first_difference(spark):
     row = spark.sql("SELECT array(struct(1 AS label), struct(1 AS label)) a, array(struct(1 AS label), struct(0 AS label)) b")
     assert row.select(corrupt.first_difference(F.col("a"), F.col("b")), corrupt.first_difference(F.col("a"), F.col("a"))).first()[:] == (2, 1)

@@ -300,19 +300,20 @@ def target_step(recipe: Recipe, seed: int) -> Column:
     return held(steps, preferred) if recipe.prefer else one_of(steps)
 
 
-def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int = 0, families: list[str] | None = None, rng: str = "md5") -> DataFrame:
+def corrupt(traces: DataFrame, benchmark: str, suite: str = "main", seed: int = 0, families: list[str] | None = None, rng: str = "md5", source_steps: bool = False) -> DataFrame:
     """Up to one corrupted trace per recipe, for rows with steps and the evidence columns spans, objects or elements.
 
     Adds suite, family, source_trace_id, target_step_id, wrong_use_type and
     noop_corruption (the step reads as before); trace_id, label and error_type of
     the hit step change. Ids are unique within a suite only. ``rng`` chooses by
     md5, or by Python's generator in Arrow batches (:func:`tracemill.functions.picks.generator`).
+    ``source_steps`` keeps the steps as they were, under that name.
     """
     with generator(rng):
-        return _corrupt(traces, benchmark, suite, seed, families)
+        return _corrupt(traces, benchmark, suite, seed, families, source_steps)
 
 
-def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families: list[str] | None) -> DataFrame:
+def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families: list[str] | None, source_steps: bool) -> DataFrame:
     chosen = [r for r in recipes(suite, benchmark) if families is None or r.family in families]
     if unknown := set(families or ()) - {r.family for r in recipes(suite, benchmark)}:
         raise ValueError(f"unknown families {sorted(unknown)}")
@@ -356,6 +357,7 @@ def _corrupt(traces: DataFrame, benchmark: str, suite: str, seed: int, families:
         F.concat_ws("__", "trace_id", F.lit(name), o["family"], F.concat(F.lit("s"), step["step_id"].cast("string"))).alias("trace_id"),
         *keep, steps.alias("steps"), F.lit(suite).alias("suite"), o["family"].alias("family"), F.col("trace_id").alias("source_trace_id"),
         step["step_id"].alias("target_step_id"), o["wrong_use_type"].alias("wrong_use_type"), noop.alias("noop_corruption"),
+        *([F.col("steps").alias("source_steps")] if source_steps else []),
     )
 
 

@@ -52,15 +52,29 @@ def pairwise(clean: DataFrame, corrupted: DataFrame, order: str) -> DataFrame:
     mine = F.struct("trace_id", "steps", _verdict(clean).alias("answer_correct"))
     by_id = clean.select(F.col("trace_id").alias("source_trace_id"), mine.alias("__own"))
     first = clean.groupBy("example_id").agg(F.min_by(mine, order).alias("__first"))
-    generator = F.col("generator_name") if "generator_name" in corrupted.columns else F.lit(None).cast("string")
     both = corrupted.join(by_id, "source_trace_id", "left").join(first, "example_id", "left")
     better = F.coalesce("__own", "__first")
     both = both.withColumn("__better", better).where(F.col("__better").isNotNull())
+    return _pairs(both, _verdict(corrupted))
+
+
+def pairwise_of(corrupted: DataFrame) -> DataFrame:
+    """The pairs of corrupted traces that hold their source's steps, as ``corrupt(..., source_steps=True)`` makes them.
+
+    Nothing is joined and no row moves. A corrupted trace keeps the answers of its source, and so its verdict.
+    """
+    own = F.struct(F.col("source_trace_id").alias("trace_id"), F.col("source_steps").alias("steps"), _verdict(corrupted).alias("answer_correct"))
+    return _pairs(corrupted.withColumn("__better", own), _verdict(corrupted))
+
+
+def _pairs(both: DataFrame, verdict: Column) -> DataFrame:
+    """Corrupted rows beside their better trace, ``__better``, as pairs; ``verdict`` is on the corrupted one's answer."""
+    generator = F.col("generator_name") if "generator_name" in both.columns else F.lit(None).cast("string")
     return both.select(
         F.concat(F.lit("pair::"), F.col("__better.trace_id"), F.lit("::"), "trace_id").alias("pair_id"), "example_id", "benchmark", F.lit("clean_vs_corrupted").alias("pair_type"),
         F.col("__better.trace_id").alias("preferred_trace_id"), F.col("trace_id").alias("rejected_trace_id"),
         F.col("family").alias("corruption_family"), "wrong_use_type", "source_trace_id",
-        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), _verdict(corrupted).alias("rejected_answer_correct"),
+        generator.alias("generator_name"), F.col("__better.answer_correct").alias("preferred_answer_correct"), verdict.alias("rejected_answer_correct"),
         F.col("__better.steps").alias("preferred_steps"), F.col("steps").alias("rejected_steps"),
     )
 

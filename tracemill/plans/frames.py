@@ -59,8 +59,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy(*[c.strip() for c in STEP_ORDER.split(",")])
-    return lines.select(
-        "l_orderkey", F.row_number().over(order).alias("step_id"), "l_linenumber", F.expr(STEP_TYPE).alias("step_type"), F.expr(SAYS).alias("step_text"),
+    return lines.withColumn("step_id", F.row_number().over(order)).select(  # texts are made once the lines have moved
+        "l_orderkey", "step_id", "l_linenumber", F.expr(STEP_TYPE).alias("step_type"), F.expr(SAYS).alias("step_text"),
         F.expr(GROUND).alias("grounding_ref"), F.expr(EVIDENCE).alias("evidence_value"), "p_name", "l_quantity", "l_discount", "l_tax",
     )
 
