@@ -52,3 +52,12 @@ def test_pairs_move_no_more_than_lines(spark):
     assert any({"l_orderkey", "p_name"} <= columns for columns in pairs)
     assert len(pairs) == len(moved(catalogue.q_corrupt_main(spark, SF)))
     assert not {"steps", "rows", "step_text", "evidence_value", "grounding_ref"} & set().union(*pairs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_profile_moves_one_row_of_a_task(spark):
+    """Beside the lines and orders only the partial counts and bounds of the profile move."""
+    profile = moved(catalogue.q_qa_profile(spark, SF))
+    assert len(profile) == len(moved(catalogue.q_corrupt_main(spark, SF))) + 1
+    assert {"count", "min", "max"} in profile
+    assert not {"steps", "rows", "step_text", "evidence_value", "grounding_ref"} & set().union(*profile)
